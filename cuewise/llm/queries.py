@@ -7,13 +7,87 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import lines, mixing, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+turns AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE turn % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM turns),
+leveled AS (
+  SELECT *, cap / weight AS ratio,
+         (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, turn,
+         CASE WHEN level < ratio THEN max(CASE WHEN level < ratio THEN level END) OVER () * weight ELSE cap END AS target
+  FROM leveled),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.turn, t.target,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id ASC NULLS LAST, s.size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS passes
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT *, passes * size + least(greatest(CAST(floor(target + 0.5) AS BIGINT) - source_size * passes - start, 0), size) AS taken
+  FROM placed),
+shares AS (
+  SELECT *, CASE WHEN taken > 0 THEN least(start / target, 1.0::DOUBLE) END AS u,
+         CASE WHEN taken > size THEN least((source_size + start) / target, 1.0::DOUBLE) END AS u2
+  FROM taken)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE turn % 3
+    WHEN 0 THEN 2.0::DOUBLE * (u * 3.0::DOUBLE) / (4.0::DOUBLE + sqrt(greatest(16.0::DOUBLE + -4.0::DOUBLE * (u * 3.0::DOUBLE), 0.0::DOUBLE)))
+    WHEN 1 THEN 2.0::DOUBLE * (u * 1.0::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 0.0::DOUBLE * (u * 1.0::DOUBLE), 0.0::DOUBLE)))
+    ELSE 2.0::DOUBLE * (u * 2.0::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 4.0::DOUBLE * (u * 2.0::DOUBLE), 0.0::DOUBLE))) END AS position,
+  CASE turn % 3
+    WHEN 0 THEN 2.0::DOUBLE * (u2 * 3.0::DOUBLE) / (4.0::DOUBLE + sqrt(greatest(16.0::DOUBLE + -4.0::DOUBLE * (u2 * 3.0::DOUBLE), 0.0::DOUBLE)))
+    WHEN 1 THEN 2.0::DOUBLE * (u2 * 1.0::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 0.0::DOUBLE * (u2 * 1.0::DOUBLE), 0.0::DOUBLE)))
+    ELSE 2.0::DOUBLE * (u2 * 2.0::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 4.0::DOUBLE * (u2 * 2.0::DOUBLE), 0.0::DOUBLE))) END AS position_2
+FROM shares
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH split AS (
+  SELECT doc_id, u.pos, string_split(coalesce(text, ''), chr(10))[u.pos] AS line
+  FROM documents, LATERAL (SELECT unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos) u),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM split),
+shared AS (
+  SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.top AS gone
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"),
@@ -23,8 +97,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_curriculum_mixing": op3_curriculum_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_curriculum_mixing": OP3_SQL,
+    "op8_line_dedup": OP8_SQL,
+}

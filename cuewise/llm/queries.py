@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, lines, mixing, ngram_join, packing, quality, suffix_dedup
+from . import language, lines, mixing, neighbours, ngram_join, packing, quality, suffix_dedup, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,57 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def _sql_plain(text: str) -> str:
+    """DuckDB's form of ``warc.plain``; the tables hold no numeric references."""
+    for name, char in warc.NAMED.items():
+        text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    text = f"replace({text}, '&amp;', '&')"
+    text = rf"regexp_replace({text}, '[ \t\r\f\x{{B}}\x{{A0}}]+', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
+
+
+def _sql_id(kind: str, *parts: str) -> str:
+    h = f"md5(concat_ws(chr(10), '{kind}', {', '.join(parts)}))"
+    return f"'urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
+
+
+def _sql_regex(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SHOWN = f"regexp_replace(regexp_replace(payload, {_sql_regex(warc.COMMENT)}, '', 'g'), {_sql_regex(warc.HIDDEN_ELEMENT)}, '', 'g')"
+_TEXT = _sql_plain(f"regexp_replace(regexp_replace({_SHOWN}, {_sql_regex(warc.BLOCK_TAG)}, chr(10), 'g'), {_sql_regex(warc.ANY_TAG)}, '', 'g')")
+OP2_SQL = f"""
+WITH source AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload FROM pages),
+response AS (
+  SELECT *, {_sql_id("response", "coalesce(CAST(page_id AS VARCHAR), '?' || sha256(payload))", "coalesce(target_uri, '')")} AS refers_to,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || octet_length(encode(payload)) || chr(13) || chr(10) || chr(13) || chr(10) AS http
+  FROM source),
+parts AS (
+  SELECT *, {_sql_id("conversion", "refers_to")} AS conversion_id, {_sql_id("metadata", "refers_to")} AS metadata_id, {_TEXT} AS text,
+    {_sql_plain(f"regexp_extract(payload, {_sql_regex(warc.TITLE)}, 1)")} AS title, regexp_extract(payload, {_sql_regex(warc.LANGUAGE)}, 1) AS language,
+    regexp_extract_all(payload, {_sql_regex(warc.LINK)}, 1) AS links
+  FROM response),
+bodies AS (
+  SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to, 'application/warc-fields' AS content_type,
+    CASE WHEN title <> '' THEN 'title: ' || replace(title, chr(10), ' ') || chr(13) || chr(10) ELSE '' END
+      || CASE WHEN language <> '' THEN 'language: ' || language || chr(13) || chr(10) ELSE '' END
+      || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), ''), '') AS body FROM parts
+  UNION ALL
+  SELECT *, 'conversion', conversion_id, NULL, 'text/plain; charset=utf-8', text FROM parts)
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '2024-01-01T00:00:00Z' AS date, content_type,
+  CAST(octet_length(encode(body)) AS BIGINT) AS content_length, 'sha256:' || sha256(body) AS block_digest, body, http AS source_http_headers,
+  'sha256:' || sha256(http || payload) AS source_block_digest, 'sha256:' || sha256(payload) AS source_payload_digest
+FROM bodies
+"""
+
+
 def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -92,10 +143,33 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+WITH usable AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+whole AS (SELECT vec_id, list_transform(vec, lambda x: floor(x * 256)) AS vec FROM usable),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"),
@@ -114,8 +188,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_curriculum_mixing": op3_curriculum_mixing,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_exact_topk": op6_exact_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
@@ -124,6 +201,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
+    "op2_warc_derivatives": OP2_SQL,
     "op3_curriculum_mixing": OP3_SQL,
+    "op6_exact_topk": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }

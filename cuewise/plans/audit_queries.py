@@ -159,6 +159,6 @@ SELECT doc_id, score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A'
     CASE WHEN overlapping > 0 THEN 'TIMELINE_OVERLAPS' END) AS violations FROM metrics)
 SELECT doc_id, violations = '' AS passed, violations, CASE WHEN violations = '' THEN 'DELIVER' ELSE 'ONE_SHOT_REMEDIATE' END AS action FROM checked""",
     "last_out": O.METRICS + "SELECT doc_id, last_out_ms, last_out_ms - last_out_ms // 2000 * 2000 AS overrun_ms FROM metrics",
-    "partial_final_stats": O.CUES + """SELECT doc_id, count(*) AS cues, CAST(count_if((line_no * 31 + doc_id) % 7 <> 0) AS BIGINT) AS locked,
+    "partial_final_stats": O.CUES + """SELECT doc_id, count(*) AS cues, count(*) FILTER (WHERE (line_no * 31 + doc_id) % 7 <> 0) AS locked,
   coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (WHERE (line_no * 31 + doc_id) % 7 = 0), '') AS open FROM cues GROUP BY doc_id""",
 }

@@ -43,13 +43,13 @@ enriched AS (
 METRICS = ENRICHED + """,
 metrics AS (
   SELECT doc_id, count(*) AS cues, arg_min(start_ms, line_no) AS first_in_ms, arg_max(end_ms, line_no) AS last_out_ms, CAST(sum(dur_ms) AS BIGINT) AS total_ms,
-    max(dur_ms) AS longest_ms, max(cps) AS peak_cps, CAST(count_if(short) AS BIGINT) AS short, CAST(count_if(long) AS BIGINT) AS long,
-    CAST(count_if(overlength) AS BIGINT) AS overlength, CAST(count_if(fast) AS BIGINT) AS fast,
-    CAST(count_if(gap_class = 'overlap') AS BIGINT) AS overlapping, CAST(count_if(gap_class = 'zero') AS BIGINT) AS zero_gaps,
-    CAST(count_if(gap_class = 'micro') AS BIGINT) AS micro_gaps, CAST(count_if(gap_class = 'normal') AS BIGINT) AS pauses,
-    CAST(count_if(end_marks) AS BIGINT) AS end_marks, CAST(count_if(inline_comma) AS BIGINT) AS inline_commas,
-    CAST(count_if(unbalanced > 0) AS BIGINT) AS unbalanced, CAST(count_if(markdown) AS BIGINT) AS markdown,
-    CAST(count_if((line_no * 31 + doc_id) % 7 <> 0) AS BIGINT) AS locked, CAST(count_if((line_no * 31 + doc_id) % 7 = 0) AS BIGINT) AS fallback
+    max(dur_ms) AS longest_ms, max(cps) AS peak_cps, count(*) FILTER (WHERE short) AS short, count(*) FILTER (WHERE long) AS long,
+    count(*) FILTER (WHERE overlength) AS overlength, count(*) FILTER (WHERE fast) AS fast,
+    count(*) FILTER (WHERE gap_class = 'overlap') AS overlapping, count(*) FILTER (WHERE gap_class = 'zero') AS zero_gaps,
+    count(*) FILTER (WHERE gap_class = 'micro') AS micro_gaps, count(*) FILTER (WHERE gap_class = 'normal') AS pauses,
+    count(*) FILTER (WHERE end_marks) AS end_marks, count(*) FILTER (WHERE inline_comma) AS inline_commas,
+    count(*) FILTER (WHERE unbalanced > 0) AS unbalanced, count(*) FILTER (WHERE markdown) AS markdown,
+    count(*) FILTER (WHERE (line_no * 31 + doc_id) % 7 <> 0) AS locked, count(*) FILTER (WHERE (line_no * 31 + doc_id) % 7 = 0) AS fallback
   FROM enriched GROUP BY doc_id)
 """
 

@@ -1,2 +1,181 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Window and join queries over the derived timelines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..operators import timeline
+from ..schema import COMFORTABLE_CPS
+from ..sources import derived
+from . import oracle as O
+
+KEY, POS = "doc_id", "line_no"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.words(derived.cues(spark, sf_dir))
+
+
+def chunk_word_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 10 lines against words within 2 s: how many words and which."""
+    cues = derived.cues(spark, sf_dir)
+    spans = cues.groupBy(KEY, F.floor(F.col(POS) / 10).cast("long").alias("span_id")).agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
+    found = timeline.interval_join(spans, derived.words(cues), KEY, 2000)
+    return found.groupBy(KEY, "span_id").agg(F.count("*").alias("words"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
+
+
+def clause_word_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third cue against words within 0.3 s."""
+    cues = derived.cues(spark, sf_dir)
+    spans = cues.where("line_no % 3 = 0").select(KEY, F.col(POS).alias("span_id"), F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    return timeline.interval_join(spans, derived.words(cues), KEY, 300).select(KEY, "span_id", POS, "word_pos", "start_ms", "end_ms")
+
+
+def window_overlap_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words recognised in windows of 60 s that overlap by 5 s, made one sequence again."""
+    words = _words(spark, sf_dir)
+    ends = words.groupBy(KEY).agg((F.max("end_ms") / 1000).alias("seconds"))
+    w = timeline.windows(ends, KEY, "seconds", 60.0, 5.0).select(KEY, "window_id", (F.col("w_start") * 1000).cast("long").alias("from_ms"), F.bround(F.col("w_end") * 1000).cast("long").alias("to_ms"))
+    heard = words.join(w, KEY).where((F.col("end_ms") > F.col("from_ms")) & (F.col("start_ms") < F.col("to_ms"))).drop("from_ms", "to_ms")
+    return timeline.stitched(heard, w, KEY).select(KEY, "window_id", POS, "word_pos", "start_ms", "end_ms")
+
+
+def asr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of media whose lengths in seconds are the orders' prices over 50."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor(F.col("o_totalprice") / 50).cast("double").alias("seconds"))
+    return timeline.windows(orders, "o_orderkey", "seconds")
+
+
+def cache_miss_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text no document of an even id has: keys by digest."""
+    docs = derived.documents(spark, sf_dir).select(KEY, F.md5("text").alias("chunk_key"))
+    cached = docs.where("doc_id % 2 = 0").select("chunk_key").distinct()
+    return docs.join(cached, "chunk_key", "left_anti").select(KEY, "chunk_key")
+
+
+def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.renumbered(derived.cues(spark, sf_dir), KEY, POS).select(KEY, POS, "number")
+
+
+def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.text_offsets(derived.cues(spark, sf_dir), KEY, POS).select(KEY, POS, "text_offset")
+
+
+def proportional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole span dealt to its cues by text length."""
+    cues = derived.cues(spark, sf_dir)
+    ends = cues.groupBy(KEY).agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
+    rows = cues.join(ends, KEY)
+    return timeline.proportional(rows, KEY, POS, F.length("text"), F.col("from_ms"), F.col("to_ms")).select(KEY, POS, "start_ms", "end_ms")
+
+
+def islands_unlocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.islands(derived.locked(derived.cues(spark, sf_dir)), KEY, POS)
+
+
+def neighbor_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.anchors(derived.locked(derived.cues(spark, sf_dir)), KEY, POS).select(KEY, POS, "anchor_before", "anchor_behind")
+
+
+def onset_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir).select(KEY, (F.col(POS) * 100_000 + F.col("word_pos")).alias("pos"), "word", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
+    return timeline.onset_clamped(words, KEY, "pos").select(KEY, "pos", F.bround(F.col("onset") * 1000).cast("long").alias("onset_ms"))
+
+
+def char_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the words of every document's first cue."""
+    words = derived.words(derived.cues(spark, sf_dir).where("line_no = 0"))
+    return timeline.char_timeline(words, KEY, "word_pos")
+
+
+def cap_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.capped(derived.cues(spark, sf_dir), KEY, POS).select(KEY, POS, "start_ms", "end_ms")
+
+
+def adaptive_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = derived.cues(spark, sf_dir).withColumns({"start": F.col("start_ms") / 1000, "end": F.col("end_ms") / 1000})
+    out = timeline.tailed(cues, KEY, POS, T.display_width(F.col("text"), F.lit("en")), F.lit(COMFORTABLE_CPS["latin"]))
+    return out.select(KEY, POS, F.bround(F.col("end") * 100).cast("long").alias("end_cs"))
+
+
+def media_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media end 3 s before their last cue does."""
+    cues = derived.cues(spark, sf_dir)
+    media = cues.groupBy(KEY).agg((F.max("end_ms") - 3000).alias("media_ms"))
+    return timeline.media_capped(cues.join(media, KEY), F.col("media_ms")).select(KEY, POS, "end_ms")
+
+
+def event_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between a user's events, a value being a duration in seconds."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spans = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"), F.floor(F.col("value") * 1000).cast("long").alias("dur"))
+    timed = spans.select("user_id", "event_id", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
+    return timeline.with_gaps(timed, "user_id", "start_ms").groupBy("user_id").agg(*[F.count_if(F.col("gap_class") == g).alias(g + "_gaps") for g in ("overlap", "zero", "micro", "normal")])
+
+
+QUERIES = {f.__name__: f for f in (chunk_word_interval_join, clause_word_join, window_overlap_stitch, asr_windows, cache_miss_anti, renumber, text_offsets, proportional_split, islands_unlocked, neighbor_anchor, onset_clamp, char_timeline, cap_duration, adaptive_tail, media_cap, event_overlaps)}
+
+_MARKS = "[\\s　,?!，。？！、：:;；—\\-~\"''「」『』“”‘’【】《》〈〉…·]+"
+_LOCKED = O.CUES + ", flagged AS (SELECT *, (line_no * 31 + doc_id) % 7 <> 0 AS locked FROM cues)"
+_PER_DOC = "PARTITION BY doc_id ORDER BY line_no"
+ORACLES = {
+    "chunk_word_interval_join": O.WORDS + """, spans AS (
+  SELECT doc_id, line_no // 10 AS span_id, min(start_ms) - 2000 AS low, max(end_ms) + 2000 AS high FROM cues GROUP BY ALL)
+SELECT doc_id, span_id, count(*) AS words, min(start_ms) AS first_ms, max(end_ms) AS last_ms
+FROM spans JOIN words USING (doc_id) WHERE end_ms >= low AND start_ms <= high GROUP BY doc_id, span_id""",
+    "clause_word_join": O.WORDS + """SELECT c.doc_id, c.line_no AS span_id, w.line_no, w.word_pos, w.start_ms, w.end_ms
+FROM cues c JOIN words w ON c.doc_id = w.doc_id AND w.end_ms >= c.start_ms - 300 AND w.start_ms <= c.end_ms + 300 WHERE c.line_no % 3 = 0""",
+    "window_overlap_stitch": O.WORDS + """, ends AS (SELECT doc_id, max(end_ms) AS last_ms FROM words GROUP BY doc_id),
+wins AS (
+  SELECT doc_id, unnest(range(0, greatest(1, (last_ms + 59999) // 60000))) AS window_id, last_ms FROM ends),
+spans AS (
+  SELECT doc_id, window_id, CASE WHEN window_id = 0 THEN 0 ELSE window_id * 60000 - 5000 END AS from_ms, least((window_id + 1) * 60000, last_ms) AS to_ms FROM wins),
+bounds AS (
+  SELECT *, (lag(to_ms) OVER w + from_ms) / 2 AS low, (to_ms + lead(from_ms) OVER w) / 2 AS high FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY window_id))
+SELECT doc_id, window_id, line_no, word_pos, start_ms, end_ms FROM words JOIN bounds USING (doc_id)
+WHERE end_ms > from_ms AND start_ms < to_ms AND (low IS NULL OR (start_ms + end_ms) / 2 >= low) AND (high IS NULL OR (start_ms + end_ms) / 2 < high)""",
+    "asr_windows": """WITH media AS (SELECT o_orderkey, floor(o_totalprice / 50) AS seconds FROM orders),
+wins AS (SELECT o_orderkey, seconds, unnest(range(0, greatest(1, CAST(ceil(seconds / 1080) AS BIGINT)))) AS window_id FROM media)
+SELECT o_orderkey, window_id, CASE WHEN window_id = 0 THEN 0.0::DOUBLE ELSE window_id * 1080.0::DOUBLE - 5.0::DOUBLE END AS w_start, least((window_id + 1) * 1080.0::DOUBLE, seconds) AS w_end FROM wins""",
+    "cache_miss_anti": "WITH keyed AS (SELECT doc_id, md5(text) AS chunk_key FROM documents) SELECT doc_id, chunk_key FROM keyed WHERE chunk_key NOT IN (SELECT chunk_key FROM keyed WHERE doc_id % 2 = 0)",
+    "renumber": O.CUES + f"SELECT doc_id, line_no, row_number() OVER ({_PER_DOC}) AS number FROM cues",
+    "text_offsets": O.CUES + f"SELECT doc_id, line_no, CAST(coalesce(sum(length(text)) OVER ({_PER_DOC} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS text_offset FROM cues",
+    "proportional_split": O.CUES + f""", sized AS (
+  SELECT doc_id, line_no, length(text) AS w, min(start_ms) OVER (PARTITION BY doc_id) AS low, max(end_ms) OVER (PARTITION BY doc_id) AS high,
+    sum(length(text)) OVER (PARTITION BY doc_id) AS total, sum(length(text)) OVER ({_PER_DOC}) AS upto FROM cues)
+SELECT doc_id, line_no, CAST(low + (high - low) * (upto - w) // total AS BIGINT) AS start_ms, CAST(low + (high - low) * upto // total AS BIGINT) AS end_ms FROM sized""",
+    "islands_unlocked": _LOCKED + f""", runs AS (SELECT *, sum(CASE WHEN locked THEN 1 ELSE 0 END) OVER ({_PER_DOC}) AS run FROM flagged)
+SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS cues FROM runs WHERE NOT locked GROUP BY doc_id, run""",
+    "neighbor_anchor": _LOCKED + f""", sided AS (
+  SELECT *, last_value(CASE WHEN locked THEN end_ms END IGNORE NULLS) OVER ({_PER_DOC} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor_before,
+    first_value(CASE WHEN locked THEN start_ms END IGNORE NULLS) OVER ({_PER_DOC} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS anchor_behind FROM flagged)
+SELECT doc_id, line_no, anchor_before, anchor_behind FROM sided WHERE NOT locked""",
+    "onset_clamp": O.WORDS + f""", spoken AS (
+  SELECT doc_id, line_no * 100000 + word_pos AS pos, regexp_replace(word, '{_MARKS}', '', 'g') AS bare, start_ms / 1000 AS s, end_ms / 1000 AS e FROM words),
+sized AS (
+  SELECT *, length(regexp_replace(bare, '[\\x00-\\x7F]', '', 'g')) AS wide, coalesce(s - lag(e) OVER (PARTITION BY doc_id ORDER BY pos), 999.0::DOUBLE) AS gap FROM spoken),
+united AS (SELECT *, greatest(1.0::DOUBLE, wide + (length(bare) - wide) / 3.0::DOUBLE) AS u FROM sized)
+SELECT doc_id, pos, CAST(round_even(CASE WHEN bare <> '' AND greatest(0.01::DOUBLE, e - s) > CASE WHEN gap >= 0.30::DOUBLE THEN u * 0.45::DOUBLE + 0.25::DOUBLE ELSE u * 0.65::DOUBLE + 0.50::DOUBLE END
+  THEN greatest(s, e - CASE WHEN gap >= 0.30::DOUBLE THEN u * 0.30::DOUBLE + 0.15::DOUBLE ELSE u * 0.35::DOUBLE + 0.20::DOUBLE END) ELSE s END * 1000, 0) AS BIGINT) AS onset_ms FROM united""",
+    "char_timeline": O.WORDS + """, chars AS (
+  SELECT doc_id, word_pos, start_ms, end_ms - start_ms AS span, length(word) AS n, unnest(string_split(word, '')) AS char, CAST(generate_subscripts(string_split(word, ''), 1) - 1 AS BIGINT) AS char_pos
+  FROM words WHERE line_no = 0)
+SELECT doc_id, word_pos, char_pos, char, start_ms + span * char_pos // n AS c_start, start_ms + span * (char_pos + 1) // n AS c_end FROM chars""",
+    "cap_duration": O.CUES + f""", ahead AS (SELECT *, lead(start_ms) OVER ({_PER_DOC}) AS n FROM cues),
+fixed AS (SELECT *, CASE WHEN end_ms <= start_ms THEN start_ms + 1000 ELSE end_ms END AS e FROM ahead)
+SELECT doc_id, line_no, start_ms, CASE WHEN e - start_ms > 6000 THEN CASE WHEN n > start_ms THEN least(start_ms + 6000, n) ELSE start_ms + 4000 END ELSE e END AS end_ms FROM fixed""",
+    "adaptive_tail": O.CUES + f""", a AS (SELECT doc_id, line_no, text, start_ms / 1000 AS s, end_ms / 1000 AS e FROM cues),
+b AS (SELECT *, coalesce(lead(s) OVER ({_PER_DOC}), e + 10) AS n FROM a),
+c AS (SELECT *, greatest(0.4::DOUBLE, least(1.10::DOUBLE, CAST(length(text) AS DOUBLE) / 16.0::DOUBLE - greatest(0.01::DOUBLE, e - s))) AS tail FROM b),
+d AS (SELECT *, CASE WHEN n - e >= tail + 0.2::DOUBLE THEN e + tail WHEN n - e > 0 THEN n ELSE e END AS e1 FROM c),
+f AS (SELECT *, e1 - s < 1.0::DOUBLE AND n - e1 > 0 AS short FROM d),
+g AS (SELECT *, CASE WHEN short THEN least(e1 + least(1.0::DOUBLE - (e1 - s), n - e1), n) ELSE e1 END AS e2 FROM f),
+h AS (SELECT *, CASE WHEN short AND n - e2 > 0 AND n - e2 < 0.2::DOUBLE AND n - s <= 6.0::DOUBLE THEN n ELSE e2 END AS e3 FROM g)
+SELECT doc_id, line_no, CAST(round_even(CASE WHEN e3 - s > 6.0::DOUBLE THEN s + 6.0::DOUBLE ELSE e3 END * 100, 0) AS BIGINT) AS end_cs FROM h""",
+    "media_cap": O.CUES + """, media AS (SELECT doc_id, max(end_ms) - 3000 AS media_ms FROM cues GROUP BY doc_id)
+SELECT doc_id, line_no, CASE WHEN end_ms > media_ms + 400 THEN greatest(start_ms + 200, media_ms + 400) ELSE end_ms END AS end_ms FROM cues JOIN media USING (doc_id)""",
+    "event_overlaps": """WITH spans AS (SELECT user_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + CAST(floor(value * 1000) AS BIGINT) AS end_ms FROM events),
+gaps AS (SELECT user_id, lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms) - end_ms AS g FROM spans)
+SELECT user_id, count(*) FILTER (WHERE g < -1) AS overlap_gaps, count(*) FILTER (WHERE abs(g) < 1) AS zero_gaps, count(*) FILTER (WHERE g >= 1 AND g < 200) AS micro_gaps, count(*) FILTER (WHERE g >= 200) AS normal_gaps FROM gaps GROUP BY user_id""",
+}

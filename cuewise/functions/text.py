@@ -160,6 +160,17 @@ def glossary_terms(markdown: Column, longest: int = 24) -> Column:
     return F.array_distinct(F.filter(short, lambda x: (x != "") & (F.length(x) <= longest)))
 
 
+def _adder(prefix: str, sep: str, room: int):
+    """A step that adds a term as long as the text stays within ``room``; after the first that does not fit, none."""
+
+    def add(s: Column, term: Column) -> Column:
+        longer = F.concat(s["text"], F.when(s["text"] == prefix, "").otherwise(sep), term)
+        full = s["full"] | (F.length(longer) > room)
+        return F.struct(F.when(full, s["text"]).otherwise(longer).alias("text"), full.alias("full"))
+
+    return add
+
+
 def bias_prompt(markdown: Column, loc: Column, budget: int = 145) -> Column:
     """A recogniser's bias prompt: the glossary's own line, or its terms as far as the budget goes."""
     line = F.trim(F.regexp_extract(markdown, r"(?i)\*\*Whisper\s+(?:Initial\s+)?Prompt\*\*:\s*(.+)", 1))
@@ -172,11 +183,6 @@ def bias_prompt(markdown: Column, loc: Column, budget: int = 145) -> Column:
         room = budget - len(suffix)
         state = F.struct(F.lit(prefix).alias("text"), F.lit(False).alias("full"))
 
-        def add(s: Column, term: Column, prefix: str = prefix, sep: str = sep, room: int = room) -> Column:
-            longer = F.concat(s["text"], F.when(s["text"] == prefix, "").otherwise(sep), term)
-            full = s["full"] | (F.length(longer) > room)
-            return F.struct(F.when(full, s["text"]).otherwise(longer).alias("text"), full.alias("full"))
-
-        made = F.concat(F.aggregate(glossary_terms(markdown), state, add, lambda s: s["text"]), F.lit(suffix))
+        made = F.concat(F.aggregate(glossary_terms(markdown), state, _adder(prefix, sep, room), lambda s: s["text"]), F.lit(suffix))
         out = F.when(loc == name, made) if out is None else out.when(loc == name, made)
     return F.when(line != "", own).when(F.size(glossary_terms(markdown)) > 0, out)

@@ -1,11 +1,11 @@
 """Exact top-k by no-random-access aggregation.
 
-Method: in a block of candidates every component has a list of rows in order of
-its value.  A query's score is a sum of one contribution a list; lists are read in
-step, from the end that adds most.  A row's lower bound takes the least that its
-unread lists can add, its upper bound what they add at the place read so far.  Reading
-stops when no row outside the best k can still reach the k-th lower bound; then
-the scores of the rows that can are resolved.
+Method: in a block of candidates every component has a list of values in order.  A
+query's score is a sum of one contribution a list; lists are read in step, from
+the end that adds most.  A row's lower bound takes the least that its unread lists
+can add, its upper bound what they add at the place read so far; both are matrix
+products for all queries of a block.  A query stops reading when few rows can
+still reach its k-th lower bound; then the scores of those are resolved.
 
 Scale: candidates are dealt to blocks of bounded size by a hash of id and vector, queries to
 blocks likewise, and each pair of blocks is one unit of work that gives at most k
@@ -30,50 +30,57 @@ from .vectors import of_one_length, usable
 
 
 class SortedLists:
-    """A block of integer vectors with each component's rows in order of value."""
+    """A block of integer vectors with each component's values in order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         # Doubles hold these sums exactly, and multiply faster than integers.
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, self.order, axis=0)
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the query's best ``k`` other rows, best first, ties to the smaller id."""
-        lists = np.flatnonzero(query)
-        n, q = len(self.ids), query[lists].astype(np.float64)
-        other = self.ids != query_id
-        k = min(k, int(other.sum()))
-        if k == 0:
-            return self.ids[:0], np.zeros(0, np.int64)
-        falling = q > 0
-        rows = np.where(falling, self.order[::-1, lists], self.order[:, lists])
-        adds = np.where(falling, self.values[::-1, lists], self.values[:, lists]) * q
-        least = adds[-1]
-        # Both bounds start from nothing read: lower from the least, upper from the most.
-        seen = np.zeros((n, len(lists)), bool)
-        known = np.zeros(n)
-        depth, step = 0, max(16, n // 8)
-        column = np.arange(len(lists))
-        qualify = other
-        while depth < n and len(lists):
-            new = rows[depth : depth + step]
-            known += np.bincount(new.ravel(), adds[depth : depth + step].ravel(), n)
-            seen[new, column] = True
-            depth = min(n, depth + step)
-            unread = ~seen
-            lower = known + unread @ least
-            lower[~other] = -np.inf
-            kth = np.partition(lower, n - k)[n - k]
-            upper = known + unread @ adds[depth - 1]
-            qualify = other & (upper >= kth)
-            if np.count_nonzero(qualify) <= max(4 * k, n // 50):
+        self.rising = np.sort(self.vectors, axis=0)
+
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each component after ``depth`` reads from both ends, at most and at least.
+
+        A value that was read is itself; one that was not is at most the value read
+        last from the top and at least the list's end (and the other way round from the
+        bottom).  The first half of the columns is for positive query components,
+        which read from the top, the second for negative ones.
+        """
+        n, x = len(self.ids), self.vectors
+        top, bottom = self.rising[n - depth], self.rising[depth - 1]
+        high, low = self.rising[-1], self.rising[0]
+        upper = np.concatenate([np.maximum(x, top), np.minimum(x, bottom)], axis=1)
+        lower = np.concatenate([np.where(x >= top, x, low), np.where(x <= bottom, x, high)], axis=1)
+        return upper, lower
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its best ``k`` other rows, best first, ties to the smaller id.
+
+        All queries read on together; one whose outsiders can no longer qualify stops.
+        """
+        n, q = len(self.ids), queries.astype(np.float64)
+        signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).T
+        place = np.searchsorted(self.ids, query_ids)
+        own = np.where((place < n) & (self.ids[np.minimum(place, n - 1)] == query_ids), place, -1)
+        out: list = [None] * len(query_ids)
+        active = np.arange(len(query_ids))
+        for depth in [d for d in (n // 8, n // 4, n // 2, n) if d]:
+            upper, lower = (bound @ signed[:, active] for bound in self._bounds(depth))
+            here = np.flatnonzero(own[active] >= 0)
+            upper[own[active[here]], here] = lower[own[active[here]], here] = -np.inf
+            want = min(k, n)
+            kth = np.partition(lower, n - want, axis=0)[n - want]
+            qualify = upper >= np.maximum(kth, -1e300)
+            few = (qualify.sum(axis=0) <= max(4 * k, n // 50)) | (depth == n)
+            for c in np.flatnonzero(few):
+                found, i = np.flatnonzero(qualify[:, c]), active[c]
+                scores = (self.vectors[found] @ q[i]).astype(np.int64)
+                best = np.lexsort((self.ids[found], -scores))[:k]
+                out[i] = (self.ids[found[best]], scores[best])
+            active = active[~few]
+            if not len(active):
                 break
-        found = np.flatnonzero(qualify)
-        scores = (self.vectors[found] @ query.astype(np.float64)).astype(np.int64)
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[best]], scores[best]
+        return out
 
 
 def quantised(table: DataFrame, scale: int) -> DataFrame:
@@ -108,7 +115,7 @@ def top_k(table: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, b
                 if block != at:
                     ids, flat = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
                     at, lists = block, SortedLists(ids, flat.reshape(len(ids), -1))
-                found = [lists.top(q, v, k) for q, v in zip(query_ids, flat_queries.reshape(len(query_ids), -1), strict=True)]
+                found = lists.top(query_ids, flat_queries.reshape(len(query_ids), -1), k)
                 owner = np.repeat(query_ids, [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64())], names=["query_id", "vec_id", "score"])
 

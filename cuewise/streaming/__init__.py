@@ -1 +1 @@
-
+"""Streaming extensions (ours): segments of words as they arrive."""

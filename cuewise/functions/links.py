@@ -85,3 +85,15 @@ def header_filename(header: Column, fallback: Column) -> Column:
     strip = lambda x: F.regexp_replace(F.trim(x), r"""^["']+|["']+$""", "")
     plus = lambda x: F.try_url_decode(F.replace(strip(x), F.lit("+"), F.lit("%2B")))
     return F.when(coded != "", plus(coded)).when(quoted != "", plus(quoted)).when(bare != "", plus(bare)).otherwise(fallback)
+
+
+def output_dir(source: Column, chosen: Column) -> Column:
+    """Where an input's results go: the chosen folder, or ``output`` beside the input, never one inside another."""
+    parent = F.regexp_extract(source, r"^(.*)/[^/]*$", 1)
+    beside = F.when(parent == "", "output").when(parent.rlike("(^|/)output$"), parent).otherwise(F.concat(parent, F.lit("/output")))
+    return F.coalesce(F.nullif(chosen, F.lit("")), beside)
+
+
+def first_set(*candidates: Column) -> Column:
+    """The first of some settings, in order of precedence, that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])

@@ -186,3 +186,8 @@ def bias_prompt(markdown: Column, loc: Column, budget: int = 145) -> Column:
         made = F.concat(F.aggregate(glossary_terms(markdown), state, _adder(prefix, sep, room), lambda s: s["text"]), F.lit(suffix))
         out = F.when(loc == name, made) if out is None else out.when(loc == name, made)
     return F.when(line != "", own).when(F.size(glossary_terms(markdown)) > 0, out)
+
+
+def in_script(text: Column, table: dict[str, str]) -> Column:
+    """Text with single characters replaced, as from simplified to traditional script."""
+    return F.translate(text, "".join(table), "".join(table.values()))

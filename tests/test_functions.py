@@ -118,3 +118,12 @@ def test_word_cache_round_trip(spark, tmp_path):
     back = captions.read_word_cache(spark, str(tmp_path), "asr").orderBy("word_pos").collect()
     assert [(r.word, r.start, r.end) for r in back] == [("a", 0.0, 0.5), ("b", 0.6, 0.9)]
     assert captions.read_word_cache(spark, str(tmp_path), "other").isEmpty()
+
+
+def test_output_folder_and_settings(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, links.output_dir(F.lit("/a/b.mp4"), none)) == "/a/output"
+    assert one(spark, links.output_dir(F.lit("/a/output/b.mp4"), none)) == "/a/output"
+    assert one(spark, links.output_dir(F.lit("b.mp4"), F.lit("/x"))) == "/x"
+    assert one(spark, links.first_set(none, F.lit(" "), F.lit("c"), F.lit("d"))) == "c"
+    assert one(spark, T.in_script(F.lit("国语"), {"国": "國", "语": "語"})) == "國語"

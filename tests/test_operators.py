@@ -110,6 +110,9 @@ def test_services(spark):
     chunks = spark.createDataFrame([("a", "A"), ("b", "B")], "chunk_key string, srt string")
     cache = spark.createDataFrame([("a", "cached")], "chunk_key string, answer string")
     assert {r.chunk_key: r.answer for r in plugins.corrected(chunks, plugins.echo_corrector, cache).collect()} == {"a": "cached", "b": "```srt\nB\n```"}
+    asked = spark.createDataFrame([("a", "ja", "A"), ("b", "fr", "B")], "chunk_key string, locale string, srt string")
+    templates = spark.createDataFrame([("en", "E"), ("ja", "J")], "locale string, template string")
+    assert {r.chunk_key: r.prompt for r in plugins.prompted(asked, templates).collect()} == {"a": "J\n\nA", "b": "E\n\nB"}
     waits: list[float] = []
     answers = iter([ConnectionError(), ConnectionError(), 7])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,15 +49,26 @@ class Staging:
         df.write.option("compression", codec).parquet(f"{self.root}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}")
 
+    def bucketed(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+        """Write ``df`` bucketed by ``key``: joins on it do not move its rows."""
+        name = f"staged_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}").bucketBy(buckets, key).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: str) -> None:
         """Delete tables that no later step reads."""
         for table in tables:
             self._path(table).getFileSystem(self._conf()).delete(self._path(table), True)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove shuffle files of plans that are no longer referenced.
+
+        The first collection hands the plans to the cleaner, the second what they held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def parts(spark: SparkSession, at_least: int = 1) -> int:

@@ -1,8 +1,8 @@
 """Removing byte strings that earlier documents hold, by blockwise suffix sorting.
 
 Method: difference-cover blockwise construction.  Positions whose place in their
-document, modulo 21, lies in a difference cover are samples; any two positions
-reach sampled ones at one common distance below 21.  Samples are classed by the 30
+document, modulo 13, lies in a difference cover are samples; any two positions
+reach sampled ones at one common distance below 13.  Samples are classed by the 38
 bytes that follow them (their ranks), one bucket of the hash range at a time.  Two
 equal strings of 50 bytes therefore hold equal samples at the same place, and a
 suffix that reaches no sample whose class spans documents cannot be repeated:
@@ -11,11 +11,13 @@ suffixes are sorted, again a bucket at a time, by their 50 bytes.  The contract
 needs classes of equal strings and not their order, so buckets are ranges of a 64-bit hash
 rather than of the bytes; the string with the smallest document wins its class.
 
-Scale: text is read once into a table of blocks (a few MB each).  What is shuffled
-are hashes, packed by block and bucket, and bits come back in the same order; a
-bucket is a fixed amount of them, so a task's memory does not grow with the
-input.  Within a block equal strings are brought together first: of a group of
-copies that holds a third of the input, a block sends each string once.
+Scale: texts that copy a smaller document as a whole go first, by digest.  The rest is
+read into a table of blocks (a few MB each), bucketed so that joining it with
+what comes back moves no text.  What is shuffled are hashes, packed by block and
+bucket, and bits come back in the same order; a bucket is a fixed amount of
+them, so a task's memory does not grow with the input.  Within a block equal
+strings are brought together first: of a passage that a third of the documents
+hold, a block sends each string once.
 
 Edge cases: a null text has no bytes; documents shorter than the string length
 lose nothing; rows of equal id never remove from each other; a row without an id
@@ -36,12 +38,13 @@ from .shingles import mixed
 from .staging import Staging, parts
 
 #: Residues whose differences give every residue modulo the period.
-PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text in a block, and bytes of input that one bucket stands for.
 BLOCK, BUCKET = 4_000_000, 3_200_000
 _U64 = np.uint64
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=_U64)
 _STEP = [_U64(int(x) | 1) for x in np.random.default_rng(8).integers(0, 2**64, 8, dtype=_U64)]
+_SPAN = 1 << 16
 _BLOCKS = "block long, ids binary, lens binary, data binary"
 
 
@@ -81,12 +84,18 @@ class Block:
         return np.searchsorted(self.ends, at, side="right")
 
     def hashes(self, width: int, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the ``width`` bytes from each position ``at``."""
-        h, have = _BYTE[self.data], 1
-        while have * 2 <= width:
-            h = h[:-have] * _STEP[have.bit_length()] + h[have:]
-            have *= 2
-        return mixed(h[at] * _STEP[0] + h[at + (width - have)])
+        """64-bit hashes of the ``width`` bytes from each position ``at``, in rising order."""
+        out, cuts = np.empty(len(at), _U64), np.arange(0, len(self.data) + _SPAN, _SPAN)
+        ends = np.searchsorted(at, cuts)
+        for low, a, b in zip(cuts.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+            if a < b:  # a span at a time, so that the arrays stay in the processor's cache
+                h, have = _BYTE[self.data[low : low + _SPAN + width]], 1
+                while have * 2 <= width:
+                    h = h[:-have] * _STEP[have.bit_length()] + h[have:]
+                    have *= 2
+                own = at[a:b] - low
+                out[a:b] = mixed(h[own] * _STEP[0] + h[own + (width - have)])
+        return out
 
     def samples(self) -> np.ndarray:
         """Positions of the cover from which enough bytes follow."""
@@ -115,13 +124,10 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Classes:
-    """Equal hashes of a block brought together, in hash order.
-
-    ``first``: a place of each class, its earliest; ``of``: each place's class.
-    """
+    """Equal hashes of a block brought together, in hash order; ``of``: each place's class."""
 
     def __init__(self, hashes: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
         self.of = np.empty(len(order), np.int64)
@@ -159,14 +165,24 @@ def _each_block(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tupl
             yield block, Block(ids, lens, data, length), [{b["bucket"]: b["bits"] for b in found or ()} for found in bits]
 
 
-def _unpacked(classes: Classes, bits: dict[int, bytes], n: int) -> np.ndarray:
-    """A flag for each class."""
+def _unpacked(classes: Classes, bits: dict[int, bytes], n: int, order: np.ndarray | None = None) -> np.ndarray:
+    """A flag for each class; ``order``: of the classes when they were sent, hash order if not given."""
     cuts = _cuts(classes.hashes, n)
     out = np.zeros(len(classes.hashes), bool)
     for bucket, packed in bits.items():
         a, b = cuts[bucket], cuts[bucket + 1]
         out[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
-    return out
+    if order is None:
+        return out
+    flags = np.empty_like(out)
+    flags[order] = out
+    return flags
+
+
+def _by_owner(classes: Classes, owner: np.ndarray, n: int) -> np.ndarray:
+    """Classes by bucket, and in a bucket by document."""
+    rank = np.unique(owner, return_inverse=True)[1]
+    return np.argsort((bucket_of(classes.hashes, n) << 32) + rank, kind="stable")
 
 
 def sample_keys(table: DataFrame, n: int, length: int) -> DataFrame:
@@ -195,7 +211,11 @@ def repeated_samples(keys: DataFrame, n: int) -> DataFrame:
         found = np.frombuffer(b"".join(r[2] for r in rows), np.uint32)
         ranked = np.sort(found)
         again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        flags = np.isin(found, again, kind="sort") if len(again) else np.zeros(len(found), bool)
+        flags, seen = np.zeros(len(found), bool), np.zeros(1 << 22, bool)
+        seen[again & np.uint32((1 << 22) - 1)] = True
+        likely = np.flatnonzero(seen[found & np.uint32((1 << 22) - 1)])
+        if len(again):
+            flags[likely] = again[np.minimum(np.searchsorted(again, found[likely]), len(again) - 1)] == found[likely]
         out, at = [], 0
         for (bucket, block, _, several), size in zip(rows, sizes, strict=True):
             own = flags[at : at + size] | np.unpackbits(np.frombuffer(several, np.uint8), count=size).astype(bool)
@@ -223,26 +243,25 @@ def string_keys(table: DataFrame, n: int, length: int) -> DataFrame:
         for number, block, (bits,) in _each_block(batches, length):
             starts, classes = _strings(block, bits, n)
             owner = classes.lowest(block.ids[block.doc_of(starts)])
-            known, owner = np.unique(owner, return_inverse=True)
-            owner = owner.astype(np.uint16 if len(known) < 65536 else np.uint32)
-            keys, cuts = classes.hashes.view(np.uint8).reshape(-1, 8)[:, :7], _cuts(classes.hashes, n)
+            order, cuts = _by_owner(classes, owner, n), _cuts(classes.hashes, n)
+            owner, keys = owner[order], classes.hashes[order].view(np.uint8).reshape(-1, 8)[:, :7]
+            new = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
             rows = []
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
-                    # Documents of this bucket's classes, and each class's among them.
-                    here, index = np.unique(owner[a:b], return_inverse=True)
-                    index = index.astype(np.uint8 if len(here) < 256 else np.uint16 if len(here) < 65536 else np.uint32)
-                    rows.append((k, number, keys[a:b].tobytes(), np.int64(len(here)).tobytes() + known[here].tobytes() + index.tobytes()))
+                    # A bucket's documents and how many classes each has there.
+                    begin = np.union1d([a], new[np.searchsorted(new, a) : np.searchsorted(new, b)])
+                    counts = np.diff(np.append(begin, b))
+                    rows.append((k, number, keys[a:b].tobytes(), owner[begin].tobytes() + counts.astype(np.int64).tobytes()))
             yield _record(rows, ["bucket", "block", "keys", "docs"], (pa.int32(), pa.int64(), pa.binary(), pa.binary()))
 
     return table.mapInArrow(run, _STRINGS)
 
 
-def _owners(docs: bytes, size: int) -> np.ndarray:
-    """The documents that ``string_keys`` packed."""
-    count = int(np.frombuffer(docs, np.int64, 1)[0])
-    index = np.frombuffer(docs, (np.uint8, np.uint16, np.uint32)[0 if count < 256 else 1 if count < 65536 else 2], size, 8 + 8 * count)
-    return np.frombuffer(docs, np.int64, count, 8)[index]
+def _owners(docs: bytes) -> np.ndarray:
+    """The document of each class that ``string_keys`` packed."""
+    ids, counts = np.frombuffer(docs, np.int64).reshape(2, -1)
+    return np.repeat(ids, counts)
 
 
 def later_strings(keys: DataFrame, n: int) -> DataFrame:
@@ -255,7 +274,7 @@ def later_strings(keys: DataFrame, n: int) -> DataFrame:
         sizes = [len(r[2]) // 7 for r in rows]
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :7] = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 7)
-        owner = np.concatenate([_owners(r[3], size) for r, size in zip(rows, sizes, strict=True)])
+        owner = np.concatenate([_owners(r[3]) for r in rows])
         classes = Classes(wide.view(_U64).ravel())
         later = owner > classes.lowest(owner)[classes.of]
         out, at = [], 0
@@ -273,7 +292,8 @@ def removed_mask(block: Block, sample_bits: dict[int, bytes], later_bits: dict[i
     gone = np.zeros(len(block.data) + 1, np.int32)
     if len(starts):
         ids = block.ids[block.doc_of(starts)]
-        later = (ids > classes.lowest(ids)[classes.of]) | _unpacked(classes, later_bits, n)[classes.of]
+        lowest = classes.lowest(ids)
+        later = (ids > lowest[classes.of]) | _unpacked(classes, later_bits, n, _by_owner(classes, lowest, n))[classes.of]
         gone[starts[later]] += 1
         np.subtract.at(gone, starts[later] + block.length, 1)
     return np.cumsum(gone[:-1]) > 0
@@ -300,6 +320,16 @@ def _results(table: DataFrame, n: int, length: int, with_text: bool) -> DataFram
     return table.mapInArrow(run, _KEPT if with_text else _REPORT)
 
 
+def whole_copies(named: DataFrame, length: int) -> DataFrame:
+    """(doc_id, n_bytes) of texts of at least ``length`` bytes that equal one of a smaller id.
+
+    Ids that stand on several rows are left to the other steps.
+    """
+    digests = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), F.min(F.octet_length("text")).cast("long").alias("n_bytes")).where("rows = 1")
+    shared = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("held")).where("held > 1")
+    return digests.join(shared, "digest").where((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)).select("doc_id", "n_bytes")
+
+
 def _with_bits(table: DataFrame, *bits: DataFrame) -> DataFrame:
     """Blocks with the bits of all their buckets; a block has one entry a bucket at most."""
     for k, found in enumerate(bits):
@@ -318,14 +348,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
         raise ValueError(f"strings must have at least {PERIOD} bytes")
     spark = docs.sparkSession
     staging = Staging(spark, "suffixes")
-    table = staging.write(blocks(docs), "blocks")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    copies = staging.write(whole_copies(named, length), "copies")
+    rest = named.join(copies.select(F.col("doc_id").alias("__copy")).distinct(), F.col("doc_id") == F.col("__copy"), "left_anti")
+    n_parts = parts(spark)
+    table = staging.bucketed(blocks(rest), "blocks", "block", n_parts)
+    staging.release()
     total = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-    n = parts(spark, -(-total // BUCKET))
+    n = max(n_parts, -(-total // BUCKET))
     samples = staging.write(repeated_samples(sample_keys(table, n, length), n), "samples")
     staging.release()
     later = staging.write(later_strings(string_keys(_with_bits(table, samples), n, length), n), "strings")
     staging.release()
     found = _results(_with_bits(table, samples, later), n, length, with_text)
+    gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_text else []))
+    found = found.unionByName(gone)
     anonymous = docs.where("doc_id is null").select(
         F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), *([F.coalesce("text", F.lit("")).cast("binary").alias("kept")] if with_text else []),

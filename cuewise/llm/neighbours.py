@@ -3,15 +3,15 @@
 Method: centroids are fitted on a bounded sample with a penalty on large clusters.
 A vector goes into the list of its nearest centroid and, at a boundary, into those of
 other centroids nearly as near, unless a list already chosen lies between.
-Centroids are searched through a neighbour graph held in memory, and a
+For queries the centroids are searched through a neighbour graph held in memory, and a
 distance ratio to the best one prunes the lists that a query reads.  Inner products
 become distances by one more component that brings all vectors to one length.
 
 Scale: the sample (``sample_rows``) and the number of centroids (``max_lists``)
 are bounded, so the graph that tasks hold is too.  Lists are cut into chunks of
 bounded length by a hash, so a list into which a third of all vectors fall is read by many
-tasks.  Each chunk returns its best few for each query that reads it; those meet in a
-window that Spark limits to k rows a query before its shuffle.
+tasks.  Each chunk returns one row of its best few for each query that reads it;
+a query's rows are bounded by the lists it reads.
 
 Edge cases: vectors that are null, zero, empty or hold a null or non-finite
 component take no part, nor do lengths other than the common one; rows of equal id count
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .staging import Staging
 from .vectors import matrix, of_one_length, usable
@@ -99,16 +99,22 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([vectors, rest[:, None]], axis=1)
 
 
-def closure(graph: Graph, point: np.ndarray, copies: int, ratio: float) -> list[int]:
-    """The lists of a vector: the nearest, and others within ``ratio`` of its distance that no chosen one lies before."""
-    near, distance = graph.nearest(point, 4 * copies)
-    chosen: list[int] = []
-    for c, d in zip(near.tolist(), distance.tolist(), strict=True):
-        if d > ratio**2 * distance[0] + 1e-12 or len(chosen) == copies:
-            break
-        if all(((graph.centroids[c] - graph.centroids[o]) ** 2).sum() > 0.25 * d for o in chosen):
-            chosen.append(c)
-    return chosen
+def closures(centroids: np.ndarray, points: np.ndarray, copies: int, ratio: float) -> list[list[int]]:
+    """The lists of each vector: the nearest, and others within ``ratio`` of its distance that no chosen one lies before."""
+    between = (centroids**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * centroids @ centroids.T
+    out: list[list[int]] = []
+    for at in range(0, len(points), 2048):
+        some = points[at : at + 2048]
+        d = np.maximum((some**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * some @ centroids.T, 0)
+        near = np.argsort(d, axis=1, kind="stable")[:, : 4 * copies]
+        d = np.take_along_axis(d, near, axis=1)
+        for cs, ds, count in zip(near.tolist(), d.tolist(), (d <= ratio**2 * d[:, :1] + 1e-12).sum(axis=1).tolist(), strict=True):
+            chosen = cs[:1]
+            for c, far in zip(cs[1:count], ds[1:count], strict=True):
+                if len(chosen) < copies and all(between[c, o] > 0.25 * far for o in chosen):
+                    chosen.append(c)
+            out.append(chosen)
+    return out
 
 
 def search(
@@ -144,7 +150,7 @@ def search(
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [closure(graph, p, copies, boundary_ratio) for p in lifted(matrix(batch.column(1)), longest)]
+            found = closures(graph.centroids, lifted(matrix(batch.column(1)), longest), copies, boundary_ratio)
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "vec_id", "vec"])
 
@@ -165,24 +171,26 @@ def search(
     dealt = posted.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
 
     def compare(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids, all_rows = vectors.column("vec_id").to_numpy(), matrix(vectors.column("vec").combine_chunks())
-        asking, points = queries.column("query_id").to_numpy(), matrix(queries.column("query").combine_chunks())
-        out: list[tuple] = []
-        order = np.argsort(ids)
-        ids, all_rows = ids[order], all_rows[order]
-        for q, point in zip(asking, points, strict=True):
-            score = np.einsum("ij,j->i", all_rows, point)
-            score[ids == q] = -np.inf
-            top = np.argsort(-score, kind="stable")[:k]
-            top = top[score[top] > -np.inf]
-            out.append((np.full(len(top), q), ids[top], score[top]))
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=names)
-
-    found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    # A vector found through several of its lists counts once.
-    single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return single.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        names, out = ["query_id", "far", "ids"], []
+        if vectors.num_rows and queries.num_rows:
+            ids, all_rows = vectors.column("vec_id").to_numpy(), matrix(vectors.column("vec").combine_chunks())
+            order = np.argsort(ids)
+            ids, all_rows = ids[order], all_rows[order]
+            points = matrix(queries.column("query").combine_chunks())
+            rough = points @ all_rows.T
+            least = np.partition(rough, max(0, len(ids) - k - 1), axis=1)[:, max(0, len(ids) - k - 1)] - 1e-9 * np.abs(rough).max(axis=1)
+            for q, point, row, low in zip(queries.column("query_id").to_pylist(), points, rough, least, strict=True):
+                # Summed a row at a time, so that a vector scores the same in each of its lists.
+                likely = np.flatnonzero((row >= low) & (ids != q))
+                far = -(all_rows[likely] * point).sum(axis=1)
+                top = np.argsort(far, kind="stable")[:k]
+                out.append((q, far[top], ids[likely[top]]))
+        columns = zip(*out, strict=True) if out else [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())), strict=True)], names=names)
+
+    found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInArrow(compare, "query_id long, far array<double>, ids array<long>")
+    # A query has at most ``probes`` lists' chunks of k each; a vector found in several of its lists counts once.
+    every = F.flatten(F.collect_list(F.arrays_zip("far", "ids")))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(every)), 1, k).alias("best"))
+    ranked = best.select("query_id", F.posexplode("best").alias("rank", "b"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), (-F.col("b.far")).alias("score"))

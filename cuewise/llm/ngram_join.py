@@ -13,11 +13,13 @@ Scale: four steps, each on what the one before left.
 1. Prefixes of all documents are dealt by hash, once per block of documents for
    a shingle that many of its documents hold.  A document too few of whose
    prefix shingles occur elsewhere has no partner, and most end here.
-2. Equal sets become one class, whose smallest id stands for it.
-3. Each index entry links its documents to its smallest one (its leader), never
-   to each other; only entries whose documents are still in several components
-   after that are paired, across components.  A group of thousands of near copies so
-   costs rows in proportion to its size.
+2. Equal sets become one class, whose smallest id stands for it.  Classes of which
+   too few of all shingles occur in another class end here, in some rounds.
+3. Each index entry links its sets to one leader, that with the most common
+   shingles, never to each other; in a group of near copies that is the text they
+   were made from.  Components that still meet in an entry are then compared in
+   blocks of sets, counting common shingles through posting lists inside a task.  A
+   group of thousands of near copies so costs rows in proportion to its size.
 4. Components come from hooking and pointer jumping over the verified links.
 
 Hot shingles are counted with map-side aggregation or met in joins that adaptive
@@ -103,42 +105,55 @@ _DEALT = "part int, doc_id long, n long, h1 long, h2 long, shared long, tokens b
 _MARKS = "whole boolean, doc_id long, n long, h1 long, h2 long, shared long"
 
 
+def _dealt(ids: list, about: list[tuple[int, int, int]], held: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each set (``about``: n, h1, h2), and for each part the block's distinct shingles in ``held``."""
+    tokens = np.concatenate([np.zeros(0, _U64), *held])
+    owner = np.repeat(np.arange(len(ids)), [len(h) for h in held])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(tokens)))
+    shared = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(ids))
+    rows: list[tuple] = [(k % n_parts, doc, *a, int(s), None, None, None) for k, (doc, a, s) in enumerate(zip(ids, about, shared, strict=True))]
+    tokens, owner, single = tokens[first], np.array([-1 if d is None else d for d in ids], np.int64)[owner[first]], count == 1
+    part = (tokens >> _U64(32)) % _U64(n_parts)
+    by_part = np.argsort(part, kind="stable")
+    tokens, owner, single = tokens[by_part], owner[by_part], single[by_part]
+    ends = np.searchsorted(part[by_part], np.arange(n_parts + 1, dtype=_U64))
+    for p in range(n_parts):
+        if (a := ends[p]) < (b := ends[p + 1]):
+            t, s = tokens[a:b], single[a:b]
+            rows.append((p, None, 0, 0, 0, 0, t[s].tobytes(), owner[a:b][s].tobytes(), t[~s].tobytes()))
+    kinds = (pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 3)
+    for at in range(0, len(rows), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), kinds, strict=True)], names=["part", "doc_id", "n", "h1", "h2", "shared", "tokens", "docs", "many"])
+
+
 def _deal_prefixes(docs: DataFrame, limit: Threshold, n_parts: int) -> DataFrame:
-    """A row for each document, and for each block and part the block's distinct prefix shingles."""
+    """Filter prefixes of all documents, dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches):
-            sizes, hashes, prefixes, owners = [], [], [], []
-            for k, tokens in enumerate(shingle_sets(texts)):
-                sizes.append(len(tokens))
-                hashes.append(_set_hash(tokens))
-                if ids[k] is not None and len(tokens):
-                    prefixes.append(tokens[: limit.filter_prefix(len(tokens))])
-                    owners.append(np.full(len(prefixes[-1]), k))
-            tokens = np.concatenate([np.zeros(0, _U64), *prefixes])
-            owner = np.concatenate([np.zeros(0, np.int64), *owners])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(tokens)))
-            shared = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(ids))
-            rows: list[tuple] = [(k % n_parts, doc, n, h1, h2, int(s), None, None, None) for k, (doc, n, (h1, h2), s) in enumerate(zip(ids, sizes, hashes, shared, strict=True))]
-            tokens, owner, single = tokens[first], np.array([-1 if d is None else d for d in ids], np.int64)[owner[first]], count == 1
-            part = (tokens >> _U64(32)) % _U64(n_parts)
-            by_part = np.argsort(part, kind="stable")
-            tokens, owner, single = tokens[by_part], owner[by_part], single[by_part]
-            ends = np.searchsorted(part[by_part], np.arange(n_parts + 1, dtype=_U64))
-            for p in range(n_parts):
-                if (a := ends[p]) < (b := ends[p + 1]):
-                    t, s = tokens[a:b], single[a:b]
-                    rows.append((p, None, 0, 0, 0, 0, t[s].tobytes(), owner[a:b][s].tobytes(), t[~s].tobytes()))
-            kinds = (pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 3)
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), kinds, strict=True)], names=["part", "doc_id", "n", "h1", "h2", "shared", "tokens", "docs", "many"])
+            about, held = [], []
+            for doc, tokens in zip(ids, shingle_sets(texts), strict=True):
+                about.append((len(tokens), *_set_hash(tokens)))
+                held.append(tokens[: limit.filter_prefix(len(tokens))] if doc is not None else tokens[:0])
+            yield from _dealt(ids, about, held, n_parts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DEALT)
 
 
+def _deal_sets(sets: DataFrame, n_parts: int) -> DataFrame:
+    """Whole sets, dealt, with their node as the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [t.values.to_numpy().view(_U64) for t in batch.column(1)]
+            yield from _dealt(batch.column(0).to_pylist(), [(len(h), 0, 0) for h in held], held, n_parts)
+
+    return sets.select("node", "tokens").mapInArrow(run, _DEALT)
+
+
 def _mark_shared(dealt: DataFrame, n_parts: int) -> DataFrame:
     """Documents' rows as they came, and for documents how many of their shingles in this part other blocks hold."""
 
@@ -209,21 +224,21 @@ def index_entries(n: int, tokens: np.ndarray, frequent: np.ndarray, limit: Thres
 
 
 def _entries(marked: DataFrame, limit: Threshold, frequent_from: int) -> DataFrame:
-    """(node, n, tokens, df) -> (entry, node, n)."""
+    """(node, n, rank, pairs of token and df) -> (entry, node, n, rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, pairs in enumerate(batch.column(2)):
+            nodes, sizes, ranks = (batch.column(c).to_pylist() for c in range(3))
+            for k, pairs in enumerate(batch.column(3)):
                 flat = pairs.values.flatten()
                 tokens, df = flat[0].to_numpy().view(_U64), flat[1].to_numpy()
                 order = np.argsort(tokens)
                 found = index_entries(sizes[k], tokens[order], df[order] >= frequent_from, limit).view(np.int64)
                 for at in range(0, len(found), 100_000):
                     piece = found[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(np.full(len(piece), nodes[k])), pa.array(np.full(len(piece), sizes[k]))], names=["entry", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(np.full(len(piece), nodes[k])), pa.array(np.full(len(piece), sizes[k])), pa.array(np.full(len(piece), ranks[k]))], names=["entry", "node", "n", "rank"])
 
-    return marked.select("node", "n", "pairs").mapInArrow(run, "entry long, node long, n long")
+    return marked.select("node", "n", "rank", "pairs").mapInArrow(run, "entry long, node long, n long, rank double")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -242,7 +257,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
 
 
-def _class_links(sets: DataFrame, limit: Threshold, frequent_from: int, staging: Staging) -> DataFrame:
+def _pruned(sets: DataFrame, limit: Threshold, staging: Staging, n_parts: int, rounds: int = 3) -> DataFrame:
+    """The sets of whose shingles other sets hold as many as a partner must share; the rest are alone."""
+    for turn in range(rounds):
+        marks = _mark_shared(_deal_sets(sets, n_parts), n_parts).groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("whole"), F.col("n"))).alias("n"))
+        alive = marks.where("doc_id is not null").where(F.col("shared") >= F.ceil(F.col("n") * limit.percent / 100)).select(F.col("doc_id").alias("node"))
+        fewer = staging.write(sets.join(alive, "node", "left_semi"), f"pruned-{turn}", codec="none")
+        before, after = sets.count(), fewer.count()
+        sets = fewer
+        if after > 0.9 * before:
+            break
+    return sets
+
+
+def _compare_blocks(limit: Threshold):
+    """For a cogroup of some sets and a block of others: links into each of the others' components."""
+    names = ["a", "b"]
+
+    def compare(asking: pa.Table, members: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if asking.num_rows and members.num_rows:
+            lists = members.column("tokens").combine_chunks()
+            sizes = pa.compute.list_value_length(lists).to_numpy()
+            node, component = members.column("node").to_numpy(), members.column("c").to_numpy()
+            tokens = lists.flatten().to_numpy()
+            order = np.argsort(tokens, kind="stable")
+            ranked, owner = tokens[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            for x, own, wanted in zip(asking.column("node").to_pylist(), asking.column("c").to_pylist(), asking.column("tokens").combine_chunks(), strict=True):
+                wanted = np.sort(wanted.values.to_numpy())
+                low, high = np.searchsorted(ranked, wanted, "left"), np.searchsorted(ranked, wanted, "right")
+                spans = [owner[a:b] for a, b in zip(low, high, strict=True) if a < b]
+                if spans:
+                    common = np.bincount(np.concatenate(spans), minlength=len(sizes))
+                    good = np.flatnonzero(limit.linked(common, len(wanted), sizes) & (component != own))
+                    for k in good[np.unique(component[good], return_index=True)[1]]:
+                        out.append((x, int(node[k])))
+        columns = list(zip(*out, strict=True)) if out else [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    import pyarrow.compute  # noqa: F401  (pa.compute)
+
+    return compare
+
+
+def _compared(asking: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshold, block_rows: int, staging: Staging, name: str) -> DataFrame:
+    """(a, b): links of each unit's asking sets with its members; both sides have (unit, node, c).
+
+    Each side is cut into blocks, and each pair of blocks is one task's work.
+    """
+    cut = lambda rows: F.ceil(rows / block_rows).cast("int")
+    block = lambda rows: F.pmod(F.xxhash64("node"), cut(rows)).cast("int")
+    every = lambda rows: F.explode(F.sequence(F.lit(0), cut(rows) - 1))
+    asked, held = asking.groupBy("unit").agg(F.count("*").alias("asked")), members.groupBy("unit").agg(F.count("*").alias("held"))
+    sizes = staging.write(asked.join(held, "unit"), f"{name}-sizes")
+    tokens = sets.select("node", "tokens")
+    left = asking.join(sizes, "unit").join(tokens, "node").select("unit", block(F.col("asked")).alias("ask"), every(F.col("held")).alias("member"), "node", "c", "tokens")
+    right = members.join(sizes, "unit").join(tokens, "node").select("unit", every(F.col("asked")).alias("ask"), block(F.col("held")).alias("member"), "node", "c", "tokens")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same tables
+    keys = ("unit", "ask", "member")
+    return staging.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare_blocks(limit), "a long, b long"), name)
+
+
+def _across(placed: DataFrame, sets: DataFrame, limit: Threshold, staging: Staging, block_rows: int, few: int = 32) -> DataFrame:
+    """(a, b): links between components that index entries still have in common.
+
+    Components that meet in entries of at most ``few`` of them are compared pair by pair,
+    the smaller one's sets of fitting size with the larger one's.  Entries of more form clusters, and each
+    cluster's sets outside its largest component are compared with all its sets.
+    """
+    member = staging.write(placed.select("node", "n", "c").distinct(), "members")
+    meeting = placed.select("entry", "c").distinct()
+    counts = meeting.groupBy("entry").agg(F.count("*").alias("met")).where("met > 1")
+    meeting = staging.write(meeting.join(counts, "entry"), "meeting")
+
+    together = meeting.where(F.col("met") <= few).groupBy("entry").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    both = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: F.struct(x.alias("c1"), y.alias("c2")))))
+    pairs = together.select(F.explode(both).alias("p")).select("p.*").distinct()
+    size = member.groupBy("c").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    of = lambda k: size.toDF(f"c{k}", f"r{k}", f"low{k}", f"high{k}")
+    # Sets whose sizes differ too much cannot be partners.
+    fits = (F.col("high2") * 100 >= F.col("low1") * limit.percent) & (F.col("high1") * 100 >= F.col("low2") * limit.percent)
+    sized = pairs.join(of(1), "c1").join(of(2), "c2").where(fits)
+    first = F.col("r1") >= F.col("r2")
+    larger = lambda name: F.when(first, F.col(f"{name}1")).otherwise(F.col(f"{name}2"))
+    units = staging.write(sized.select(larger("c").alias("unit"), larger("low").alias("low"), larger("high").alias("high"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("other")), "units")
+    near = (F.col("n") * 100 >= F.col("low") * limit.percent) & (F.col("high") * 100 >= F.col("n") * limit.percent)
+    asking = units.join(member.withColumnRenamed("c", "other"), "other").where(near).select("unit", "node", F.col("other").alias("c"))
+    members = units.select("unit").distinct().join(member, F.col("unit") == F.col("c")).select("unit", "node", "c")
+    close = _compared(asking, members, sets, limit, block_rows, staging, "pairwise")
+
+    crowded = placed.join(meeting.where(F.col("met") > few).select("entry").distinct(), "entry")
+    spans = crowded.groupBy("entry").agg(F.min("node").alias("first"))
+    links = crowded.join(spans, "entry").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(links, staging, "clusters").select("node", F.col("component").alias("unit")).join(member, "node")
+    main = clusters.groupBy("unit", "c").agg(F.count("*").alias("held")).groupBy("unit").agg(F.max(F.struct("held", "c"))["c"].alias("main"))
+    clusters = staging.write(clusters.join(main, "unit"), "clustered")
+    crowd = _compared(clusters.where("c <> main").select("unit", "node", "c"), clusters.select("unit", "node", "c"), sets, limit, block_rows, staging, "crowded")
+    return close.unionByName(crowd).distinct()
+
+
+def _class_links(sets: DataFrame, limit: Threshold, frequent_from: int, block_rows: int, staging: Staging) -> DataFrame:
     """Components of the classes: (node, component) for nodes with links."""
     n = F.col("n")
     least = F.ceil(n * limit.percent / 100)
@@ -250,36 +364,31 @@ def _class_links(sets: DataFrame, limit: Threshold, frequent_from: int, staging:
     longest = F.least(n, n - least + F.greatest(F.lit(17), F.floor(n / 16) + 1)).cast("int")
     prefixes = sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), longest)).alias("token"))
     df = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    marked = prefixes.join(df, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
+    marked = prefixes.join(df, "token").groupBy("node", "n").agg((F.sum(F.log("df")) / F.col("n")).alias("rank"), F.collect_list(F.struct("token", "df")).alias("pairs"))
     entries = staging.write(_entries(marked, limit, frequent_from), "entries")
 
-    leaders = entries.groupBy("entry").agg(F.min(F.struct("n", "node")).alias("leader"), F.count("*").alias("held")).where("held > 1")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * limit.percent
-    stars = entries.join(leaders, "entry").where((F.col("node") != F.col("leader.node")) & fits(F.col("n"), F.col("leader.n")))
+    leaders = entries.groupBy("entry").agg(F.max(F.struct("rank", "node", "n")).alias("leader"), F.count("*").alias("held")).where("held > 1")
+    fits = F.least(n, "leader.n") * 100 >= F.greatest(n, "leader.n") * limit.percent
+    stars = entries.join(leaders, "entry").where((F.col("node") != F.col("leader.node")) & fits)
     stars = stars.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-    tried = staging.write(stars, "tried")
-    links = staging.write(_verified(tried, sets, limit), "star-links")
+    links = staging.write(_verified(stars, sets, limit), "star-links")
     near = components(links, staging, "star")
 
     placed = entries.join(near, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed_entries = placed.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("entry")
-    left = staging.write(placed.join(mixed_entries, "entry", "left_semi"), "mixed")
-    right = left.select("entry", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    pairs = left.join(right, "entry").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("b_c")) & fits(F.col("n"), F.col("b_n"))).select(F.col("node").alias("a"), "b").distinct()
-    more = staging.write(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, limit), "more-links")
+    more = staging.write(_across(staging.write(placed, "placed"), sets, limit, staging, block_rows), "more-links")
     if more.isEmpty():
         return near
     return components(links.unionByName(more), staging, "all")
 
 
-def ngram_components(docs: DataFrame, *, percent: int = 75, frequent_from: int = 64) -> DataFrame:
+def ngram_components(docs: DataFrame, *, percent: int = 75, frequent_from: int = 64, block_rows: int = 2048) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
     ``frequent_from``: the number of sets from which a shingle counts as
-    frequent; it sets the cost, not the result.
+    frequent, and ``block_rows`` the sets compared at a time; they set the cost, not the result.
     """
     spark = docs.sparkSession
-    staging, limit, n_parts = Staging(spark, "ngrams"), Threshold(percent), parts(docs.sparkSession)
+    staging, limit, n_parts = Staging(spark, "ngrams"), Threshold(percent), parts(docs.sparkSession, 64)
     marks = staging.write(_mark_shared(_deal_prefixes(docs, limit, n_parts), n_parts), "marks")
     rows = marks.where("whole").select("doc_id", "n", "h1", "h2")
     shared = marks.where("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("whole") & (F.col("n") > 0), F.col("n"))).alias("n"))
@@ -294,7 +403,7 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, frequent_from: int =
     # Equal rows of a class give equal sets; a class keeps one.
     sets = _sets(texts).join(classes, ["h1", "h2", "n"]).groupBy("node", "h1", "h2", "n").agg(F.first("tokens").alias("tokens"))
     sets = staging.write(sets, "sets", codec="none")
-    near = _class_links(sets, limit, frequent_from, staging)
+    near = _class_links(_pruned(sets, limit, staging, n_parts), limit, frequent_from, block_rows, staging)
     found = classes.join(near, "node", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "node").alias("component"))
     joined = rows.join(found, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

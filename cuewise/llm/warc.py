@@ -62,16 +62,16 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
 
 
-def page_text(html: Column) -> Column:
-    """The text a reader sees: no comments, scripts or tags; block tags end lines."""
+def without_tags(html: Column) -> Column:
+    """What a reader sees, references still coded: no comments, scripts or tags; block tags end lines."""
     shown = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN_ELEMENT, "")
-    return plain(F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), ANY_TAG, ""))
+    return F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), ANY_TAG, "")
 
 
 def record_id(*parts: Column) -> Column:
     """An id that follows from ``parts``."""
     h = F.md5(F.concat_ws("\n", *parts))
-    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
+    return F.concat(F.lit("urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
 
 
 def digest(body: Column) -> Column:
@@ -98,8 +98,9 @@ def derivatives(found: DataFrame) -> DataFrame:
     date, content_type, content_length, block_digest, body, and the source's
     http_headers, block and payload digest."""
     html = F.col("payload")
-    # A cached column each: expressions are evaluated once a row, not once a use.
-    text = found.withColumns({"text": page_text(html), "title": plain(F.regexp_extract(html, TITLE, 1)), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.regexp_extract_all(html, F.lit(LINK), F.lit(1))})
+    # Columns of their own first: what ``plain`` uses several times is then evaluated once a row.
+    coded = found.withColumns({"coded": without_tags(html), "coded_title": F.regexp_extract(html, TITLE, 1)})
+    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.regexp_extract_all(html, F.lit(LINK), F.lit(1))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
         F.when(F.col("title") != "", line("title", F.replace("title", F.lit("\n"), F.lit(" ")))).otherwise(""),
@@ -124,7 +125,7 @@ def serialised(records: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"), header("WARC-Type", F.col("warc_type")), header("WARC-Record-ID", bracket("record_id")), header("WARC-Refers-To", bracket("refers_to")), header("WARC-Concurrent-To", bracket("concurrent_to")),
         header("WARC-Target-URI", F.col("target_uri")), header("WARC-Date", F.col("date")), header("WARC-Block-Digest", F.col("block_digest")), header("WARC-Source-Block-Digest", F.col("source_block_digest")), header("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
-        header("WARC-Source-HTTP-Headers", F.base64(F.col("source_http_headers").cast("binary"))), header("Content-Type", F.col("content_type")), header("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
+        header("WARC-Source-HTTP-Headers", F.regexp_replace(F.base64(F.col("source_http_headers").cast("binary")), "\r\n", "")), header("Content-Type", F.col("content_type")), header("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
     )
     return records.select("record_id", F.concat(head.cast("binary"), F.col("body").cast("binary"), F.lit("\r\n\r\n").cast("binary")).alias("record"))
 

@@ -26,13 +26,19 @@ CLOSING_WORDS = ("來說", "來講", "而言", "之後", "的話", "來看")
 CONNECTIVES = ("但是", "而且", "所以", "不過", "然而", "如果")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to the session's number of partitions: groups are heavy for their bytes, so
+    adaptive execution must not gather them into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold(rows: DataFrame, key: str, pos: str, walk: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``walk`` to each episode's rows in order of ``pos``."""
 
     def ordered(frame: pd.DataFrame) -> pd.DataFrame:
         return walk(frame.sort_values(pos, kind="stable", ignore_index=True))
 
-    return rows.groupBy(key).applyInPandas(ordered, schema)
+    return dealt(rows, key).groupBy(key).applyInPandas(ordered, schema)
 
 
 def _words_width(word: str, wide: bool) -> float:
@@ -61,17 +67,21 @@ def segment_numbers(words: list[str], starts: list[float], ends: list[float], wi
     return out
 
 
-def segments(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> DataFrame:
-    """(key, segment, start, end, words): words gathered to segments at pauses, sentence ends and lengths."""
+def segmented(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> DataFrame:
+    """(key, segment, start, end, word, pos): words with the segment they fall into."""
 
     def walk(f: pd.DataFrame) -> pd.DataFrame:
         f["segment"] = segment_numbers(f["word"].tolist(), f["start"].tolist(), f["end"].tolist(), wide)
         return f[[key, "segment", "start", "end", "word", pos]]
 
-    schema = f"{key} {dict(words.dtypes)[key]}, segment long, start double, end double, word string, {pos} {dict(words.dtypes)[pos]}"
-    numbered = fold(words, key, pos, walk, schema).where("segment >= 0")
+    types = dict(words.dtypes)
+    return fold(words, key, pos, walk, f"{key} {types[key]}, segment long, start double, end double, word string, {pos} {types[pos]}").where("segment >= 0")
+
+
+def segments(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> DataFrame:
+    """(key, segment, start, end, words): words gathered to segments at pauses, sentence ends and lengths."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(pos, "word"))), lambda x: x["word"])
-    return numbered.groupBy(key, "segment").agg(F.min_by("start", pos).alias("start"), F.max_by("end", pos).alias("end"), ordered.alias("words"))
+    return segmented(words, key, pos, wide=wide).groupBy(key, "segment").agg(F.min_by("start", pos).alias("start"), F.max_by("end", pos).alias("end"), ordered.alias("words"))
 
 
 def spoken(word: str) -> str:

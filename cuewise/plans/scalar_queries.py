@@ -121,8 +121,8 @@ def vtt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recogniser output with every first cue's words as offsets, moved by 100 s and read back."""
-    words = derived.words(derived.cues(spark, sf_dir).where("line_no = 0"))
+    """Recogniser output with all words as offsets, moved by 100 s and read back."""
+    words = derived.words(derived.cues(spark, sf_dir)).withColumn("word_pos", F.col(POS) * 100_000 + F.col("word_pos"))
     offset = lambda c: F.concat((F.col(c) / 1000).cast("string"), F.lit("s"))
     item = F.struct(F.col("word"), offset("start_ms").alias("startOffset"), offset("end_ms").alias("endOffset"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("word_pos", item.alias("w")))), lambda x: x["w"])
@@ -177,7 +177,7 @@ SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'KEY_' || s_suppkey WHEN 2 THEN
     "srt_render": _BLOCKS + " SELECT doc_id, srt FROM srts",
     "srt_roundtrip": O.CUES + ", n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS idx FROM cues) SELECT doc_id, idx - 1 AS cue_pos, idx, start_ms, end_ms, text FROM n",
     "vtt_render": _BLOCKS + " SELECT doc_id, 'WEBVTT' || chr(10) || chr(10) || array_to_string(list_transform(string_split(srt, chr(10)), lambda x: CASE WHEN contains(x, '-->') THEN replace(x, ',', '.') ELSE x END), chr(10)) AS vtt FROM srts",
-    "words_json_explode": O.WORDS + "SELECT doc_id, word_pos, word, start_ms + 100000 AS start_ms, greatest(start_ms + 20, end_ms) + 100000 AS end_ms FROM words WHERE line_no = 0",
+    "words_json_explode": O.WORDS + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, word_pos) - 1 AS word_pos, word, start_ms + 100000 AS start_ms, greatest(start_ms + 20, end_ms) + 100000 AS end_ms FROM words",
     "atomic_units": O.CUES + r"SELECT doc_id, line_no, CAST(len(regexp_extract_all(text, '[$¥€£₩]?[A-Za-z0-9]+(?:[.,:/\-][A-Za-z0-9]+)*[%°℃+]?\s*|[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}][。，、？！；：」』）》]*|[^\s]')) AS BIGINT) AS atoms FROM cues",
     "join_display": O.CUES + r""", t AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(text, '[.]$', ''), ' '), lambda x: x <> '') AS ws FROM cues WHERE text LIKE '%.'),
 u AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM t)

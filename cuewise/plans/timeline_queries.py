@@ -26,9 +26,9 @@ def chunk_word_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_word_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third cue against words within 0.3 s."""
+    """Every cue against words within 0.3 s."""
     cues = derived.cues(spark, sf_dir)
-    spans = cues.where("line_no % 3 = 0").select(KEY, F.col(POS).alias("span_id"), F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    spans = cues.select(KEY, F.col(POS).alias("span_id"), F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
     return timeline.interval_join(spans, derived.words(cues), KEY, 300).select(KEY, "span_id", POS, "word_pos", "start_ms", "end_ms")
 
 
@@ -84,9 +84,10 @@ def onset_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of the words of every document's first cue."""
-    words = derived.words(derived.cues(spark, sf_dir).where("line_no = 0"))
-    return timeline.char_timeline(words, KEY, "word_pos")
+    """Characters of all words, summed up for each cue."""
+    words = _words(spark, sf_dir).withColumn("pos", F.col(POS) * 100_000 + F.col("word_pos"))
+    chars = timeline.char_timeline(words, KEY, "pos").groupBy(KEY, F.floor(F.col("pos") / 100_000).alias(POS))
+    return chars.agg(F.count("*").alias("chars"), F.sum("c_start").alias("starts"), F.sum("c_end").alias("ends"), F.max("char_pos").alias("longest"))
 
 
 def cap_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ ORACLES = {
 SELECT doc_id, span_id, count(*) AS words, min(start_ms) AS first_ms, max(end_ms) AS last_ms
 FROM spans JOIN words USING (doc_id) WHERE end_ms >= low AND start_ms <= high GROUP BY doc_id, span_id""",
     "clause_word_join": O.WORDS + """SELECT c.doc_id, c.line_no AS span_id, w.line_no, w.word_pos, w.start_ms, w.end_ms
-FROM cues c JOIN words w ON c.doc_id = w.doc_id AND w.end_ms >= c.start_ms - 300 AND w.start_ms <= c.end_ms + 300 WHERE c.line_no % 3 = 0""",
+FROM cues c JOIN words w ON c.doc_id = w.doc_id AND w.end_ms >= c.start_ms - 300  AND w.start_ms <= c.end_ms + 300""",
     "window_overlap_stitch": O.WORDS + """, ends AS (SELECT doc_id, max(end_ms) AS last_ms FROM words GROUP BY doc_id),
 wins AS (
   SELECT doc_id, unnest(range(0, greatest(1, (last_ms + 59999) // 60000))) AS window_id, last_ms FROM ends),
@@ -159,9 +160,9 @@ united AS (SELECT *, greatest(1.0::DOUBLE, wide + (length(bare) - wide) / 3.0::D
 SELECT doc_id, pos, CAST(round_even(CASE WHEN bare <> '' AND greatest(0.01::DOUBLE, e - s) > CASE WHEN gap >= 0.30::DOUBLE THEN u * 0.45::DOUBLE + 0.25::DOUBLE ELSE u * 0.65::DOUBLE + 0.50::DOUBLE END
   THEN greatest(s, e - CASE WHEN gap >= 0.30::DOUBLE THEN u * 0.30::DOUBLE + 0.15::DOUBLE ELSE u * 0.35::DOUBLE + 0.20::DOUBLE END) ELSE s END * 1000, 0) AS BIGINT) AS onset_ms FROM united""",
     "char_timeline": O.WORDS + """, chars AS (
-  SELECT doc_id, word_pos, start_ms, end_ms - start_ms AS span, length(word) AS n, unnest(string_split(word, '')) AS char, CAST(generate_subscripts(string_split(word, ''), 1) - 1 AS BIGINT) AS char_pos
-  FROM words WHERE line_no = 0)
-SELECT doc_id, word_pos, char_pos, char, start_ms + span * char_pos // n AS c_start, start_ms + span * (char_pos + 1) // n AS c_end FROM chars""",
+  SELECT doc_id, line_no, start_ms, end_ms - start_ms AS span, length(word) AS n, CAST(unnest(range(0, length(word))) AS BIGINT) AS char_pos FROM words)
+SELECT doc_id, line_no, count(*) AS chars, CAST(sum(start_ms + span * char_pos // n) AS BIGINT) AS starts, CAST(sum(start_ms + span * (char_pos + 1) // n) AS BIGINT) AS ends, max(char_pos) AS longest
+FROM chars GROUP BY doc_id, line_no""",
     "cap_duration": O.CUES + f""", ahead AS (SELECT *, lead(start_ms) OVER ({_PER_DOC}) AS n FROM cues),
 fixed AS (SELECT *, CASE WHEN end_ms <= start_ms THEN start_ms + 1000 ELSE end_ms END AS e FROM ahead)
 SELECT doc_id, line_no, start_ms, CASE WHEN e - start_ms > 6000 THEN CASE WHEN n > start_ms THEN least(start_ms + 6000, n) ELSE start_ms + 4000 END ELSE e END AS end_ms FROM fixed""",

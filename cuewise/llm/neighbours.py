@@ -190,7 +190,9 @@ def search(
 
     found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInArrow(compare, "query_id long, far array<double>, ids array<long>")
     # A query has at most ``probes`` lists' chunks of k each; a vector found in several of its lists counts once.
+    # It is in at most ``copies`` lists, so the first k different ones are among the first copies * k.
     every = F.flatten(F.collect_list(F.arrays_zip("far", "ids")))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(every)), 1, k).alias("best"))
+    first = F.slice(F.array_sort(every), 1, copies * k)
+    best = found.groupBy("query_id").agg(F.slice(F.array_distinct(first), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("rank", "b"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.ids").alias("vec_id"), (-F.col("b.far")).alias("score"))

@@ -57,7 +57,8 @@ def plain(text: Column) -> Column:
     for name, char in NAMED.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, r"[ \t\r\f\x{B}\x{A0}]+", " ")
+    # A single space stays and is not replaced by itself.
+    text = F.regexp_replace(text, r" [ \t\r\f\x{B}\x{A0}]+|[\t\r\f\x{B}\x{A0}][ \t\r\f\x{B}\x{A0}]*", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
 

@@ -4,7 +4,9 @@ Method: centroids are fitted on a bounded sample with a penalty on large cluster
 A vector goes into the list of its nearest centroid and, at a boundary, into those of
 other centroids nearly as near, unless a list already chosen lies between.
 For queries the centroids are searched through a neighbour graph held in memory, and a
-distance ratio to the best one prunes the lists that a query reads.  Inner products
+distance ratio to the best one prunes the lists that a query reads.  How many lists a
+query reads at least follows from the table: some queries (``tried``) are compared with
+all vectors, and as many lists are read as find ``aim`` of those neighbours.  Inner products
 become distances by one more component that brings all vectors to one length.
 
 Scale: the sample (``sample_rows``) and the number of centroids (``max_lists``)
@@ -117,6 +119,42 @@ def closures(centroids: np.ndarray, points: np.ndarray, copies: int, ratio: floa
     return out
 
 
+def true_neighbours(rows: DataFrame, points: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """For each of a few queries its place in ``points`` and the vectors of its ``k`` nearest other rows, from all rows."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.empty(0), np.empty(0, np.int64), np.empty((0, points.shape[1])))] * len(points)
+        for batch in batches:
+            own, vectors = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for q, row in enumerate((vectors @ points.T).T):
+                far = np.where(own == ids[q], np.inf, -row)
+                top = np.argsort(far, kind="stable")[:k]
+                top = top[np.isfinite(far[top])]
+                far, named, found = (np.concatenate(x) for x in zip(held[q], (far[top], own[top], vectors[top]), strict=True))
+                top = np.lexsort((named, far))[:k]
+                held[q] = far[top], named[top], found[top]
+        out = [(q, f, i, v.tolist()) for q, h in enumerate(held) for f, i, v in zip(*h, strict=True)]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["q", "far", "vec_id", "vec"])
+
+    found = rows.select("vec_id", "vec").mapInArrow(best, "q int, far double, vec_id long, vec array<double>")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id", "vec"))), 1, k)
+    return [(r.q, np.array([b.vec for b in r.best])) for r in found.groupBy("q").agg(first.alias("best")).collect()]
+
+
+def lists_needed(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: float) -> int:
+    """The fewest nearest lists (within an eighth) that hold ``aim`` of each query's neighbours on average, found through the graph."""
+
+    def recall(want: int) -> float:
+        read = {q: set(graph.nearest(points[q], want)[0].tolist()) for q, _ in neighbours}
+        return float(np.mean([np.mean([not read[q].isdisjoint(lists) for lists in own]) for q, own in neighbours]))
+
+    want, most = 1, len(graph.centroids)
+    while want < most and recall(want) < aim:
+        want = min(most, want + max(1, want // 8))
+    return want
+
+
 def search(
     table: DataFrame,
     is_query: Column,
@@ -131,8 +169,13 @@ def search(
     least_probes: int = 16,
     prune_ratio: float = 1.6,
     chunk_rows: int = 1000,
+    tried: int = 100,
+    aim: float = 0.99,
 ) -> DataFrame:
-    """Each query's ``k`` nearest other rows found: query_id, rank, vec_id, score (the inner product)."""
+    """Each query's ``k`` nearest other rows found: query_id, rank, vec_id, score (the inner product).
+
+    ``probes`` and ``least_probes`` are what a query reads where fewer lists would do; they grow to what ``aim`` needs.
+    """
     spark = table.sparkSession
     staging = Staging(spark, "neighbours")
     rows = of_one_length(usable(table, zero=False)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
@@ -148,6 +191,22 @@ def search(
     lists = int(min(max_lists, max(1, n // list_rows), len(points)))
     graph = Graph.build(balanced_centroids(points, lists))
 
+    def placed(vectors: np.ndarray) -> np.ndarray:
+        # Of a query only the direction matters; at the lifted radius its own distances compare best.
+        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+        return np.concatenate([vectors / np.where(lengths > 0, lengths, 1) * longest, np.zeros((len(vectors), 1))], axis=1)
+
+    if lists > least_probes:
+        asking = rows.where(is_query)
+        some = int(space * min(1.0, 2 * tried / max(1, asking.count())))
+        trial = asking.where(F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(space)) < some).limit(tried).select("vec_id", "vec").toPandas()
+        if len(trial):
+            asked = np.stack(list(trial["vec"]))
+            near = true_neighbours(rows, asked, trial["vec_id"].to_numpy(np.int64), k)
+            homes = [(q, closures(graph.centroids, lifted(v, longest), copies, boundary_ratio)) for q, v in near]
+            needed = lists_needed(graph, placed(asked), homes, aim) if homes else 1
+            least_probes, probes = max(least_probes, needed), max(probes, needed)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = closures(graph.centroids, lifted(matrix(batch.column(1)), longest), copies, boundary_ratio)
@@ -157,9 +216,8 @@ def search(
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for v in matrix(batch.column(1)):
-                # Of a query only the direction matters; at the lifted radius its own distances compare best.
-                near, d = graph.nearest(np.append(v / (np.linalg.norm(v) or 1) * longest, 0.0), probes)
+            for point in placed(matrix(batch.column(1))):
+                near, d = graph.nearest(point, probes)
                 found.append(near[(d <= prune_ratio**2 * d[0] + 1e-12) | (np.arange(len(d)) < least_probes)].tolist())
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "query_id", "query"])

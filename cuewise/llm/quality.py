@@ -170,44 +170,48 @@ def fit(docs: DataFrame, *, train_rows: int = 6000, train_chars: int = 20_000) -
     labels = fit_labels(counts["votes"].to_numpy(np.int64), counts["n"].to_numpy(float))
     n, space = int(counts["n"].sum()), 1 << 30
     chosen = docs.where((F.length("text") <= train_chars) & (F.pmod(F.xxhash64("doc_id"), F.lit(space)) < int(space * min(1.0, train_rows / n))))
-    sample = [t for t in chosen.select("text").limit(2 * train_rows).toPandas()["text"] if votes(t) is not None]
+    # Without a vote the posterior is the prior, which teaches nothing about the text.
+    sample = [t for t in chosen.select("text").limit(2 * train_rows).toPandas()["text"] if set(votes(t) or ()) - {NONE}]
     target = labels.posterior(np.array([pattern(votes(t)) for t in sample], np.int64).reshape(-1))
     return labels, fit_scorer(sample, target)
 
 
 def score(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFrame:
-    """All columns of ``docs`` but text, then posterior (of the votes) and quality (of the scorer), both 0..1."""
+    """All columns of ``docs`` but text, then posterior (of the votes), agreeing (votes for what it favours) and quality (of the scorer)."""
     columns = [c for c in docs.columns if c != "text"]
     kept = docs.select(*columns, "text")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema[:-1]) + "posterior double, quality double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema[:-1]) + "posterior double, agreeing int, quality double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            found = [pattern(votes(t)) for t in texts]
+            cast = [votes(t) for t in texts]
+            found = [pattern(v) for v in cast]
             some = np.array([p is not None for p in found], bool)
             posterior, quality = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             if model is not None and some.any():
                 posterior[some] = model[0].posterior(np.array([p for p in found if p is not None], np.int64))
                 quality[some] = model[1].score([t for t, s in zip(texts, some, strict=True) if s])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(posterior, from_pandas=True), pa.array(quality, from_pandas=True)], names=[*columns, "posterior", "quality"])
+            agreeing = [None if v is None else v.count(GOOD if p >= 0.5 else BAD) for v, p in zip(cast, posterior.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(posterior, from_pandas=True), pa.array(agreeing, pa.int32()), pa.array(quality, from_pandas=True)], names=[*columns, "posterior", "agreeing", "quality"])
 
     return kept.mapInArrow(run, schema)
 
 
-def kept_by(posterior, quality, keep_from: float):
-    """The decision: the scorer's, where the votes are not sure."""
-    return (posterior >= SURE) | ((quality >= keep_from) & (posterior > 1 - SURE))
+def kept_by(posterior, agreeing, quality, keep_from: float):
+    """The decision: the scorer's, where the votes are not sure or nobody voted."""
+    good, bad = posterior >= SURE, posterior <= 1 - SURE
+    return F.when((agreeing > 0) & (good | bad), good).otherwise(quality >= keep_from)
 
 
 def classify(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000, keep_empty: bool = False) -> DataFrame:
     """doc_id, posterior, quality and keep for every row."""
     scored = score(docs.select("doc_id", "text"), fit(docs, train_rows=train_rows, train_chars=train_chars))
-    return scored.withColumn("keep", F.coalesce(kept_by(F.col("posterior"), F.col("quality"), keep_from), F.lit(keep_empty)))
+    return scored.withColumn("keep", F.coalesce(kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), keep_from), F.lit(keep_empty))).drop("agreeing")
 
 
 def kept_documents(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     scored = score(docs.withColumn("__text", F.col("text")), fit(docs, train_rows=train_rows, train_chars=train_chars))
-    kept = scored.where(kept_by(F.col("posterior"), F.col("quality"), keep_from))
+    kept = scored.where(kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), keep_from))
     return kept.select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])

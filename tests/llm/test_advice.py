@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuewise.llm import neighbours
+from cuewise.llm import neighbours, quality
 
 
 def isotropic(spark, n: int, width: int = 64, seed: int = 9):
@@ -26,3 +26,15 @@ def test_neighbours_are_found_where_lists_are_many_times_the_probes(spark):
     table, points = isotropic(spark, 3000)
     rows = neighbours.search(table, F.col("vec_id") % 60 == 0, list_rows=15, probes=10, least_probes=5).collect()
     assert recall(rows, points, list(range(0, 3000, 60))) >= 0.95
+
+
+def test_the_scorer_decides_where_nobody_voted(spark):
+    """Short clean texts in a corpus of mostly junk do not go with the prior."""
+    clean = "the small house of the old town is by the river and the people like to walk there in the evening with friends " * 2
+    junk = "AB$$ CD!! EFGH$$ IJ## KLM?? NOP!! QR%% STU$$ VW&& XYZ!! BCD$$ EFG## HIJ!! "
+    rows = [(k, clean + "so they say") for k in range(60)] + [(100 + k, junk) for k in range(540)]
+    rows += [(1000, "the people walk by the river"), (1001, "the old town is small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {quality.NONE} == set(quality.votes(rows[-1][1])) == set(quality.votes(rows[-2][1]))
+    kept = {r.doc_id for r in quality.classify(docs).where("keep").collect()}
+    assert {1000, 1001} <= kept and not kept & set(range(100, 640))

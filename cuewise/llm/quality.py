@@ -19,6 +19,8 @@ are scored alone; an empty table gives an empty result; further columns pass.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -33,12 +35,14 @@ GRAMS, BITS = (2, 3), 16
 GOOD, BAD, NONE = 1, 0, 2
 #: Chance of good, or of bad, from which the votes overrule the scorer.
 SURE = 0.8
-#: A one-sided labeller's rate on good documents is at most this share of its rate on bad ones.
+#: A one-sided labeller's rate on good documents starts from this share of its rate on bad ones.
 FALSE_ALARM = 0.005
 #: Very common words of four languages.
 COMMON = frozenset(
     "the of and to in is that for it was on with be by this la le les de des et en un une que est pour dans il el los las del se y con por para der die das und ist ein eine den von zu mit nicht auf sich es".split()
 )
+#: Characters that are no symbols, besides letters.
+LISTED = " \n\t.,;:'-\"()?!|0123456789"
 #: The first six look for one kind of junk and say nothing when they do not find it.
 LABELLERS = ("symbols", "capitals", "shouting", "bars", "repeated_lines", "repeated_words", "common_words", "word_length", "sentences")
 ONE_SIDED = 6
@@ -52,6 +56,18 @@ def _vote(value: float, bad_below: float, good_from: float) -> int:
     return BAD if value < bad_below else GOOD if value >= good_from else NONE
 
 
+def _unlisted(text: str) -> tuple[int, frozenset[str]]:
+    """How many characters are neither letters, marks, numbers or punctuation of any script nor listed, and the marks."""
+    rest, marks = 0, set()
+    for c, n in Counter(text).items():
+        kind = "L" if c in LISTED else unicodedata.category(c)[0]
+        if kind == "M":
+            marks.add(c)
+        elif kind != "L" and (c.isascii() or kind not in "NPZ"):
+            rest += n
+    return rest, frozenset(marks)
+
+
 def votes(text: str | None) -> tuple[int, ...] | None:
     """Each labeller's vote on a text; None where there are no words."""
     words = (text or "").split()
@@ -60,21 +76,28 @@ def votes(text: str | None) -> tuple[int, ...] | None:
     letters = sum(map(str.isalpha, text))
     upper = sum(map(str.isupper, text))
     n, chars = len(words), len(text)
-    plain = letters + sum(map(text.count, " \n\t.,;:'-\"()?!|0123456789"))
+    odd, marks = len(text) - letters - sum(map(text.count, LISTED)), frozenset()
+    if odd >= 0.03 * len(text) and not text.isascii():
+        odd, marks = _unlisted(text)
+        letters += sum(map(text.count, marks))
     lines = [x for x in text.split("\n") if x.strip()]
     lowered = text.lower().split()
     stutter = NONE if n < 20 else _fault(sum(map(eq, words, words[1:])) / n, 0.1)
+    bare = text.translate(dict.fromkeys(map(ord, marks))).split() if marks else words
+    # Scripts without spaces give long "words".
+    unspaced = letters / n > 14 and sum(map("\u0e00".__le__, text)) > chars / 2
     few = n < 10 or stutter == BAD  # too little for the last three to judge by
     return (
-        NONE if n < 5 else _fault((chars - plain) / chars, 0.03),
+        NONE if n < 5 else _fault(odd / chars, 0.03),
         NONE if letters < 20 else _fault(upper / letters, 0.35),
         _fault((text.count("!!") + text.count("??") + text.count("$$")) / n, 0.05),
         _fault(text.count("|") / n, 0.08),
         NONE if len(lines) < 8 else _fault(1 - len(set(lines)) / len(lines), 0.5),
         stutter,
-        NONE if few or n < 30 else _vote(sum(map(COMMON.__contains__, lowered)) / n, 0.02, 0.08),
-        NONE if few else GOOD if 2.5 <= letters / n <= 9 else BAD if letters / n > 14 or letters / n < 1.5 else NONE,
-        NONE if few else _vote(sum(map(str.isalpha, words)) / n, 0.4, 0.7),
+        # Few of the known words: another language, as far as this one can tell.
+        NONE if few or n < 30 else GOOD if sum(map(COMMON.__contains__, lowered)) / n >= 0.08 else NONE,
+        NONE if few or unspaced else GOOD if 2.5 <= letters / n <= 9 else BAD if letters / n > 14 or letters / n < 1.5 else NONE,
+        NONE if few else _vote(sum(map(str.isalpha, bare)) / n, 0.4, 0.7),
     )
 
 
@@ -116,9 +139,8 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 60, pr
             for v in (0, 1, 2):
                 # Smoothing worth ten documents keeps the starting belief where votes are few.
                 rates[:, y, v] = (weight[:, None] * (digits == v)).sum(axis=0) + 10 * start[:, y, v]
-        rates[:ONE_SIDED] /= rates[:ONE_SIDED].sum(axis=2, keepdims=True)
-        rates[:ONE_SIDED, GOOD, BAD] = np.minimum(rates[:ONE_SIDED, GOOD, BAD], FALSE_ALARM * rates[:ONE_SIDED, BAD, BAD])
-        rates[ONE_SIDED:] /= rates[ONE_SIDED:, :, :NONE].sum(axis=2, keepdims=True)
+        rates[: ONE_SIDED + 1] /= rates[: ONE_SIDED + 1].sum(axis=2, keepdims=True)
+        rates[ONE_SIDED + 1 :] /= rates[ONE_SIDED + 1 :, :, :NONE].sum(axis=2, keepdims=True)
         # Saying nothing is no evidence: the fault is another one, or the text too short to judge.
         rates[:, :, NONE] = 1
         model = LabelModel(rates, float(np.clip((counts * good).sum() / counts.sum(), 0.01, 0.99)))
@@ -199,9 +221,10 @@ def score(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFrame
 
 
 def kept_by(posterior, agreeing, quality, keep_from: float):
-    """The decision: the scorer's, where the votes are not sure or nobody voted."""
+    """The decision: the votes' where they are sure, the scorer's elsewhere; a single vote yields to a scorer that is sure."""
     good, bad = posterior >= SURE, posterior <= 1 - SURE
-    return F.when((agreeing > 0) & (good | bad), good).otherwise(quality >= keep_from)
+    alone = F.when(good, quality > 1 - SURE).when(bad, quality >= SURE)
+    return F.when((agreeing > 1) & (good | bad), good).when((agreeing == 1) & (good | bad), alone).otherwise(quality >= keep_from)
 
 
 def classify(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000, keep_empty: bool = False) -> DataFrame:

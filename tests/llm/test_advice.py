@@ -38,3 +38,31 @@ def test_the_scorer_decides_where_nobody_voted(spark):
     assert {quality.NONE} == set(quality.votes(rows[-1][1])) == set(quality.votes(rows[-2][1]))
     kept = {r.doc_id for r in quality.classify(docs).where("keep").collect()}
     assert {1000, 1001} <= kept and not kept & set(range(100, 640))
+
+
+def test_clean_texts_of_other_scripts_and_languages_get_no_bad_vote():
+    hindi = "यह एक छोटा सा घर है जो नदी के किनारे पर बना हुआ है और लोग शाम को वहाँ टहलने जाते हैं। " * 4
+    thai = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอน ทำให้การเขียนภาษาไทยต้องมีรูปวรรณยุกต์ " * 12
+    polish = "Mały dom stoi nad rzeką, a ludzie chodzą tam wieczorem ze swoimi przyjaciółmi i rozmawiają o pogodzie. " * 4
+    quotes = "“Yes” — she said — “it’s the old town’s house”… " * 8
+    for text in (hindi, thai, polish, quotes):
+        assert quality.BAD not in quality.votes(text), text[:20]
+    assert quality.votes("Thnd*** iner%%% ther&&& ththsh$$$ ountin### " * 8)[0] == quality.BAD
+
+
+def test_a_labeller_that_errs_is_found_out():
+    """A fault vote that comes with good votes only is learnt to be a false alarm."""
+    def digits(*own):
+        return sum(v * 3**k for k, v in enumerate(own))
+
+    n, g, b = quality.NONE, quality.GOOD, quality.BAD
+    alarm, clean, junk = digits(b, n, n, n, n, n, g, g, g), digits(n, n, n, n, n, n, g, g, g), digits(n, b, b, n, n, n, n, n, b)
+    model = quality.fit_labels(np.array([alarm, clean, junk]), np.array([2000.0, 6000.0, 1500.0]))
+    assert model.posterior(np.array([alarm]))[0] > 0.8 and model.posterior(np.array([junk]))[0] < 0.2
+
+
+def test_a_sure_scorer_overrules_a_single_vote(spark):
+    rows = [(0.01, 1, 0.95), (0.01, 2, 0.95), (0.99, 1, 0.05), (0.99, 2, 0.05), (0.01, 1, 0.6), (0.5, 0, 0.6)]
+    table = spark.createDataFrame(rows, "posterior double, agreeing int, quality double")
+    got = [r[0] for r in table.coalesce(1).select(quality.kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), 0.5)).collect()]
+    assert got == [True, False, False, True, False, True]

@@ -64,11 +64,11 @@ def by_turn(values: Sequence[Column], turn: Column) -> Column:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Id, source, size in words and the hash that fixes the order within a source."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def sized(docs: DataFrame, *keys: str) -> DataFrame:
+    """Id, source, size in words and the hash that fixes the order within a source; with ``keys``, rows without an id are ordered by their text."""
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), *[F.md5("text") for _ in keys[:1]], F.lit("")))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order")
+        *keys, F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order")
     ).withColumn("range", F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("int") / F.lit(65536 // RANGES)).cast("int"))
 
 
@@ -106,8 +106,14 @@ def mix(docs: DataFrame, *, schedules: Sequence[Schedule] = RAMPS, share: float
     its target, rounded: whole passages over it and then its first documents in
     hash order, the last one in part.
     """
+    mixed = placements(docs, schedules=schedules, share=share, most_repeats=most_repeats)
+    return mixed.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "size")
+
+
+def placements(docs: DataFrame, *keys: str, schedules: Sequence[Schedule] = RAMPS, share: float = 1.5, most_repeats: float = 2.0) -> DataFrame:
+    """The rows of ``mix`` in no order, led by the columns ``keys`` that tell rows of equal or no id apart."""
     staging = Staging(docs.sparkSession, "mixing")
-    rows = staging.write(sized(docs), "sized")
+    rows = staging.write(sized(docs, *keys), "sized")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("source", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
@@ -115,7 +121,7 @@ def mix(docs: DataFrame, *, schedules: Sequence[Schedule] = RAMPS, share: float
     places = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     places = places.withColumnsRenamed({"source": "of", "range": "of_range"})
 
-    inside = W.partitionBy("source", "range").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("order", F.col("doc_id").asc_nulls_last(), "size", *keys).rowsBetween(W.unboundedPreceding, -1)
     joined = rows.join(places, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")))
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.col("source_size") * F.col("passes")
@@ -129,7 +135,7 @@ def mix(docs: DataFrame, *, schedules: Sequence[Schedule] = RAMPS, share: float
         .withColumn("position", F.when(F.col("taken") > 0, share_at(F.col("start"))))
         .withColumn("position_2", F.when(F.col("taken") > F.col("size"), share_at(F.col("source_size") + F.col("start"))))
     )
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "position_2").orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), "size")
+    return mixed.select(*keys, "doc_id", "source", "size", "source_size", "target", "taken", "position", "position_2")
 
 
 def inverse_each(schedules: Sequence[Schedule], share: Column) -> Column:

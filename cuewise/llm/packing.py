@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .staging import Staging
 
@@ -81,23 +82,37 @@ def cut(n_ids: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n_ids, limit)]
 
 
-def tokenized_pieces(docs: DataFrame, *, rank_file: str, pattern: str, limit: int, end_id: int) -> DataFrame:
-    """One row a piece: document, piece number, start, length and checksum of its ids."""
+def tokenized_pieces(docs: DataFrame, *, rank_file: str, pattern: str, limit: int, end_id: int, place: Column | None = None) -> DataFrame:
+    """One row a piece: document, piece number, start, length and checksum of its ids, and its document's ``place``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo(rank_encoder(rank_file, pattern))
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for n, (row, doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 ids = memo.text(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
-                    for column, value in zip(out, (row, doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
+                    for column, value in zip(out, (row, doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["row_id", "doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            columns[6] = batch.column(3).take(columns[6])
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, PIECES)
+    names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"] + (["place"] if place is not None else [])
+    row = F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text", (row if place is None else place).alias("place"))
+    return rows.mapInArrow(run, PIECES if place is None else PIECES + ", place long")
+
+
+def written_place(docs: DataFrame) -> Column:
+    """Where a row stands: in the order of the numbered files that Spark wrote and read again, else in that of the partitions."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    number = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{pattern}', 1) AS bigint)"), F.lit(0))
+    return F.shiftleft(number("part-([0-9]+)"), 43) + F.shiftleft(number("[.-]c([0-9]+)[.]"), 33) + F.col("_metadata.row_index")
 
 
 def best_fit(lengths: list[int], limit: int, open_bins: int) -> tuple[list[int], list[int]]:
@@ -136,7 +151,10 @@ def best_fit(lengths: list[int], limit: int, open_bins: int) -> tuple[list[int],
 
 
 def pack_pieces(pieces: DataFrame, *, limit: int, open_bins: int, groups: int) -> DataFrame:
-    """Places for all pieces: sequence id and offset, packed within ``groups`` groups."""
+    """Places for all pieces: sequence id and offset, packed within ``groups`` groups.
+
+    Where pieces have a ``place``, groups are runs of it, one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task holds one group, whose size is bounded by pieces_per_group.
@@ -146,11 +164,14 @@ def pack_pieces(pieces: DataFrame, *, limit: int, open_bins: int, groups: int) -
         table = pa.Table.from_batches(rows)
         group = table.column("group")[0].as_py()
         where, at = best_fit(table.column("length").to_pylist(), limit, open_bins)
-        table = table.drop_columns(["group"])
+        table = table.select([c for c in table.column_names if c not in ("group", "place")])
         table = table.append_column("sequence_id", pa.array(np.array(where, np.int64) + (group << 40), pa.int64()))
         yield from table.append_column("offset", pa.array(at, pa.int64())).to_batches(max_chunksize=50_000)
 
     # Long pieces arrive first: short ones then fill what those have left.
+    if "place" in pieces.columns:
+        runs = pieces.repartitionByRange(groups, "place").withColumn("group", F.spark_partition_id())
+        return runs.sortWithinPartitions(F.desc("length"), "place", "piece").mapInArrow(run, PLACED)
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     ordered = dealt.repartitionById(groups, F.col("group")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "row_id")
     return ordered.mapInArrow(run, PLACED)
@@ -165,13 +186,15 @@ def pack(
     end_id: int = 2,
     open_bins: int = 8192,
     pieces_per_group: int = 20_000,
+    in_order: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``limit`` tokens.
 
     Columns: row_id (tells rows of equal doc_id apart), doc_id, piece, start,
-    length, ids_crc32, sequence_id, offset.
+    length, ids_crc32, sequence_id, offset.  With ``in_order`` groups are contiguous runs
+    of the rows as they were written, and sequence ids follow the runs.
     """
     staging = Staging(docs.sparkSession, "packing")
-    pieces = staging.write(tokenized_pieces(docs, rank_file=rank_file, pattern=pattern, limit=limit, end_id=end_id), "pieces")
+    pieces = staging.write(tokenized_pieces(docs, rank_file=rank_file, pattern=pattern, limit=limit, end_id=end_id, place=written_place(docs) if in_order else None), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
     return pack_pieces(pieces, limit=limit, open_bins=open_bins, groups=groups)

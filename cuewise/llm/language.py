@@ -6,8 +6,8 @@ languages' scores.  Both are trained by stochastic gradient descent in numpy.
 Part of the training rows is held back for calibration: a temperature that makes
 the scores honest, and the score below which an answer counts as rejected.
 
-Scale: training uses a bounded sample (``train_rows``, of texts of at most
-``train_chars``), chosen by a hash of the id, so its cost does not follow the input.
+Scale: training uses a bounded sample (``train_rows``, of a longer text a chunk of
+``train_chars``) with a quota for each language, chosen by a hash of the id, so its cost does not follow the input.
 Embeddings and softmax fold into one table with a row a bucket and a column a
 language; prediction is a map over whole texts with gathers from that table, no shuffle.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .hashed import averages, counted
 
@@ -89,14 +89,33 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     return model
 
 
+def quota(counts: dict[str, int], train_rows: int, least: int = 50) -> int:
+    """The most rows of one language with which all languages together give ``train_rows``; ``least`` at least."""
+    left, rest = train_rows, sorted(counts.values())
+    for k, n in enumerate(rest):
+        if n * (len(rest) - k) >= left:
+            return max(least, left // (len(rest) - k))
+        left -= n
+    return max([least, *rest])
+
+
 def training_sample(docs: DataFrame, eligible: Column, *, train_rows: int, train_chars: int) -> tuple[list[str], list[str]]:
-    """Some ``train_rows`` eligible rows by a hash of their id, twice as many at most."""
-    rows = docs.where(eligible & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= train_chars))
-    n = rows.count()
-    space = 1 << 30
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < int(space * min(1.0, train_rows / max(1, n))))
-    found = chosen.select("text", "lang").limit(2 * train_rows).toPandas() if n else None
-    return ([], []) if found is None else (found["text"].tolist(), found["lang"].tolist())
+    """Up to a common quota of eligible rows of each language by a hash of their id; of a longer text a chunk of ``train_chars``."""
+    rows = docs.where(eligible & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return [], []
+    most, space = quota(counts, train_rows), 1 << 30
+    # A few more than the quota are drawn, so that hardly a language falls short of it.
+    shares = [(x, int(space * min(1.0, (most + 5 * most**0.5) / n))) for x, n in counts.items()]
+    drawn = rows.join(docs.sparkSession.createDataFrame(shares, "of string, share long"), F.col("lang") == F.col("of"))
+    hashed = F.xxhash64("doc_id")
+    drawn = drawn.where(F.pmod(hashed, F.lit(space)) < F.col("share"))
+    begin = F.pmod(hashed, F.greatest(F.length("text") - train_chars + 1, F.lit(1))) + 1
+    drawn = drawn.select(F.substring("text", begin.cast("int"), F.lit(train_chars)).alias("text"), "lang", hashed.alias("hash"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    found = drawn.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("lang", "turn").select("text", "lang").toPandas()
+    return found["text"].tolist(), found["lang"].tolist()
 
 
 def predict(docs: DataFrame, model: Model | None, *columns: Column) -> DataFrame:

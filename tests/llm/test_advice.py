@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuewise.llm import neighbours, quality
+from cuewise.llm import language, neighbours, quality
 
 
 def isotropic(spark, n: int, width: int = 64, seed: int = 9):
@@ -66,3 +66,18 @@ def test_a_sure_scorer_overrules_a_single_vote(spark):
     table = spark.createDataFrame(rows, "posterior double, agreeing int, quality double")
     got = [r[0] for r in table.coalesce(1).select(quality.kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), 0.5)).collect()]
     assert got == [True, False, False, True, False, True]
+
+
+def test_a_rare_language_and_one_of_long_texts_are_learnt(spark):
+    def text(letters, k, words):
+        rng = np.random.default_rng(k)
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(words))
+
+    rows = [(k, text("abcdefg", k, 12), "aa") for k in range(3000)] + [(5000 + k, text("hijklmn", k, 12), "bb") for k in range(24)] + [(6000 + k, text("opqrstu", k, 400), "cc") for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = language.training_sample(docs, F.lit(True), train_rows=300, train_chars=500)
+    assert langs.count("bb") == langs.count("cc") == 24 and len(langs) <= 300
+    assert max(map(len, texts)) <= 500
+    got = language.identify(docs, train_rows=300, train_chars=500).collect()
+    want = {k: lang for k, _, lang in rows}
+    assert all(np.mean([r.lang_pred == x for r in got if want[r.doc_id] == x]) > 0.8 for x in ("aa", "bb", "cc"))

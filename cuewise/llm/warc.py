@@ -19,12 +19,15 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Character references that are decoded by name; ``amp`` is decoded last.
+#: Character references by name that the oracle knows besides ``amp``; all of HTML's are decoded.
 NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€"}
+SLOTS = 251
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 _BLOCK = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|aside|main|header|footer|nav|title|head|body|html|blockquote|pre|hr|form|figure|figcaption"
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
@@ -34,29 +37,60 @@ ANY_TAG = r"<[/!?A-Za-z][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANGUAGE = r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z0-9-]+)"""
 LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Links, and first what holds none, which leaves the group empty.
+SHOWN_LINK = rf"{COMMENT}|(?is:<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z))|{LINK}"
 
 
-def _numeric_references(text: Column) -> Column:
-    """``&#8211;`` and ``&#x2013;`` decoded; what is no code point stays as it is."""
-    pieces = F.split(text, "&#")
+def _slot(first: int, length: int) -> int:
+    return (first + 31 * length) % SLOTS
 
-    def decoded(piece: Column) -> Column:
-        hexed, plain = F.regexp_extract(piece, "^[xX]([0-9A-Fa-f]{1,6});", 1), F.regexp_extract(piece, "^([0-9]{1,7});", 1)
-        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("long")).when(plain != "", plain.cast("long"))
+
+def _slots() -> str:
+    """The names that end in a semicolon, as JSON: a list of small maps, as Spark looks through a map from its start."""
+    maps: list[dict] = [{} for _ in range(SLOTS)]
+    for name, char in html5.items():
+        if name.endswith(";"):
+            maps[_slot(ord(name[0]), len(name) - 1)][name[:-1]] = char
+    return json.dumps(maps)
+
+
+def decoded(text: Column, *, attribute: bool = False) -> Column:
+    """Character references decoded, once; what names no character stays as it is.
+
+    Old names need no semicolon, in an ``attribute`` only where no letter, digit or ``=`` follows.
+    """
+    table = F.from_json(F.lit(_SLOTS), "array<map<string,string>>")
+    pieces = F.split(text, "&")
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed, digits = F.regexp_extract(name, "^#[xX](.+)", 1), F.regexp_extract(name, "^#([0-9]+)$", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("long")).when(digits != "", digits.cast("long"))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.regexp_replace(piece, "^[0-9A-Fa-fxX]+;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        named = F.element_at(F.element_at(table, ((F.ascii(name) + 31 * F.length(name)) % SLOTS + 1).cast("int")), name)
+        old = F.regexp_extract(piece, _OLD + ("(?![=A-Za-z0-9])" if attribute else ""), 1)
+        bare = F.element_at(F.from_json(F.lit(_OLD_JSON), "map<string,string>"), old)
+        after = lambda found, more: F.substring(piece, F.length(found) + more, F.length(piece))
+        return (
+            F.when(name.startswith("#"), F.coalesce(F.concat(char, after(name, 2)), F.concat(F.lit("&"), piece)))
+            .when((name != "") & named.isNotNull(), F.concat(named, after(name, 2)))
+            .when(old != "", F.concat(bare, after(old, 1)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+
 
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
-    return F.when(F.contains(text, F.lit("&#")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+_SLOTS = _slots()
+_OLD_JSON = json.dumps({n: c for n, c in html5.items() if not n.endswith(";")})
+_OLD = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
 
 def plain(text: Column) -> Column:
     """References decoded, blanks collapsed, blank lines dropped."""
-    text = _numeric_references(text)
-    for name, char in NAMED.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = decoded(text)
     # A single space stays and is not replaced by itself.
     text = F.regexp_replace(text, r" [ \t\r\f\x{B}\x{A0}]+|[\t\r\f\x{B}\x{A0}][ \t\r\f\x{B}\x{A0}]*", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
@@ -101,7 +135,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     html = F.col("payload")
     # Columns of their own first: what ``plain`` uses several times is then evaluated once a row.
     coded = found.withColumns({"coded": without_tags(html), "coded_title": F.regexp_extract(html, TITLE, 1)})
-    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.regexp_extract_all(html, F.lit(LINK), F.lit(1))})
+    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), lambda x: decoded(x, attribute=True))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
         F.when(F.col("title") != "", line("title", F.replace("title", F.lit("\n"), F.lit(" ")))).otherwise(""),

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuewise.llm import language, neighbours, quality
+from cuewise.llm import language, neighbours, quality, warc
 
 
 def isotropic(spark, n: int, width: int = 64, seed: int = 9):
@@ -81,3 +81,10 @@ def test_a_rare_language_and_one_of_long_texts_are_learnt(spark):
     got = language.identify(docs, train_rows=300, train_chars=500).collect()
     want = {k: lang for k, _, lang in rows}
     assert all(np.mean([r.lang_pred == x for r in got if want[r.doc_id] == x]) > 0.8 for x in ("aa", "bb", "cc"))
+
+
+def test_all_references_are_decoded_and_links_are_those_of_the_page(spark):
+    page = "<title>caf&eacute; &rsquo;&NotEqualTilde;</title><!-- <a href='/no'>x</a> --><script>'<a href=/no2>'</script><noscript><a href=/yes></noscript><p>&uuml;&ntilde; &amp;eacute; &#38;lt; &nosuch; &copy 1 a&b</p><a href='/a?x=1&amp;y=2&copy=3'>go</a>"
+    rows = {r.warc_type: r.body for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()}
+    assert rows["conversion"].endswith("üñ &eacute; &lt; &nosuch; © 1 a&b\ngo")
+    assert rows["metadata"] == "title: café ’≂̸\r\noutlink: /yes\r\noutlink: /a?x=1&y=2&copy=3\r\n"

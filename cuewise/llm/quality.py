@@ -3,18 +3,19 @@
 Method: overlapping heuristic labellers vote good, bad or nothing on each document.
 Expectation-maximisation over the votes estimates how often each is right for
 good and for bad documents, and how common those are, without any true label.  The
-posteriors label a training sample for a linear scorer on hashed byte n-grams,
-which then scores every document from its whole text.
+posteriors label a training sample for a linear scorer on hashed features: byte
+n-grams, and the faults that labellers found, which n-grams alone cannot see.  The
+scorer then decides on every document from its whole text, whether anybody voted or not.
 
 Scale: votes depend on a text alone, so their patterns are counted in one pass;
 three outcomes a labeller bound the number of patterns (3^9), and only those
 counts reach the driver.  The scorer is fitted on a bounded sample (``train_rows``,
-texts of at most ``train_chars``), chosen by a hash of the id.  Scoring is a map
-without a shuffle; the model's size is fixed.
+of a longer text a chunk of ``train_chars``; its votes are those of the whole text), chosen and
+ordered by a hash of id and text.  Scoring is a map without a shuffle; the model's size is fixed.
 
 Edge cases: a null, empty or blank text has no votes, quality null, and is kept
 only by ``keep_empty``; ties in the score go to keep; rows with equal or null ids
-are scored alone; an empty table gives an empty result; further columns pass.
+are scored alone; an empty table gives an empty result; further columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashed import averages, counted
 
 GRAMS, BITS = (2, 3), 16
 GOOD, BAD, NONE = 1, 0, 2
-#: Chance of good, or of bad, from which the votes overrule the scorer.
-SURE = 0.8
+#: What a fault counts as a feature, beside n-grams' shares.
+FAULT = 0.1
 #: A one-sided labeller's rate on good documents starts from this share of its rate on bad ones.
 FALSE_ALARM = 0.005
 #: Very common words of four languages.
@@ -147,18 +149,29 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 60, pr
     return model
 
 
+def fault_slots(cast: tuple[int, ...]) -> np.ndarray:
+    """The scorer's features of the faults that labellers found."""
+    found = np.flatnonzero(np.array(cast) == BAD).astype(np.uint64)
+    return ((found + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 @dataclass
 class Scorer:
     weight: np.ndarray
     bias: float
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(averages(texts, self.weight[:, None], GRAMS, BITS)[:, 0] + self.bias, -500, 500)))
+    def score(self, texts: list[str], cast: list[tuple[int, ...]]) -> np.ndarray:
+        """Quality from 0 to 1 of texts with their votes."""
+        faults = np.array([self.weight[fault_slots(c)].sum() * FAULT for c in cast])
+        return 1 / (1 + np.exp(-np.clip(averages(texts, self.weight[:, None], GRAMS, BITS)[:, 0] + faults + self.bias, -500, 500)))
 
 
-def fit_scorer(texts: list[str], target: np.ndarray, *, epochs: int = 6, rate: float = 60.0, seed: int = 3) -> Scorer:
-    """Logistic regression on n-gram shares by stochastic gradient descent, both classes weighing the same."""
-    rows, rng = list(counted(texts, GRAMS, BITS)), np.random.default_rng(seed)
+def fit_scorer(texts: list[str], cast: list[tuple[int, ...]], target: np.ndarray, *, epochs: int = 6, rate: float = 60.0, seed: int = 3) -> Scorer:
+    """Logistic regression on n-gram shares and faults by stochastic gradient descent, both classes weighing the same."""
+    rows, rng = [], np.random.default_rng(seed)
+    for (index, part), c in zip(counted(texts, GRAMS, BITS), cast, strict=True):
+        faults = fault_slots(c)
+        rows.append((np.concatenate([index.astype(np.int64), faults]), np.concatenate([part, np.full(len(faults), FAULT)])))
     weight, bias = np.zeros(2**BITS), 0.0
     share = np.clip(target.mean(), 0.02, 0.98) if len(target) else 0.5
     for epoch in range(epochs):
@@ -167,74 +180,88 @@ def fit_scorer(texts: list[str], target: np.ndarray, *, epochs: int = 6, rate: f
             index, part = rows[i]
             p = 1 / (1 + np.exp(-np.clip(weight[index] @ part + bias, -500, 500)))
             error = (p - target[i]) * (target[i] * 0.5 / share + (1 - target[i]) * 0.5 / (1 - share))
-            weight[index] -= step * error * part
+            np.subtract.at(weight, index, step * error * part)
             bias -= 0.01 * error
     return Scorer(weight, bias)
 
 
-def _vote_patterns(docs: DataFrame, *columns: str) -> DataFrame:
-    kept = docs.select(*columns, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", votes int" if columns else "votes int"
+def digits(found: np.ndarray) -> list[tuple[int, ...]]:
+    """The votes that ``pattern`` made numbers of."""
+    return [tuple(row) for row in (found[:, None] // 3 ** np.arange(len(LABELLERS)) % 3).tolist()]
+
+
+def _with_votes(rows: DataFrame) -> DataFrame:
+    """Rows (hash, text) as (hash, votes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pattern(votes(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["hash", "votes"])
+
+    return rows.mapInArrow(run, "hash long, votes int")
+
+
+def _sample(rows: DataFrame, below: int, train_rows: int, train_chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts, or chunks of longer ones, and vote patterns of the rows (hash, text) that come first by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pattern(votes(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int32())], names=[*columns, "votes"])
+            texts = batch.column(1).to_pylist()
+            found = [pattern(votes(t)) for t in texts]
+            begin = [h % max(1, len(t or "") - train_chars + 1) for h, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+            chunks = [(t or "")[a : a + train_chars] for t, a in zip(texts, begin, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32()), pa.array(chunks, pa.string())], names=["hash", "votes", "text"])
 
-    return kept.mapInArrow(run, schema)
+    some = rows.where(F.col("hash") < below).mapInArrow(run, "hash long, votes int, text string").where("votes is not null")
+    # Without a vote the posterior is the prior, which teaches nothing about the text.
+    nothing = sum(NONE * 3**k for k in range(len(LABELLERS)))
+    first = some.where(F.col("votes") != nothing).orderBy("hash", "text").limit(train_rows).toPandas()
+    return first["text"].tolist(), first["votes"].to_numpy(np.int64)
 
 
 def fit(docs: DataFrame, *, train_rows: int = 6000, train_chars: int = 20_000) -> tuple[LabelModel, Scorer] | None:
     """Label model from all documents' votes, scorer from a bounded sample; None without any words."""
-    counts = _vote_patterns(docs).where("votes is not null").groupBy("votes").agg(F.count("*").alias("n")).toPandas()
+    space = 1 << 30
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(space)).alias("hash"), "text")
+    counts = _with_votes(rows).where("votes is not null").groupBy("votes").agg(F.count("*").alias("n"), F.min("hash").alias("first")).toPandas()
     if not len(counts):
         return None
-    labels = fit_labels(counts["votes"].to_numpy(np.int64), counts["n"].to_numpy(float))
-    n, space = int(counts["n"].sum()), 1 << 30
-    chosen = docs.where((F.length("text") <= train_chars) & (F.pmod(F.xxhash64("doc_id"), F.lit(space)) < int(space * min(1.0, train_rows / n))))
-    # Without a vote the posterior is the prior, which teaches nothing about the text.
-    sample = [t for t in chosen.select("text").limit(2 * train_rows).toPandas()["text"] if set(votes(t) or ()) - {NONE}]
-    target = labels.posterior(np.array([pattern(votes(t)) for t in sample], np.int64).reshape(-1))
-    return labels, fit_scorer(sample, target)
+    patterns = counts["votes"].to_numpy(np.int64)
+    labels = fit_labels(patterns, counts["n"].to_numpy(float))
+    # A few more are drawn than are wanted; one at least, however many rows repeat.
+    share = int(space * min(1.0, (train_rows + 5 * train_rows**0.5) / counts["n"].sum()))
+    texts, found = _sample(rows, max(share, int(counts["first"].min()) + 1), train_rows, train_chars)
+    return labels, fit_scorer(texts, digits(found), labels.posterior(found))
 
 
-def score(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFrame:
-    """All columns of ``docs`` but text, then posterior (of the votes), agreeing (votes for what it favours) and quality (of the scorer)."""
-    columns = [c for c in docs.columns if c != "text"]
-    kept = docs.select(*columns, "text")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema[:-1]) + "posterior double, agreeing int, quality double"
+def _scored(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., then posterior (of the votes) and quality (of the scorer)."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             cast = [votes(t) for t in texts]
-            found = [pattern(v) for v in cast]
-            some = np.array([p is not None for p in found], bool)
+            some = np.array([c is not None for c in cast], bool)
             posterior, quality = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             if model is not None and some.any():
-                posterior[some] = model[0].posterior(np.array([p for p in found if p is not None], np.int64))
-                quality[some] = model[1].score([t for t, s in zip(texts, some, strict=True) if s])
-            agreeing = [None if v is None else v.count(GOOD if p >= 0.5 else BAD) for v, p in zip(cast, posterior.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(posterior, from_pandas=True), pa.array(agreeing, pa.int32()), pa.array(quality, from_pandas=True)], names=[*columns, "posterior", "agreeing", "quality"])
-
-    return kept.mapInArrow(run, schema)
-
+                voted = [c for c in cast if c is not None]
+                posterior[some] = model[0].posterior(np.array([pattern(c) for c in voted], np.int64))
+                quality[some] = model[1].score([t for t, s in zip(texts, some, strict=True) if s], voted)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(posterior, from_pandas=True), pa.array(quality, from_pandas=True)], names=[*names, "posterior", "quality"])
 
-def kept_by(posterior, agreeing, quality, keep_from: float):
-    """The decision: the votes' where they are sure, the scorer's elsewhere; a single vote yields to a scorer that is sure."""
-    good, bad = posterior >= SURE, posterior <= 1 - SURE
-    alone = F.when(good, quality > 1 - SURE).when(bad, quality >= SURE)
-    return F.when((agreeing > 1) & (good | bad), good).when((agreeing == 1) & (good | bad), alone).otherwise(quality >= keep_from)
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("posterior", DoubleType()), StructField("quality", DoubleType())])
+    return docs.toDF(*names).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000, keep_empty: bool = False) -> DataFrame:
     """doc_id, posterior, quality and keep for every row."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, train_rows=train_rows, train_chars=train_chars))
-    return scored.withColumn("keep", F.coalesce(kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), keep_from), F.lit(keep_empty))).drop("agreeing")
+    scored = _scored(docs.select("doc_id", "text"), fit(docs, train_rows=train_rows, train_chars=train_chars))
+    return scored.select(F.col("c0").alias("doc_id"), "posterior", "quality", F.coalesce(F.col("quality") >= keep_from, F.lit(keep_empty)).alias("keep"))
 
 
 def kept_documents(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    scored = score(docs.withColumn("__text", F.col("text")), fit(docs, train_rows=train_rows, train_chars=train_chars))
-    kept = scored.where(kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), keep_from))
-    return kept.select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    kept = _scored(docs, fit(docs, train_rows=train_rows, train_chars=train_chars)).where(F.col("quality") >= keep_from)
+    return kept.drop("posterior", "quality").toDF(*docs.columns)

@@ -7,7 +7,7 @@ Part of the training rows is held back for calibration: a temperature that makes
 the scores honest, and the score below which an answer counts as rejected.
 
 Scale: training uses a bounded sample (``train_rows``, of a longer text a chunk of
-``train_chars``) with a quota for each language, chosen by a hash of the id, so its cost does not follow the input.
+``train_chars``) with a quota for each language, chosen and ordered by a hash of id and text, so its cost does not follow the input.
 Embeddings and softmax fold into one table with a row a bucket and a column a
 language; prediction is a map over whole texts with gathers from that table, no shuffle.
 
@@ -30,7 +30,13 @@ from .hashed import averages, counted
 
 GRAMS, BITS, WIDTH = (3, 4), 15, 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ALMOST_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a letter of any script is in a text; signs such as ² or Ⅷ are none."""
+    found = _ALMOST_LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
 
 
 @dataclass
@@ -100,16 +106,16 @@ def quota(counts: dict[str, int], train_rows: int, least: int = 50) -> int:
 
 
 def training_sample(docs: DataFrame, eligible: Column, *, train_rows: int, train_chars: int) -> tuple[list[str], list[str]]:
-    """Up to a common quota of eligible rows of each language by a hash of their id; of a longer text a chunk of ``train_chars``."""
+    """Up to a common quota of eligible rows of each language by a hash of id and text; of a longer text a chunk of ``train_chars``."""
     rows = docs.where(eligible & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    space, hashed = 1 << 30, F.xxhash64("doc_id", "text")
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod(hashed, F.lit(space))).alias("first")).collect()}
     if not counts:
         return [], []
-    most, space = quota(counts, train_rows), 1 << 30
-    # A few more than the quota are drawn, so that hardly a language falls short of it.
-    shares = [(x, int(space * min(1.0, (most + 5 * most**0.5) / n))) for x, n in counts.items()]
+    most = quota({x: r["n"] for x, r in counts.items()}, train_rows)
+    # A few more than the quota are drawn, so that hardly a language falls short of it; the first by hash at least.
+    shares = [(x, max(r["first"] + 1, int(space * min(1.0, (most + 5 * most**0.5) / r["n"])))) for x, r in counts.items()]
     drawn = rows.join(docs.sparkSession.createDataFrame(shares, "of string, share long"), F.col("lang") == F.col("of"))
-    hashed = F.xxhash64("doc_id")
     drawn = drawn.where(F.pmod(hashed, F.lit(space)) < F.col("share"))
     begin = F.pmod(hashed, F.greatest(F.length("text") - train_chars + 1, F.lit(1))) + 1
     drawn = drawn.select(F.substring("text", begin.cast("int"), F.lit(train_chars)).alias("text"), "lang", hashed.alias("hash"))
@@ -127,7 +133,7 @@ def predict(docs: DataFrame, model: Model | None, *columns: Column) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            known = np.array([model is not None and t is not None and _LETTER.search(t) is not None for t in texts], bool)
+            known = np.array([model is not None and t is not None and has_letter(t) for t in texts], bool)
             chances = model.probabilities(texts) if model is not None else np.zeros((len(texts), 1))
             best = chances.argmax(axis=1) if len(texts) else np.zeros(0, int)
             score = np.where(known, chances.max(axis=1, initial=0), 0.0)

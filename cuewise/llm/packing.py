@@ -7,7 +7,7 @@ or above the piece's length.  When the fixed number of open bins is used up, the
 fullest one closes first.
 
 Scale: tokenising is a map over the documents and nothing but piece lengths and
-checksums leaves it.  Pieces are dealt by a hash of document, number and
+checksums leaves it.  Pieces are dealt by a hash of row, document, number and
 checksum to packing groups whose number follows the number of pieces, so a group's memory does not
 grow with the input; each group packs alone and its sequence ids start at its own
 offset.  A hot source is spread like any other, since only the hash decides.
@@ -20,7 +20,6 @@ an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,42 +35,43 @@ PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32
 PLACED = PIECES + ", sequence_id long, offset long"
 #: Words whose ids a worker remembers before it starts afresh.
 MEMO_WORDS = 400_000
-#: A space next to white space: there the tokenizer's pre-split does not start at the space alone.
-_AMBIGUOUS = re.compile(r"^\s|\s$| \s|\s ")
-
-
-def rank_encoder(rank_file: str, pattern: str):
-    """The byte-level BPE of ``rank_file`` (same ids as its tokenizers JSON), as text -> list of ids."""
-    import tiktoken
-
-    with open(rank_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+#: White space that is more than one blank or line feed between two words; there the tokenizer decides on the whole stretch.
+_BROAD = re.compile(r"^\s|\s$|[^\S \n]|\s\s")
+#: A blank between two words: the tokenizer's own split starts a unit there.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordMemo(dict):
-    """Ids of a space-led word as little-endian unsigned 32-bit bytes.
+    """Ids of texts by ``tokenizer`` as little-endian unsigned 32-bit bytes, a word's ids being looked up once.
 
-    The pre-split starts a new unit at a lone space, so a text's ids are the
-    ids of its space-led words in a row.
+    The tokenizer splits a text before it merges anything: behind a word a lone blank starts
+    a unit with what follows, and a lone line feed is one of its own.  So a text's ids are those of its
+    blank-led words in a row.  Keys are such words with their blank, or without for a first word.
     """
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.encode = encode
+        self.tokenizer = tokenizer
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(" " + word), "<u4").tobytes()
+        if "\n" in word and _BROAD.search(word[1:]) is None:
+            first, *rest = word.split("\n")
+            ids = b"".join([self[first], *(part for line in rest for part in (self["\n"], self[line]))]) if len(word) > 1 else self.encoded(word)
+        else:
+            ids = self.encoded(word)
         self[word] = ids
         return ids
 
     def text(self, text: str) -> bytes:
-        if not text or _AMBIGUOUS.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
+        if not text:
+            return b""
         if len(self) > MEMO_WORDS:
             self.clear()
-        words = text.split(" ")
-        return np.array(self.encode(words[0]), "<u4").tobytes() + b"".join(map(self.__getitem__, words[1:]))
+        first, *words = _BETWEEN.split(text) if _BROAD.search(text) else text.split(" ")
+        return self[first] + b"".join([self[" " + w] for w in words])
 
 
 def cut(n_ids: int, limit: int) -> list[tuple[int, int]]:
@@ -82,12 +82,14 @@ def cut(n_ids: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n_ids, limit)]
 
 
-def tokenized_pieces(docs: DataFrame, *, rank_file: str, pattern: str, limit: int, end_id: int, place: Column | None = None) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, *, tokenizer_file: str, limit: int, end_id: int, place: Column | None = None) -> DataFrame:
     """One row a piece: document, piece number, start, length and checksum of its ids, and its document's ``place``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(rank_encoder(rank_file, pattern))
+        from tokenizers import Tokenizer
+
+        memo = WordMemo(Tokenizer.from_file(tokenizer_file))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for n, (row, doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
@@ -168,24 +170,24 @@ def pack_pieces(pieces: DataFrame, *, limit: int, open_bins: int, groups: int) -
         table = table.append_column("sequence_id", pa.array(np.array(where, np.int64) + (group << 40), pa.int64()))
         yield from table.append_column("offset", pa.array(at, pa.int64())).to_batches(max_chunksize=50_000)
 
-    # Long pieces arrive first: short ones then fill what those have left.
     if "place" in pieces.columns:
         runs = pieces.repartitionByRange(groups, "place").withColumn("group", F.spark_partition_id())
-        return runs.sortWithinPartitions(F.desc("length"), "place", "piece").mapInArrow(run, PLACED)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    ordered = dealt.repartitionById(groups, F.col("group")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "row_id")
+        return runs.sortWithinPartitions("place", "piece").mapInArrow(run, PLACED)
+    # Pieces arrive in the order of a hash, so that long and short ones are mixed.
+    dealt = pieces.withColumn("arrival", F.xxhash64("row_id", "doc_id", "piece", "ids_crc32"))
+    dealt = dealt.withColumn("group", F.pmod("arrival", F.lit(groups)).cast("int"))
+    ordered = dealt.repartitionById(groups, F.col("group")).sortWithinPartitions("arrival", "row_id", "piece").drop("arrival")
     return ordered.mapInArrow(run, PLACED)
 
 
 def pack(
     docs: DataFrame,
     *,
-    rank_file: str,
-    pattern: str,
+    tokenizer_file: str,
     limit: int = 1024,
     end_id: int = 2,
-    open_bins: int = 8192,
-    pieces_per_group: int = 20_000,
+    open_bins: int = 256,
+    pieces_per_group: int = 100_000,
     in_order: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``limit`` tokens.
@@ -195,6 +197,6 @@ def pack(
     of the rows as they were written, and sequence ids follow the runs.
     """
     staging = Staging(docs.sparkSession, "packing")
-    pieces = staging.write(tokenized_pieces(docs, rank_file=rank_file, pattern=pattern, limit=limit, end_id=end_id, place=written_place(docs) if in_order else None), "pieces")
+    pieces = staging.write(tokenized_pieces(docs, tokenizer_file=tokenizer_file, limit=limit, end_id=end_id, place=written_place(docs) if in_order else None), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
     return pack_pieces(pieces, limit=limit, open_bins=open_bins, groups=groups)

@@ -36,12 +36,15 @@ def _sql_id(kind: str, *parts: str) -> str:
     return f"'urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
 
 
-def _sql_regex(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-_SHOWN = f"regexp_replace(regexp_replace(payload, {_sql_regex(warc.COMMENT)}, '', 'g'), {_sql_regex(warc.HIDDEN_ELEMENT)}, '', 'g')"
-_TEXT = _sql_plain(f"regexp_replace(regexp_replace({_SHOWN}, {_sql_regex(warc.BLOCK_TAG)}, chr(10), 'g'), {_sql_regex(warc.ANY_TAG)}, '', 'g')")
+# Patterns of the oracle's own: comments go first, then each hidden element, then tags.
+_SHOWN = r"regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
+for _hidden in ("script", "style", "noscript", "template", "svg"):
+    _SHOWN = rf"regexp_replace({_SHOWN}, '(?is)<{_hidden}(\s[^<>]*)?>.*?</{_hidden}\s*>', '', 'g')"
+_BLOCKS = "p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table section article aside main header footer nav title head body html blockquote pre hr form figure figcaption".replace(" ", "|")
+_TEXT = _sql_plain(rf"regexp_replace(regexp_replace({_SHOWN}, '(?i)</?({_BLOCKS})(\s[^<>]*|/)?>', chr(10), 'g'), '<[/!?A-Za-z][^<>]*>', '', 'g')")
+_TITLE = _sql_plain("CASE WHEN contains(lower(payload), '<title') THEN regexp_extract(payload, '(?is)<title[^<>]*>(.*?)</title', 1) ELSE '' END")
+_HEAD_LANG = """regexp_extract(regexp_extract(payload, '(?i)<html[^<>]*>'), '(?i)\\blang=["'']?([A-Za-z0-9-]+)', 1)"""
+_LINKS = """list_transform(list_filter(regexp_extract_all(payload, '(?i)<a\\s[^<>]*>'), lambda x: regexp_matches(x, '(?i)\\bhref\\s*=')), lambda x: regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s<>]+)', 1))"""
 OP2_SQL = f"""
 WITH source AS (
   SELECT page_id, url AS target_uri, coalesce(html, '') AS payload FROM pages),
@@ -52,8 +55,8 @@ response AS (
   FROM source),
 parts AS (
   SELECT *, {_sql_id("conversion", "refers_to")} AS conversion_id, {_sql_id("metadata", "refers_to")} AS metadata_id, {_TEXT} AS text,
-    {_sql_plain(f"regexp_extract(payload, {_sql_regex(warc.TITLE)}, 1)")} AS title, regexp_extract(payload, {_sql_regex(warc.LANGUAGE)}, 1) AS language,
-    regexp_extract_all(payload, {_sql_regex(warc.LINK)}, 1) AS links
+    {_TITLE} AS title, {_HEAD_LANG} AS language,
+    {_LINKS} AS links
   FROM response),
 bodies AS (
   SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to, 'application/warc-fields' AS content_type,
@@ -173,8 +176,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"),
-        rank_file=public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        pattern=public_tokenizers.PATTERN,
+        tokenizer_file=public_tokenizers.path("byte_bpe_50k.json"),
     ).drop("row_id")
 
 

@@ -61,13 +61,6 @@ def test_a_labeller_that_errs_is_found_out():
     assert model.posterior(np.array([alarm]))[0] > 0.8 and model.posterior(np.array([junk]))[0] < 0.2
 
 
-def test_a_sure_scorer_overrules_a_single_vote(spark):
-    rows = [(0.01, 1, 0.95), (0.01, 2, 0.95), (0.99, 1, 0.05), (0.99, 2, 0.05), (0.01, 1, 0.6), (0.5, 0, 0.6)]
-    table = spark.createDataFrame(rows, "posterior double, agreeing int, quality double")
-    got = [r[0] for r in table.coalesce(1).select(quality.kept_by(F.col("posterior"), F.col("agreeing"), F.col("quality"), 0.5)).collect()]
-    assert got == [True, False, False, True, False, True]
-
-
 def test_a_rare_language_and_one_of_long_texts_are_learnt(spark):
     def text(letters, k, words):
         rng = np.random.default_rng(k)

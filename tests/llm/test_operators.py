@@ -15,7 +15,7 @@ from ..against import SF, assert_same
 from . import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, entry string"
-RANK = {"rank_file": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+TOKENS = {"tokenizer_file": public_tokenizers.path("byte_bpe_50k.json")}
 
 
 def prose(seed: int, words: int) -> str:
@@ -121,8 +121,7 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, **RANK, limit=256).collect()
+    rows = packing.pack(docs, **TOKENS, limit=256).collect()
     by_doc: dict = {}
     for r in rows:
         by_doc.setdefault(r.row_id, []).append(r)
@@ -143,16 +142,47 @@ def test_packing_round_trip(docs):
     assert len(bins) <= 1.1 * sum(r.length for r in rows) / 256 + 1
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "line\n next", "tab\t x", "don't stop", "x　y z", "<|endoftext|> a", "été naïve 12 34", "\x1c a b"])
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "line\n next", "tab\t x", "don't stop", "x　y z", "<|endoftext|> a", "a <|endoftext|>\nb\n", "été naïve 12 34", "\x1c a b", "\n\nfoo", " a\nb c\n\nd  e\tf g", "it 's\n's b", "x\r\ny z", "a\u0085b c"])
 def test_word_memo_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    memo = packing.WordMemo(packing.rank_encoder(RANK["rank_file"], RANK["pattern"]))
+    memo = packing.WordMemo(tokenizer)
     assert np.frombuffer(memo.text(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_equals_a_plain_walk_over_all_bins(docs):
+    """Production's rule by brute force: the tightest of the open bins, and the fullest closes when there are too many."""
+    rng = np.random.default_rng(8)
+    for bins in (3, 20, 1000):
+        lengths = rng.integers(1, 65, 400).tolist()
+        open_, where, made = [], [], 0
+        for n in lengths:
+            fitting = [b for b in open_ if b[1] >= n]
+            if fitting:
+                found = min(fitting, key=lambda b: b[1])
+            else:
+                if len(open_) == bins:
+                    open_.remove(min(open_, key=lambda b: b[1]))
+                found = [made, 64]
+                made += 1
+                open_.append(found)
+            found[1] -= n
+            where.append(found[1])
+            if not found[1]:
+                open_.remove(found)
+        number, at = packing.best_fit(lengths, 64, bins)
+        assert [64 - a - n for a, n in zip(at, lengths, strict=True)] == where and max(number) + 1 == made
+
+
+def test_special_tokens_and_equal_rows(spark):
+    rows = spark.createDataFrame([(None, "a b")] * 400 + [(1, "x <|endoftext|> y")], "doc_id long, text string")
+    got = packing.pack(rows, **TOKENS, limit=8, pieces_per_group=50).collect()
+    assert len({r.row_id for r in got}) == 401
+    groups = [n for _, n in sorted(__import__("collections").Counter(r.sequence_id >> 40 for r in got).items())]
+    assert len(groups) == 9 and max(groups) < 100
+
+
 def test_few_open_bins_close_the_fullest():
     where, at = packing.best_fit([6, 5, 4, 3, 2], 8, 2)
     # 6 and 5 open two bins; 4 fits neither, so the fuller one (6) closes; 3 joins 5, and 2 joins 4.
@@ -225,6 +255,49 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_signs_that_are_no_letters(spark):
+    rows = [(0, "the little house of the town " * 9, "en", "x"), (1, "das kleine Haus in der Stadt ", "de", "x"), (4, "² ½ Ⅷ 12", "en", "x"), (5, "². a", None, "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = language.identify(docs).collect()
+    assert len(got) == 12 and {r.lang_pred for r in got if r.doc_id == 4} == {"und"} and {r.lang_pred for r in got if r.doc_id == 5} <= {"en", "de"}
+
+
+def test_models_learn_from_long_texts_alone_and_do_not_follow_the_files(spark):
+    long = {"en": "the people of the old town walk by the river and talk with their friends ", "de": "die Leute der alten Stadt gehen am Fluss und reden mit ihren Freunden "}
+    rows = [(k, long["en" if k % 2 else "de"] * 400 + str(k), "en" if k % 2 else "de") for k in range(40)] + [(None, long["en"], "en")] * 2 + [(7, long["en"], None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, second = (sorted(map(tuple, language.identify(docs.repartition(n)).collect()), key=repr) for n in (2, 5))
+    assert first == second and all(r[2] == ("en" if r[0] % 2 else "de") for r in first if r[0] is not None)
+    one, two = (sorted(map(tuple, quality.classify(docs.repartition(n)).collect()), key=repr) for n in (2, 5))
+    assert one == two and all(r[3] for r in one)
+
+
+def test_quality_of_odd_rows(spark):
+    junk = "AB$$ CD!! EFGH$$ IJ## KLM?? NOP!! QR%% STU$$ VW&& XYZ!! "
+    rows = [(None, "the people of the old town walk by the river and they talk with friends in the evening", 1, 0.5)] * 30 + [(1, junk, 0, None)] * 20 + [(2, None, None, 0.1), (3, "", 1, 0.2), (4, " \n ", 1, 0.3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, posterior double").repartition(3)
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[0]} and kept.count() == 30
+    got = quality.classify(docs).collect()
+    assert len(got) == 53 and all(r.keep == (r.doc_id is None) for r in got) and {r.doc_id for r in got if r.quality is None} == {2, 3, 4}
+
+
+def test_quality_scores_are_those_of_a_plain_computation():
+    """The scorer by brute force: n-gram by n-gram, fault by fault."""
+    texts = ["the old town", "AB$$ CD!! EFGH$$ IJ## KLM?? NOP!!", "été à la plage | a | b | c"]
+    rng = np.random.default_rng(4)
+    scorer = quality.Scorer(rng.normal(size=2**quality.BITS), 0.3)
+    from cuewise.llm.hashed import buckets
+
+    for text, got in zip(texts, scorer.score(texts, [quality.votes(t) for t in texts]), strict=True):
+        raw, held = b"\n" + text.encode() + b"\n", []
+        for n in quality.GRAMS:
+            grams = [raw[i : i + n] for i in range(len(raw) - n + 1)]
+            held += [scorer.weight[buckets(np.frombuffer(g, np.uint8), n, quality.BITS)[0]] for g in grams if not any(c in b" \t\n\v\f\r" for c in g[1:-1])]
+        faults = sum(scorer.weight[quality.fault_slots(tuple(quality.BAD if j == k else quality.NONE for j in range(9)))[0]] * quality.FAULT for k, v in enumerate(quality.votes(text)) if v == quality.BAD)
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.mean(held) + faults + 0.3))), rel=1e-9)
+
+
 def test_language_of_odd_texts(docs):
     rows = {r.doc_id: r for r in language.identify(docs).collect()}
     assert {k for k, r in rows.items() if r.lang_pred == "und"} == {3, 4, 5}
@@ -270,11 +343,25 @@ def test_warc_round_trip(spark):
         assert headers["WARC-Refers-To"].startswith("<urn:uuid:")
 
 
+def test_warc_of_broken_pages(spark):
+    """A page of a megabyte of tags that never close costs what other pages of its size do, and line ends do not end headers."""
+    import time
+
+    pages = [(1, "http://e.org/a\r\nX: y", "<title>One&#13;&#10;two</title><a href='/u&#10;v'>x</a>"), (2, "u", "<a " * 350_000), (3, "u", "<title>" * 150_000), (4, "u", "<script" * 150_000 + "<html " * 150_000), (5, "u", "<!--" * 250_000), (6, "u", "&" * 500_000)]
+    began = time.time()
+    records = warc.derivatives(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    rows = {(r.page_id, r.warc_type): r for r in records.collect()}
+    assert len(rows) == 12 and time.time() - began < 60
+    assert rows[1, "metadata"].body == "title: One two\r\noutlink: /u%0Av\r\n" and rows[1, "metadata"].target_uri == "http://e.org/a%0D%0AX: y"
+    parsed = list(warc.parse(b"".join(bytes(r.record) for r in warc.serialised(records.where("page_id = 1")).collect())))
+    assert len(parsed) == 2 and all("Content-Length" in h and "X" not in h for h, _ in parsed)
+
+
 def test_empty_tables(spark, nothing):
     assert ngram_join.ngram_components(nothing).isEmpty()
     assert suffix_dedup.remove_repeats(nothing).isEmpty()
     assert lines.line_report(nothing).isEmpty()
-    assert packing.pack(nothing, **RANK).isEmpty()
+    assert packing.pack(nothing, **TOKENS).isEmpty()
     assert mixing.mix(nothing).isEmpty()
     assert language.identify(nothing).isEmpty()
     assert quality.classify(nothing).isEmpty()

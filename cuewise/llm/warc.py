@@ -11,7 +11,8 @@ Scale: a map over responses in DataFrame expressions, with no shuffle and no Pyt
 a long page costs what its own bytes cost.  Serialised records are WARC/1.1
 bytes, so files of any size can be put together from partitions.
 
-Edge cases: a null payload is empty; a null URI or date leaves its header out; a null id is
+Edge cases: tags that are never closed stay text, and cost what their bytes cost; line ends in
+an address are percent-encoded, so they cannot end a header; a null payload is empty; a null URI or date leaves its header out; a null id is
 made from URI and payload; equal rows make equal records; a page without title,
 language or links leaves those lines out; an empty table gives an empty result;
 further columns are ignored.
@@ -30,15 +31,16 @@ NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "
 SLOTS = 251
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 _BLOCK = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|aside|main|header|footer|nav|title|head|body|html|blockquote|pre|hr|form|figure|figcaption"
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-HIDDEN_ELEMENT = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)
-BLOCK_TAG = rf"(?i)</?(?:{_BLOCK})\b[^>]*>"
-ANY_TAG = r"<[/!?A-Za-z][^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-LANGUAGE = r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z0-9-]+)"""
-LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: The rest of a tag.  It ends at the next angle bracket, so a page of tags that are never closed is read once.
+_REST = r"[^<>]*+>"
+#: What no reader sees: comments, and elements with all that is in them, to the end of the page if they are not closed.
+UNSEEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN)})\b{_REST}.*?(?:</\1\s*+>|\z)"
+BLOCK_TAG = rf"(?i)</?(?:{_BLOCK})\b{_REST}"
+ANY_TAG = rf"<[/!?A-Za-z]{_REST}"
+LANGUAGE = r"""(?i)<html\b[^<>]*?\blang\s*+=\s*+["']?([A-Za-z0-9-]+)"""
+_LINK = r"""(?i)<a\b[^<>]*?\bhref\s*+=\s*+["']?([^"'\s<>]+)"""
 #: Links, and first what holds none, which leaves the group empty.
-SHOWN_LINK = rf"{COMMENT}|(?is:<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z))|{LINK}"
+SHOWN_LINK = rf"(?is:<!--.*?(?:-->|\z)|<script\b{_REST}.*?(?:</script\s*+>|\z)|<style\b{_REST}.*?(?:</style\s*+>|\z))|{_LINK}"
 
 
 def _slot(first: int, length: int) -> int:
@@ -99,8 +101,24 @@ def plain(text: Column) -> Column:
 
 def without_tags(html: Column) -> Column:
     """What a reader sees, references still coded: no comments, scripts or tags; block tags end lines."""
-    shown = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN_ELEMENT, "")
-    return F.regexp_replace(F.regexp_replace(shown, BLOCK_TAG, "\n"), ANY_TAG, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), BLOCK_TAG, "\n"), ANY_TAG, "")
+
+
+def coded_title(html: Column) -> Column:
+    """What the first title element holds; empty without one that is closed.  Each cut reads the page once."""
+    begun = F.split(html, r"(?i)<title\b", 2)
+    inside = F.split(F.regexp_replace(F.get(begun, F.lit(1)), r"^[^>]*+>", ""), "(?i)</title", 2)
+    return F.when(F.size(inside) == 2, inside[0]).otherwise("")
+
+
+def one_line(text: Column) -> Column:
+    """Text without line ends, as a header or a field must be; line ends and blanks around them are one blank."""
+    return F.regexp_replace(text, r"[ \t]*+[\r\n]\s*+", " ")
+
+
+def header_uri(uri: Column) -> Column:
+    """An address with its line ends percent-encoded."""
+    return F.replace(F.replace(uri, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -119,7 +137,7 @@ def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFr
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("?"), F.sha2("payload", 256)))
     return (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), payload.alias("payload"))
+        pages.select(F.col("page_id").cast("long").alias("page_id"), header_uri(F.col("url")).alias("target_uri"), payload.alias("payload"))
         .withColumn("record_id", record_id(F.lit("response"), key, F.coalesce("target_uri", F.lit(""))))
         .withColumn("date", F.lit(date))
         .withColumn("http_headers", head)
@@ -134,11 +152,11 @@ def derivatives(found: DataFrame) -> DataFrame:
     http_headers, block and payload digest."""
     html = F.col("payload")
     # Columns of their own first: what ``plain`` uses several times is then evaluated once a row.
-    coded = found.withColumns({"coded": without_tags(html), "coded_title": F.regexp_extract(html, TITLE, 1)})
-    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), lambda x: decoded(x, attribute=True))})
+    coded = found.withColumns({"coded": without_tags(html), "coded_title": coded_title(html)})
+    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), lambda x: header_uri(decoded(x, attribute=True)))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
-        F.when(F.col("title") != "", line("title", F.replace("title", F.lit("\n"), F.lit(" ")))).otherwise(""),
+        F.when(F.col("title") != "", line("title", one_line(F.col("title")))).otherwise(""),
         F.when(F.col("language") != "", line("language", F.col("language"))).otherwise(""),
         F.array_join(F.transform("links", lambda x: line("outlink", x)), ""),
     )
@@ -155,7 +173,7 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 def serialised(records: DataFrame) -> DataFrame:
     """(record_id, record): each record as WARC/1.1 bytes, to be written one behind the other."""
-    header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+    header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), one_line(value), F.lit("\r\n")), F.lit(""))
     bracket = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), header("WARC-Type", F.col("warc_type")), header("WARC-Record-ID", bracket("record_id")), header("WARC-Refers-To", bracket("refers_to")), header("WARC-Concurrent-To", bracket("concurrent_to")),

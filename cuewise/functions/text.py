@@ -153,11 +153,14 @@ PROMPT = {
 }
 
 
-def glossary_terms(markdown: Column, longest: int = 24) -> Column:
-    """Bold terms of a glossary in order, once each, without headings and explanations in brackets."""
+def glossary_terms(markdown: Column, longest: int | None = 24, shortest: int = 1) -> Column:
+    """Bold terms of a glossary in order, once each, without headings and explanations in brackets.
+
+    A prompt takes terms of up to 24 characters, an audit (``longest=None, shortest=2``) those of two or more.
+    """
     bold = F.filter(F.transform(F.regexp_extract_all(markdown, F.lit(r"\*\*(.+?)\*\*"), F.lit(1)), lambda x: F.trim(x)), lambda x: ~x.rlike("|".join(CATEGORIES)))
     short = F.transform(bold, lambda x: F.trim(F.regexp_extract(x, r"^([^（(]*)", 1)))
-    return F.array_distinct(F.filter(short, lambda x: (x != "") & (F.length(x) <= longest)))
+    return F.array_distinct(F.filter(short, lambda x: (F.length(x) >= shortest) & (F.lit(True) if longest is None else F.length(x) <= longest)))
 
 
 def _adder(prefix: str, sep: str, room: int):

@@ -9,20 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
-from ..schema import CPS_LIMIT, END_OVERRUN, LINE_LIMIT, LOCK_RATE
-from .timeline import with_gaps
+from ..functions.timecode import srt_timestamp
+from ..schema import CPS_LIMIT, END_OVERRUN, LINE_LIMIT, LOCK_RATE, SILENCE
+from .timeline import order, with_gaps
 
 TRAILING = r"[。，、；:;,.—-]+$"
 MARKDOWN = r"\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s|^\s*>\s"
 
 
+def half_even(n: Column, d: Column) -> Column:
+    """The whole number nearest to ``n / d``, both whole and not negative; of two as near the even one."""
+    whole = F.floor(n / d)
+    twice = (n - whole * d) * 2
+    return whole + F.when((twice > d) | ((twice == d) & (whole % 2 == 1)), 1).otherwise(0)
+
+
+def hundredths(n: Column, d: Column) -> Column:
+    """``n / d`` to two places."""
+    return half_even(n * 100, d) / 100.0
+
+
 def enriched(cues: DataFrame, key: str, pos: str, loc: Column) -> DataFrame:
     """Cues with duration, width, reading speed, gap and the faults of their text."""
     rows = with_gaps(cues, key, pos).withColumn("locale", loc)
     rows = rows.withColumns({"dur_ms": F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(10)), "width": T.display_width(F.col("text"), F.col("locale"))})
-    cps = F.col("width") * 1000 / F.greatest(F.col("dur_ms"), F.lit(100))
+    # Rounded to two places before it is compared with any limit.
+    rows = rows.withColumn("cps_cents", half_even((F.col("width") * 100_000).cast("long"), F.greatest(F.col("dur_ms"), F.lit(100)).cast("long")))
     return rows.withColumns({
-        "cps": cps,
+        "cps": F.col("cps_cents") / 100.0,
         "line_limit": T.by_policy(F.col("locale"), LINE_LIMIT),
         "cps_limit": T.by_policy(F.col("locale"), CPS_LIMIT),
         "end_marks": F.col("text").rlike(TRAILING),
@@ -44,7 +58,7 @@ def metrics(rows: DataFrame, key: str, pos: str, *also: Column) -> DataFrame:
     is_gap = lambda name: F.count_if(F.col("gap_class") == name)
     return rows.groupBy(key).agg(
         F.count("*").alias("cues"), F.min_by("start_ms", pos).alias("first_in_ms"), F.max_by("end_ms", pos).alias("last_out_ms"),
-        F.sum("dur_ms").alias("total_ms"), F.max("dur_ms").alias("longest_ms"), F.max("cps").alias("peak_cps"), F.avg("cps").alias("mean_cps"),
+        F.sum("dur_ms").alias("total_ms"), F.max("dur_ms").alias("longest_ms"), F.max("cps").alias("peak_cps"), (half_even(F.sum("cps_cents"), F.count("*")) / 100.0).alias("mean_cps"),
         count(F.col("short")).alias("short"), count(F.col("long")).alias("long"), count(F.col("overlength")).alias("overlength"), count(F.col("fast")).alias("fast"),
         is_gap("overlap").alias("overlapping"), is_gap("zero").alias("zero_gaps"), is_gap("micro").alias("micro_gaps"), is_gap("normal").alias("pauses"),
         count(F.col("end_marks")).alias("end_marks"), count(F.col("inline_comma")).alias("inline_commas"), count(F.size("unbalanced") > 0).alias("unbalanced"), count(F.col("markdown")).alias("markdown"),
@@ -61,7 +75,7 @@ def compliance(m: DataFrame, locked: Column | None = None, fallback: Column | No
         + cap(10, pct("overlength") * 0.5) + cap(5, pct("short") * 0.3) + cap(10, pct("fast") * 0.5)
     )
     if locked is not None and fallback is not None:
-        tried = locked + fallback
+        tried = F.coalesce(locked + fallback, F.lit(0))
         lost = lost + F.when(tried > 0, cap(5, fallback * 100.0 / F.greatest(tried, F.lit(1)) * 0.2)).otherwise(0.0)
     score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - lost)), 1)
     grade = F.when(F.col("score") >= 95, "A+").when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").otherwise("C")
@@ -84,17 +98,21 @@ def gate(rate: Column, overrun_s: Column, media_s: Column, overlaps: Column) ->
     return F.struct(good.alias("passed"), violations.alias("violations"), F.when(good, "DELIVER").otherwise("ONE_SHOT_REMEDIATE").alias("action"))
 
 
-def issues(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """All issues of enriched cues, from one scan: key, pos, type, type_rank, severity."""
+def found_issues() -> Column:
+    """The issues of an enriched cue."""
     issue = lambda cond, name, rank, severity: F.when(cond, F.struct(F.lit(name).alias("type"), F.lit(rank).alias("type_rank"), severity.cast("double").alias("severity")))
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         issue(F.col("markdown"), "markdown", 0, F.lit(20.0)),
         issue(F.size("unbalanced") > 0, "bracket", 1, F.lit(15.0)),
         issue(F.col("overlength"), "overlength", 2, F.bround("width", 1) - F.col("line_limit")),
         issue(F.col("fast"), "high_cps", 3, F.col("cps") - F.col("cps_limit")),
         issue(F.col("short") & (F.col("cps") > 5.0), "short", 4, (1000 - F.col("dur_ms")) / 1000),
     ))
-    return rows.select(key, pos, F.explode(found).alias("i")).select(key, pos, "i.*")
+
+
+def issues(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """All issues of enriched cues, from one scan: key, pos, type, type_rank, severity."""
+    return rows.select(key, pos, F.explode(found_issues()).alias("i")).select(key, pos, "i.*")
 
 
 def ranked(found: DataFrame, key: str, pos: str, top: int | None = None) -> DataFrame:
@@ -113,3 +131,84 @@ def term_counts(cues: DataFrame, terms: DataFrame, key: str, pos: str) -> DataFr
     whole = cues.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("captions"))
     found = terms.join(whole, key).withColumn("times", T.occurrences(F.col("captions"), F.col("term")))
     return found.where(F.col("times") > 0).select(key, "term", "times")
+
+
+def span_code(start_ms: Column, end_ms: Column) -> Column:
+    return F.concat(srt_timestamp(start_ms / 1000), F.lit(" --> "), srt_timestamp(end_ms / 1000))
+
+
+#: The figures of a report that count cues.
+COUNTS = ("fast", "overlength", "end_marks", "unbalanced", "markdown", "inline_commas", "short", "long", "overlapping", "micro_gaps", "zero_gaps", "pauses")
+
+
+def report(rows: DataFrame, key: str, pos: str, episodes: DataFrame, terms: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """The whole audit: one row for each of ``episodes`` (key, media_ms), whether it has cues or not.
+
+    ``rows``: enriched cues, with ``locked`` where they were aligned, unless ``stats`` (key, locked,
+    fallback) says how alignment went; ``terms``: key, term, of glossaries.
+    Times are seconds; means, rates and limits are rounded as the single figures are.  Silences
+    are an array (start, end, duration, code, indexes and texts on both sides), the one before
+    the first cue with previous index 0.
+    """
+    w = order(key, pos)
+    aligned = F.col("locked") if "locked" in rows.columns else F.lit(True)
+    numbered = rows.withColumns({"index": F.row_number().over(w), "since": F.coalesce(F.lag("end_ms").over(w), F.lit(0)), "said": F.lag("text").over(w)})
+    length = F.col("start_ms") - F.col("since")
+    silence = F.struct(
+        (F.col("since") / 1000).alias("start"), (F.col("start_ms") / 1000).alias("end"), hundredths(length, F.lit(1000)).alias("duration"), span_code(F.col("since"), F.col("start_ms")).alias("code"),
+        (F.col("index") - 1).alias("prev_index"), F.coalesce("said", F.lit("")).alias("prev_text"), F.col("index").alias("next_index"), F.col("text").alias("next_text"),
+    )
+    quiet = F.array_sort(F.collect_list(F.when(length >= int(SILENCE * 1000), silence)))
+    counted = metrics(
+        numbered, key, pos, F.first("locale").alias("locale"), F.first("cps_limit").alias("cps_limit"), F.first("line_limit").alias("line_limit"), upper_median("dur_ms").alias("median_ms"),
+        F.count_if(aligned).alias("locked"), F.count_if(~aligned).alias("fallback"), F.sum(F.size(found_issues())).alias("issues"), quiet.alias("silences"),
+    )
+    if terms is not None:
+        whole = terms.distinct()
+        found = term_counts(rows, whole, key, pos).groupBy(key).agg(F.count("*").alias("terms_found"))
+        counted = counted.join(whole.groupBy(key).agg(F.count("*").alias("terms")), key, "left").join(found, key, "left")
+    else:
+        counted = counted.withColumns({"terms": F.lit(0), "terms_found": F.lit(0)})
+    if stats is not None:
+        counted = counted.drop("locked", "fallback").join(stats.select(key, "locked", "fallback"), key, "left")
+    scored = compliance(counted, F.col("locked"), F.col("fallback"))
+    full = episodes.select(key, F.col("media_ms").cast("long").alias("media_ms")).join(scored, key, "left")
+    known = F.coalesce(F.col("media_ms"), F.lit(0)) > 0
+    over = F.when(known, F.col("last_out_ms") - F.col("media_ms")).otherwise(0) / 1000
+    rate = lock_rate(F.col("locked"), F.col("fallback"))
+    empty = F.col("cues").isNull()
+    nothing = F.struct(F.lit(False).alias("passed"), F.array(F.lit("EMPTY_SUBTITLES")).alias("violations"), F.lit("ONE_SHOT_REMEDIATE").alias("action"))
+    verdict = F.when(empty, nothing).otherwise(gate(rate, over, F.col("media_ms") / 1000, F.col("overlapping")))
+    seconds = lambda c, name: (F.col(c) / 1000).alias(name)
+    percent = lambda c: hundredths(F.col(c) * 100, F.col("cues")).alias(f"{c}_pct")
+    return full.withColumn("verdict", verdict).select(
+        key, "verdict.passed", "verdict.violations", "verdict.action", F.when(empty, 0.0).otherwise(rate).alias("locked_pct"), F.when(empty, 0.0).otherwise(over).alias("overrun"),
+        F.coalesce("cues", F.lit(0)).alias("cues"), "locale", seconds("media_ms", "media"), seconds("first_in_ms", "first_in"), srt_timestamp(F.col("first_in_ms") / 1000).alias("first_in_code"),
+        seconds("last_out_ms", "last_out"), srt_timestamp(F.col("last_out_ms") / 1000).alias("last_out_code"), hundredths(F.col("total_ms"), F.col("cues") * 1000).alias("mean_duration"),
+        hundredths(F.col("median_ms"), F.lit(1000)).alias("median_duration"), "mean_cps", "peak_cps", "cps_limit", "line_limit", *COUNTS, percent("fast"), percent("overlength"), percent("short"),
+        F.size("silences").alias("n_silences"), "silences", "locked", "fallback", F.coalesce("terms", F.when(~empty, 0)).alias("terms"), F.coalesce("terms_found", F.when(~empty, 0)).alias("terms_found"), "score", "grade", "issues",
+    )
+
+
+def report_json(reports: DataFrame, key: str) -> DataFrame:
+    """(key, json): each report as a JSON document."""
+    return reports.select(key, F.to_json(F.struct(*[c for c in reports.columns if c != key]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_markdown(reports: DataFrame, found: DataFrame, key: str, pos: str, top: int = 15) -> DataFrame:
+    """(key, markdown): each report as a page with its verdict, figures, silences and first ``top`` issues (as ``issues`` gives them)."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    figures = [c for c in reports.columns if c not in (key, "passed", "violations", "action", "silences")]
+    table = F.concat_ws("\n", F.lit("| Figure | Value |"), F.lit("|-|-|"), *[F.concat(F.lit(f"| {c} | "), cell(c), F.lit(" |")) for c in figures])
+    quiet = F.array_join(F.transform("silences", lambda x: F.concat(F.lit("- "), x["code"], F.lit(" ("), x["duration"].cast("string"), F.lit(" s)"))), "\n")
+    line = F.concat(F.lit("| "), F.col("rank").cast("string"), F.lit(" | "), F.col(pos).cast("string"), F.lit(" | "), F.col("type"), F.lit(" | "), F.bround("severity", 2).cast("string"), F.lit(" |"))
+    lines = ranked(found, key, pos, top).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    verdict = F.concat(F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.lit(" ("), F.col("action"), F.lit(")"), F.when(F.size("violations") > 0, F.concat(F.lit(": "), F.array_join("violations", ", "))).otherwise(""))
+    page = F.concat_ws("\n\n", F.lit("# Caption quality"), verdict, F.when(F.col("cues") == 0, F.lit("No captions found.")), F.when(F.col("cues") > 0, table), F.when(quiet != "", F.concat(F.lit("## Silences\n\n"), quiet)), F.when(F.col("lines").isNotNull(), F.concat(F.lit("## Issues\n\n| # | Cue | Type | Severity |\n|-|-|-|-|\n"), F.col("lines"))))
+    return reports.join(lines, key, "left").select(key, F.concat(page, F.lit("\n")).alias("markdown"))
+
+
+def write_reports(reports: DataFrame, found: DataFrame, key: str, pos: str, path: str) -> None:
+    """JSON documents and Markdown pages of all episodes under ``path``: a line, or a row, each."""
+    reports.write.mode("overwrite").json(f"{path}/json", ignoreNullFields=False)
+    report_markdown(reports, found, key, pos).write.mode("overwrite").json(f"{path}/markdown")

@@ -1,17 +1,24 @@
 """Ordered recurrences over a timeline: each output row depends on the ones before it.
 
-Each operator groups by episode and walks its rows in order inside an Arrow-backed
-grouped-map function.  A task holds one episode at a time.  Times are in seconds.
+Rows are dealt by episode and sorted by Spark; a task then streams through its episodes in
+Arrow batches, one row after the other, and holds no more of an episode than the
+recurrence looks back or ahead.  Times are in seconds.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..schema import LEAD_IN
 
@@ -24,6 +31,11 @@ PAUSE, SOFT_PAUSE, LONGEST = 0.35, 0.10, 5.5
 CLOSING = ("？", "?", "！", "!", "。", "……", "...")
 CLOSING_WORDS = ("來說", "來講", "而言", "之後", "的話", "來看")
 CONNECTIVES = ("但是", "而且", "所以", "不過", "然而", "如果")
+# Fixed values of lead-in, in seconds: between cues, kept by a cue that is cut, kept by one that gives, worth giving.
+APART, CUT_TO, KEEPS, WORTH = 0.02, 0.2, 1.0, 0.04
+
+_BATCH = 20_000
+Row = tuple
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -32,50 +44,107 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def fold(rows: DataFrame, key: str, pos: str, walk: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``walk`` to each episode's rows in order of ``pos``."""
+def arrow_rows(rows: Iterable[Row], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Row tuples as Arrow batches."""
+    held: list[Row] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == _BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def mapped_rows(rows: DataFrame, each: Callable[[Iterator[Row]], Iterator[Row]], schema: StructType) -> DataFrame:
+    """``each`` over a partition's rows as tuples."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield from arrow_rows(each(stream), arrow)
 
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        return walk(frame.sort_values(pos, kind="stable", ignore_index=True))
+    return rows.mapInArrow(run, schema)
 
-    return dealt(rows, key).groupBy(key).applyInPandas(ordered, schema)
+
+def fold(rows: DataFrame, key: str, pos: str, walk: Callable[[Iterator[Row]], Iterator[Row]], schema: StructType) -> DataFrame:
+    """Apply ``walk`` to each episode's rows, as tuples in order of ``pos``."""
+    by_key = itemgetter(rows.columns.index(key))
+
+    def each(stream: Iterator[Row]) -> Iterator[Row]:
+        for _, own in groupby(stream, by_key):
+            yield from walk(own)
+
+    return mapped_rows(dealt(rows, key).sortWithinPartitions(key, pos), each, schema)
 
 
 def _words_width(word: str, wide: bool) -> float:
     return sum(1.0 if ord(c) > 127 else 0.5 for c in word) if wide else len(word) + 1.0
 
 
+def segment_breaks(words: Iterable[tuple[str, float, float]], wide: bool) -> Iterator[tuple[bool, bool]]:
+    """For each word whether it counts (is not blank) and whether a segment ends behind it."""
+    kind = "wide" if wide else "latin"
+    soft, hard = SOFT[kind], HARD[kind]
+    width, since, waiting = 0.0, None, None
+    for word, start, end in words:
+        if waiting is not None:
+            said, ended = waiting
+            gap = start - ended
+            closes = said != "" and (
+                gap >= PAUSE or width >= hard or ended - since >= LONGEST or _SENTENCE.search(said) is not None or (width >= soft and (gap >= SOFT_PAUSE or _CLAUSE.search(said) is not None))
+            )
+            yield said != "", closes
+            if closes:
+                width, since = 0.0, None
+        said = word.strip()
+        if said:
+            width += _words_width(said, wide)
+            since = start if since is None else since
+        waiting = said, end
+    if waiting is not None:
+        yield waiting[0] != "", waiting[0] != ""
+
+
 def segment_numbers(words: list[str], starts: list[float], ends: list[float], wide: bool) -> list[int]:
     """The segment of each word, -1 for blank ones and for words that no break closes."""
-    kind = "wide" if wide else "latin"
-    out, members, number, width = [-1] * len(words), [], 0, 0.0
-    for i, raw in enumerate(words):
-        word = raw.strip()
-        if not word:
-            continue
-        members.append(i)
-        width += _words_width(word, wide)
-        if i + 1 < len(words):
-            gap = starts[i + 1] - ends[i]
-            full = width >= HARD[kind] or ends[i] - starts[members[0]] >= LONGEST
-            ready = width >= SOFT[kind] and (gap >= SOFT_PAUSE or _CLAUSE.search(word))
-            if not (gap >= PAUSE or _SENTENCE.search(word) or ready or full):
-                continue
-        for m in members:
-            out[m] = number
-        members, number, width = [], number + 1, 0.0
+    out, members, number = [-1] * len(words), [], 0
+    for i, (counts, closes) in enumerate(segment_breaks(zip(words, starts, ends, strict=True), wide)):
+        if counts:
+            members.append(i)
+        if closes:
+            for m in members:
+                out[m] = number
+            members, number = [], number + 1
     return out
 
 
 def segmented(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> DataFrame:
     """(key, segment, start, end, word, pos): words with the segment they fall into."""
 
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        f["segment"] = segment_numbers(f["word"].tolist(), f["start"].tolist(), f["end"].tolist(), wide)
-        return f[[key, "segment", "start", "end", "word", pos]]
+    def walk(rows: Iterator[Row]) -> Iterator[Row]:
+        seen: list[Row] = []
+
+        def spoken_words() -> Iterator[tuple[str, float, float]]:
+            for row in rows:
+                seen.append(row)
+                yield row[2:]
 
-    types = dict(words.dtypes)
-    return fold(words, key, pos, walk, f"{key} {types[key]}, segment long, start double, end double, word string, {pos} {types[pos]}").where("segment >= 0")
+        open_, number, taken = [], 0, 0
+        for counts, closes in segment_breaks(spoken_words(), wide):
+            row = seen[taken]
+            taken += 1
+            if counts:
+                open_.append(row)
+            if closes:
+                yield from ((k, number, start, end, word, p) for k, p, word, start, end in open_)
+                open_, number = [], number + 1
+                del seen[:taken]
+                taken = 0
+
+    own = {f.name: f for f in words.schema}
+    schema = StructType([own[key], StructField("segment", LongType()), own["start"], own["end"], own["word"], own[pos]])
+    return fold(words.select(key, pos, "word", "start", "end"), key, pos, walk, schema)
 
 
 def segments(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> DataFrame:
@@ -84,46 +153,54 @@ def segments(words: DataFrame, key: str, pos: str, *, wide: bool = False) -> Dat
     return segmented(words, key, pos, wide=wide).groupBy(key, "segment").agg(F.min_by("start", pos).alias("start"), F.max_by("end", pos).alias("end"), ordered.alias("words"))
 
 
+@lru_cache(100_000)
 def spoken(word: str) -> str:
     """A word without punctuation and symbols, in lower case."""
     return "".join(c.lower() for c in word if unicodedata.category(c)[0] not in "PS").strip()
 
 
+def repeats_from(tokens: np.ndarray, size: int) -> np.ndarray:
+    """How often the ``size`` tokens from each place follow one another there: from runs of tokens that equal the one ``size`` places on."""
+    n = len(tokens)
+    same = np.zeros(n + 1, bool)
+    same[: max(0, n - size)] = tokens[size:] == tokens[: n - size] if n > size else False
+    # The run of equal shifts from a place ends at the next place without one.
+    end = np.where(same, n, np.arange(n + 1))
+    run = np.minimum.accumulate(end[::-1])[::-1][:n] - np.arange(n)
+    return run // size + 1
+
+
 def without_loops(tokens: list[str], *, repeats: int = 3, longest: int = 8) -> list[int]:
     """Places that stay when runs of one pattern shrink to a single copy.
 
-    At each place the longest pattern that repeats wins: three times for patterns of
-    three tokens or more, else once more than ``repeats``.
+    From left to right, the longest pattern that repeats at a place wins: three times for patterns of
+    three tokens or more, else once more than ``repeats``; patterns of blanks do not count.
     """
     n = len(tokens)
-    if n < 4:
-        return list(range(n))
-    kept, at = [], 0
-    while at < n:
-        step = 0
-        for size in range(min(longest, (n - at) // 2), 0, -1):
-            unit = tokens[at : at + size]
-            if not any(unit):
-                continue
-            times = 1
-            while tokens[at + times * size : at + (times + 1) * size] == unit:
-                times += 1
-            if times >= (3 if size >= 3 else repeats + 1):
-                kept += range(at, at + size)
-                step = times * size
-                break
-        if not step:
-            kept.append(at)
-            step = 1
-        at += step
-    return kept
+    number = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
+    coded = np.fromiter((number[t] for t in tokens), np.int64, n)
+    said = np.concatenate([[0], np.cumsum(np.fromiter((t != "" for t in tokens), np.int64, n))])
+    unit, copies = np.zeros(n, np.int64), np.ones(n, np.int64)
+    for size in range(1, longest + 1):
+        times = repeats_from(coded, size)
+        loops = (times >= (3 if size >= 3 else repeats + 1)) & (said[np.minimum(np.arange(n) + size, n)] > said[:n])
+        unit[loops], copies[loops] = size, times[loops]
+    gone, free = np.zeros(n, bool), 0
+    for at in np.flatnonzero(unit).tolist():
+        if at >= free:
+            free = at + int(unit[at] * copies[at])
+            gone[at + unit[at] : free] = True
+    return np.flatnonzero(~gone).tolist()
 
 
 def suppress_loops(words: DataFrame, key: str, pos: str) -> DataFrame:
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        return f.iloc[without_loops([spoken(w) for w in f["word"]])]
+    word = words.columns.index("word")
+
+    def walk(rows: Iterator[Row]) -> Iterator[Row]:
+        own = list(rows)
+        yield from (own[k] for k in without_loops([spoken(r[word]) for r in own]))
 
-    return fold(words, key, pos, walk, words.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return fold(words, key, pos, walk, words.schema)
 
 
 def chunk_numbers(starts: list[float], ends: list[float], texts: list[str], target: int) -> list[int]:
@@ -147,67 +224,101 @@ def chunk_numbers(starts: list[float], ends: list[float], texts: list[str], targ
 
 def semantic_chunks(cues: DataFrame, key: str, pos: str, target: int = 80) -> DataFrame:
     """Cues with ``chunk``."""
+    start, end, text = map(cues.columns.index, ("start", "end", "text"))
 
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        return f.assign(chunk=chunk_numbers(f["start"].tolist(), f["end"].tolist(), f["text"].tolist(), target))
+    def walk(rows: Iterator[Row]) -> Iterator[Row]:
+        own = list(rows)
+        chunks = chunk_numbers([r[start] for r in own], [r[end] for r in own], [r[text] for r in own], target)
+        yield from ((*row, chunk) for row, chunk in zip(own, chunks, strict=True))
 
-    return fold(cues, key, pos, walk, cues.schema.simpleString().removeprefix("struct<").removesuffix(">") + ", chunk long")
+    return fold(cues, key, pos, walk, StructType([*cues.schema, StructField("chunk", LongType())]))
 
 
-def monotone(starts: list[float], ends: list[float]) -> tuple[list[float], list[float]]:
+Span = tuple[float, float]
+
+
+def repaired(spans: Iterable[Span]) -> Iterator[Span]:
     """Strictly rising starts and no overlaps: a cue cuts the one before if that keeps 0.6 s, else it waits."""
-    s, e = list(starts), list(ends)
-    for i in range(1, len(s)):
-        if s[i] <= s[i - 1]:
-            s[i] = s[i - 1] + 0.5
-        if e[i - 1] > s[i]:
-            if s[i] >= s[i - 1] + 0.6:
-                e[i - 1] = s[i]
-            else:
-                e[i - 1] = max(s[i - 1] + 0.5, s[i])
-                s[i] = max(s[i], e[i - 1])
-        if e[i] <= s[i]:
-            e[i] = s[i] + 1.0
-    return s, e
+    before: Span | None = None
+    for start, end in spans:
+        if before is not None:
+            s, e = before
+            start = start if start > s else s + 0.5
+            if e > start:
+                e = start if start >= s + 0.6 else max(s + 0.5, start)
+                start = max(start, e)
+            end = end if end > start else start + 1.0
+            yield s, e
+        before = start, end
+    if before is not None:
+        yield before
+
+
+def monotone(starts: list[float], ends: list[float]) -> tuple[list[float], list[float]]:
+    """``repaired`` of whole columns."""
+    spans = list(repaired(zip(starts, ends, strict=True)))
+    return [s for s, _ in spans], [e for _, e in spans]
+
+
+def _timed_fold(cues: DataFrame, key: str, pos: str, walk: Callable[[Iterator[Row]], Iterator[Span]], *read: str) -> DataFrame:
+    """Cues with the start and end that ``walk`` gives for their columns ``read``."""
+    at, start, end = [cues.columns.index(c) for c in read], cues.columns.index("start"), cues.columns.index("end")
+
+    def each(rows: Iterator[Row]) -> Iterator[Row]:
+        waiting: list[Row] = []
+
+        def columns() -> Iterator[Row]:
+            for row in rows:
+                waiting.append(row)
+                yield tuple(row[k] for k in at)
+
+        for s, e in walk(columns()):
+            row = list(waiting.pop(0))  # a walk is a row or two behind what it has read
+            row[start], row[end] = s, e
+            yield tuple(row)
+
+    schema = StructType([StructField(f.name, DoubleType()) if f.name in ("start", "end") else f for f in cues.schema])
+    return fold(cues, key, pos, each, schema)
 
 
 def monotone_repair(cues: DataFrame, key: str, pos: str) -> DataFrame:
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        f["start"], f["end"] = monotone(f["start"].tolist(), f["end"].tolist())
-        return f
-
-    return fold(cues, key, pos, walk, cues.schema.simpleString().removeprefix("struct<").removesuffix(">"))
-
-
-def led_in(starts: list[float], ends: list[float], locked: list[bool], *, video_start: bool = True, last: float = float("inf"), lead: float = LEAD_IN) -> tuple[list[float], list[float]]:
-    """Starts moved ahead of the sound, taking time from the cue before where it has more than a second."""
-    s, e = [], []
-    for i, (start, end, lock) in enumerate(zip(starts, ends, locked, strict=True)):
-        wish = max(0.0, start - lead)
-        if i == 0:
-            start = wish if video_start else start
-        else:
-            if lock and not locked[i - 1] and e[-1] > wish:
-                e[-1] = max(s[-1] + 0.2, wish)
-            if wish >= e[-1] + 0.02:
-                start = wish
-            else:
-                shift = min(max(0.0, e[-1] - s[-1] - 1.0), e[-1] + 0.02 - wish)
-                if shift >= 0.04:
-                    e[-1] -= shift
-                    start = e[-1]
-                else:
-                    start = max(e[-1], wish)
-        if end <= start:
-            end = start + 0.5 if lock else min(start + 0.5, last)
-        s.append(start)
-        e.append(end)
-    return s, e
+    return _timed_fold(cues, key, pos, repaired, "start", "end")
+
+
+def meeting(begin: float, end: float, wish: float, yields: bool) -> Span:
+    """Where a cue ends and the next one, which wishes to start at ``wish``, starts; ``yields``: the first may be cut."""
+    if yields and end > wish:
+        end = max(begin + CUT_TO, wish)
+    lack = end + APART - wish
+    given = min(lack, max(0.0, end - begin - KEEPS))
+    if lack > 0 and given >= WORTH:
+        return end - given, end - given
+    return end, wish if lack <= 0 else max(end, wish)
+
+
+def ahead_of_sound(cues: Iterable[tuple[float, float, bool]], *, video_start: bool = True, last: float = float("inf"), lead: float = LEAD_IN) -> Iterator[Span]:
+    """Spans of cues (start, end, locked) moved ahead of the sound; the state is the cue before: its span and whether it is locked."""
+    span: Span | None = None
+    was_locked = False
+    for start, end, locked in cues:
+        begin = wish = max(0.0, start - lead)
+        if span is not None:
+            ended, begin = meeting(*span, wish, locked and not was_locked)
+            yield span[0], ended
+        elif not video_start:
+            begin = start
+        if end <= begin:
+            end = begin + 0.5 if locked else min(begin + 0.5, last)
+        span, was_locked = (begin, end), locked
+    if span is not None:
+        yield span
+
+
+def led_in(starts: list[float], ends: list[float], locked: list[bool], **how) -> tuple[list[float], list[float]]:
+    """``ahead_of_sound`` of whole columns."""
+    spans = list(ahead_of_sound(zip(starts, ends, locked, strict=True), **how))
+    return [s for s, _ in spans], [e for _, e in spans]
 
 
 def lead_in(cues: DataFrame, key: str, pos: str) -> DataFrame:
-    def walk(f: pd.DataFrame) -> pd.DataFrame:
-        f["start"], f["end"] = led_in(f["start"].tolist(), f["end"].tolist(), f["locked"].tolist())
-        return f
-
-    return fold(cues, key, pos, walk, cues.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return _timed_fold(cues, key, pos, ahead_of_sound, "start", "end", "locked")

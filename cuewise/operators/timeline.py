@@ -31,11 +31,11 @@ def with_gaps(cues: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def silences(cues: DataFrame, key: str, pos: str, least_ms: int = 10_000) -> DataFrame:
-    """Silences between cues and before the first one (prev null)."""
+    """Silences between cues, which are numbered from 1, and before the first one (``prev_index`` 0)."""
     w = order(key, pos)
-    between = cues.withColumns({"prev": F.lag(pos).over(w), "from_ms": F.coalesce(F.lag("end_ms").over(w), F.lit(0))})
+    between = cues.withColumns({"next_index": F.row_number().over(w).cast("long"), "from_ms": F.coalesce(F.lag("end_ms").over(w), F.lit(0))})
     length = F.col("start_ms") - F.col("from_ms")
-    return between.where(length >= least_ms).select(key, "prev", F.col(pos).alias("next"), "from_ms", F.col("start_ms").alias("to_ms"), length.alias("silence_ms"))
+    return between.where(length >= least_ms).select(key, (F.col("next_index") - 1).alias("prev_index"), "next_index", "from_ms", F.col("start_ms").alias("to_ms"), length.alias("silence_ms"))
 
 
 def renumbered(rows: DataFrame, key: str, pos: str) -> DataFrame:

@@ -47,11 +47,47 @@ def upper_median_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).groupBy(KEY).agg(audit.upper_median("dur_ms").alias("median_ms"))
 
 
+def _terms(cues: DataFrame) -> DataFrame:
+    """Each document's distinct words of twelve characters or more."""
+    return cues.select(KEY, F.explode(F.filter(F.split("text", " "), lambda x: F.length(x) >= 12)).alias("term")).distinct()
+
+
 def glossary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms: each document's distinct long words in its first line."""
     cues = derived.cues(spark, sf_dir)
-    first = cues.where("line_no = 0").select(KEY, F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda x: F.length(x) >= 6))).alias("term"))
-    return audit.term_counts(cues, first, KEY, POS)
+    return audit.term_counts(cues, _terms(cues), KEY, POS)
+
+
+def _report(spark: SparkSession, sf_dir: str, cues: DataFrame) -> DataFrame:
+    """The whole audit of every document; media end with the last even second before their last cue's end."""
+    rows = audit.enriched(derived.locked(cues), KEY, POS, F.lit("en"))
+    ends = cues.groupBy(KEY).agg((F.floor(F.max_by("end_ms", POS) / 2000) * 2000).alias("media_ms"))
+    episodes = derived.documents(spark, sf_dir).select(KEY).join(ends, KEY, "left")
+    return audit.report(rows, KEY, POS, episodes, _terms(cues))
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures, with arrays as text."""
+    found = _report(spark, sf_dir, derived.cues(spark, sf_dir))
+    quiet = F.array_join(F.transform("silences", lambda x: F.concat_ws("/", x["prev_index"].cast("string"), x["code"], x["next_index"].cast("string"))), ";")
+    return found.withColumns({"violations": F.array_join("violations", ","), "silences": quiet})
+
+
+def empty_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts where captions are only the lines with a vertical bar: most documents have none."""
+    cues = derived.cues(spark, sf_dir).where(F.col("text").contains("|"))
+    return _report(spark, sf_dir, cues).select(KEY, "passed", F.array_join("violations", ",").alias("violations"), "action", "locked_pct", "overrun", "cues")
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON and Markdown of every report: digest of the page, lines of its issues, and three figures read back from the JSON."""
+    cues = derived.cues(spark, sf_dir)
+    found = _report(spark, sf_dir, cues)
+    rows = audit.enriched(cues, KEY, POS, F.lit("en"))
+    pages = audit.report_markdown(found, audit.issues(rows, KEY, POS), KEY, POS)
+    back = F.from_json("json", "cues long, grade string, n_silences long")
+    read = audit.report_json(found, KEY).select(KEY, back.alias("r"))
+    lines = F.size(F.filter(F.split("markdown", "\n"), lambda x: x.rlike(r"^\| \d+ \| \d+ \| [a-z_]+ \| "))).cast("long")
+    return pages.join(read, KEY).select(KEY, F.split("markdown", "\n")[2].alias("verdict"), lines.alias("issue_lines"), "r.cues", "r.grade", "r.n_silences")
 
 
 def review_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +146,9 @@ QUERIES = {
     "quality_gate": quality_gate,
     "last_out": last_out,
     "partial_final_stats": partial_final_stats,
+    "audit_report": audit_report,
+    "empty_verdict": empty_verdict,
+    "report_documents": report_documents,
 }
 
 _ISSUES = O.ENRICHED + """,
@@ -126,12 +165,51 @@ _SCORE = f"""100.0::DOUBLE - (least(20.0::DOUBLE, overlapping * 5.0::DOUBLE) + l
   + least(5.0::DOUBLE, {_PCT('short')} * 0.3::DOUBLE) + least(10.0::DOUBLE, {_PCT('fast')} * 0.5::DOUBLE)
   + CASE WHEN locked + fallback > 0 THEN least(5.0::DOUBLE, fallback * 100.0::DOUBLE / greatest(locked + fallback, 1) * 0.2::DOUBLE) ELSE 0.0::DOUBLE END)"""
 _RATE = "round_even(locked * 100.0::DOUBLE / greatest(1, locked + fallback), 1)"
+_CODE = lambda c: f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
+_SILENCES = """,
+spaced AS (
+  SELECT *, row_number() OVER w AS idx, coalesce(lag(end_ms) OVER w, 0) AS since FROM cues WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+quiet AS (
+  SELECT doc_id, count(*) AS n_silences, string_agg((idx - 1) || '/' || """ + _CODE("since") + """ || ' --> ' || """ + _CODE("start_ms") + """ || '/' || idx, ';' ORDER BY since, start_ms) AS silences
+  FROM spaced WHERE start_ms - since >= 10000 GROUP BY doc_id)"""
+_TERMS = """,
+terms AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: length(x) >= 12)) AS term FROM cues),
+whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY line_no) AS captions FROM cues GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS terms, count(*) FILTER (WHERE contains(captions, term)) AS terms_found FROM terms JOIN whole USING (doc_id) GROUP BY doc_id)"""
+_JUDGED = f""",
+scored AS (SELECT *, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_SCORE})), 1) AS score, {_RATE} AS rate, last_out_ms // 2000 * 2000 AS media_ms FROM metrics),
+judged AS (
+  SELECT *, CASE WHEN media_ms > 0 THEN (last_out_ms - media_ms) / 1000 ELSE 0.0::DOUBLE END AS over,
+    CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' ELSE 'C' END AS grade,
+    concat_ws(',', CASE WHEN rate < 80 THEN 'LOW_ACOUSTIC_LOCK_RATE' END, CASE WHEN media_ms > 0 AND last_out_ms - media_ms > 500 THEN 'LAST_OUT_EXCEEDS_DURATION' END,
+      CASE WHEN overlapping > 0 THEN 'TIMELINE_OVERLAPS' END) AS found FROM scored),
+verdicts AS (
+  SELECT d.doc_id, j.* EXCLUDE (doc_id), coalesce(j.found, 'EMPTY_SUBTITLES') AS violations, coalesce(j.found = '', false) AS passed,
+    CASE WHEN j.found = '' THEN 'DELIVER' ELSE 'ONE_SHOT_REMEDIATE' END AS action, coalesce(j.rate, 0.0::DOUBLE) AS locked_pct, coalesce(j.over, 0.0::DOUBLE) AS overrun
+  FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id)"""
+_BARRED = O.METRICS.replace("cues AS (SELECT doc_id, line_no, text, start_ms, start_ms + dur AS end_ms FROM placed)", "cues AS (SELECT doc_id, line_no, text, start_ms, start_ms + dur AS end_ms FROM placed WHERE contains(text, '|'))")
 ORACLES = {
+    "audit_report": O.METRICS + _JUDGED + _SILENCES + _TERMS + """,
+counted AS (SELECT doc_id, count(*) FILTER (WHERE markdown) + count(*) FILTER (WHERE unbalanced > 0) + count(*) FILTER (WHERE overlength) + count(*) FILTER (WHERE fast) + count(*) FILTER (WHERE short AND cents > 500) AS issues FROM enriched GROUP BY doc_id)
+SELECT doc_id, passed, violations, action, locked_pct, overrun, coalesce(v.cues, 0) AS cues, CASE WHEN v.cues > 0 THEN 'en' END AS locale, media_ms / 1000 AS media, first_in_ms / 1000 AS first_in, """ + _CODE("first_in_ms") + """ AS first_in_code,
+  last_out_ms / 1000 AS last_out, """ + _CODE("last_out_ms") + """ AS last_out_code, """ + O.nearest("total_ms", "v.cues * 1000") + """ AS mean_duration, """ + O.nearest("median_ms", "1000") + """ AS median_duration,
+  (all_cents // v.cues + CASE WHEN all_cents % v.cues * 2 > v.cues OR (all_cents % v.cues * 2 = v.cues AND all_cents // v.cues % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS mean_cps, peak_cps,
+  CASE WHEN v.cues > 0 THEN 20.0::DOUBLE END AS cps_limit, CASE WHEN v.cues > 0 THEN 42.0::DOUBLE END AS line_limit, fast, overlength, end_marks, unbalanced, markdown, inline_commas, short, long, overlapping, micro_gaps, zero_gaps, pauses,
+  """ + O.nearest("fast * 100", "v.cues") + """ AS fast_pct, """ + O.nearest("overlength * 100", "v.cues") + """ AS overlength_pct, """ + O.nearest("short * 100", "v.cues") + """ AS short_pct,
+  CASE WHEN v.cues > 0 THEN coalesce(n_silences, 0) END AS n_silences, CASE WHEN v.cues > 0 THEN coalesce(silences, '') END AS silences, locked, fallback,
+  CASE WHEN v.cues > 0 THEN coalesce(terms, 0) END AS terms, CASE WHEN v.cues > 0 THEN coalesce(terms_found, 0) END AS terms_found, score, grade, issues
+FROM verdicts v LEFT JOIN quiet USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN counted USING (doc_id)""",
+    "empty_verdict": _BARRED + _JUDGED + " SELECT doc_id, passed, violations, action, locked_pct, overrun, coalesce(cues, 0) AS cues FROM verdicts",
+    "report_documents": O.METRICS + _JUDGED + _SILENCES + """,
+counted AS (SELECT doc_id, count(*) FILTER (WHERE markdown) + count(*) FILTER (WHERE unbalanced > 0) + count(*) FILTER (WHERE overlength) + count(*) FILTER (WHERE fast) + count(*) FILTER (WHERE short AND cents > 500) AS issues FROM enriched GROUP BY doc_id)
+SELECT doc_id, CASE WHEN passed THEN 'PASS (' ELSE 'FAIL (' END || action || ')' || CASE WHEN violations <> '' THEN ': ' || replace(violations, ',', ', ') ELSE '' END AS verdict,
+  least(15, coalesce(issues, 0)) AS issue_lines, coalesce(v.cues, 0) AS cues, grade, CASE WHEN v.cues > 0 THEN coalesce(n_silences, 0) END AS n_silences
+FROM verdicts v LEFT JOIN quiet USING (doc_id) LEFT JOIN counted USING (doc_id)""",
     "audit_core_metrics": O.METRICS + f"SELECT {', '.join(CORE)} FROM metrics",
     "gap_classes": O.GAPS + "SELECT doc_id, line_no, gap_ms, gap_class FROM classed",
     "prolonged_silences": O.CUES + """, between AS (
-  SELECT *, lag(line_no) OVER w AS prev, coalesce(lag(end_ms) OVER w, 0) AS from_ms FROM cues WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, prev, line_no AS next, from_ms, start_ms AS to_ms, start_ms - from_ms AS silence_ms FROM between WHERE start_ms - from_ms >= 10000""",
+  SELECT *, row_number() OVER w AS next_index, coalesce(lag(end_ms) OVER w, 0) AS from_ms FROM cues WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, next_index - 1 AS prev_index, next_index, from_ms, start_ms AS to_ms, start_ms - from_ms AS silence_ms FROM between WHERE start_ms - from_ms >= 10000""",
     "overlength_lines": O.ENRICHED + "SELECT doc_id, line_no, width FROM enriched WHERE overlength",
     "high_cps_lines": O.ENRICHED + "SELECT doc_id, line_no, cps FROM enriched WHERE fast",
     "short_lines": O.ENRICHED + "SELECT doc_id, line_no, dur_ms FROM enriched WHERE short",
@@ -141,7 +219,7 @@ SELECT doc_id, prev, line_no AS next, from_ms, start_ms AS to_ms, start_ms - fro
     "bracket_balance": O.ENRICHED + "SELECT doc_id, line_no, CAST(unbalanced AS BIGINT) AS pairs FROM enriched WHERE unbalanced > 0",
     "upper_median_duration": O.ENRICHED + "SELECT doc_id, list_sort(list(dur_ms))[count(*) // 2 + 1] AS median_ms FROM enriched GROUP BY doc_id",
     "glossary_coverage": O.CUES + """, terms AS (
-  SELECT DISTINCT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: length(x) >= 6)) AS term FROM cues WHERE line_no = 0),
+  SELECT DISTINCT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: length(x) >= 12)) AS term FROM cues),
 whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY line_no) AS captions FROM cues GROUP BY doc_id),
 counted AS (
   SELECT doc_id, term, CAST((length(captions) - length(replace(captions, term, ''))) // length(term) AS BIGINT) AS times FROM terms JOIN whole USING (doc_id))

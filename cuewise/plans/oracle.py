@@ -33,17 +33,20 @@ MARKDOWN = r"regexp_matches(text, '\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s|^\s*>\s')"
 
 ENRICHED = GAPS + f""",
 measured AS (SELECT *, greatest(end_ms - start_ms, 10) AS dur_ms, CAST(length(text) AS DOUBLE) AS width FROM classed),
+rated AS (
+  SELECT *, CAST(width * 100000 AS BIGINT) AS n, CAST(greatest(dur_ms, 100) AS BIGINT) AS d FROM measured),
+rounded AS (SELECT *, n // d + CASE WHEN n % d * 2 > d OR (n % d * 2 = d AND n // d % 2 = 1) THEN 1 ELSE 0 END AS cents FROM rated),
 enriched AS (
-  SELECT *, width * 1000 / greatest(dur_ms, 100) AS cps, {TRAILING} AS end_marks, contains(text, '，') AS inline_comma,
-    {UNBALANCED} AS unbalanced, {MARKDOWN} AS markdown, width > 42.0 AS overlength, width * 1000 / greatest(dur_ms, 100) > 20.0 AS fast,
+  SELECT *, cents / 100.0::DOUBLE AS cps, {TRAILING} AS end_marks, contains(text, '，') AS inline_comma,
+    {UNBALANCED} AS unbalanced, {MARKDOWN} AS markdown, width > 42.0 AS overlength, cents > 2000 AS fast,
     dur_ms < 1000 AS short, dur_ms > 6000 AS long
-  FROM measured)
+  FROM rounded)
 """
 
 METRICS = ENRICHED + """,
 metrics AS (
   SELECT doc_id, count(*) AS cues, arg_min(start_ms, line_no) AS first_in_ms, arg_max(end_ms, line_no) AS last_out_ms, CAST(sum(dur_ms) AS BIGINT) AS total_ms,
-    max(dur_ms) AS longest_ms, max(cps) AS peak_cps, count(*) FILTER (WHERE short) AS short, count(*) FILTER (WHERE long) AS long,
+    max(dur_ms) AS longest_ms, max(cps) AS peak_cps, CAST(sum(cents) AS BIGINT) AS all_cents, list_sort(list(dur_ms))[count(*) // 2 + 1] AS median_ms, count(*) FILTER (WHERE short) AS short, count(*) FILTER (WHERE long) AS long,
     count(*) FILTER (WHERE overlength) AS overlength, count(*) FILTER (WHERE fast) AS fast,
     count(*) FILTER (WHERE gap_class = 'overlap') AS overlapping, count(*) FILTER (WHERE gap_class = 'zero') AS zero_gaps,
     count(*) FILTER (WHERE gap_class = 'micro') AS micro_gaps, count(*) FILTER (WHERE gap_class = 'normal') AS pauses,
@@ -62,3 +65,8 @@ summed AS (
 words AS (
   SELECT doc_id, line_no, word_pos, word, CAST(cue_start + span * (upto - length(word)) // total AS BIGINT) AS start_ms, CAST(cue_start + span * upto // total AS BIGINT) AS end_ms FROM summed)
 """
+
+
+def nearest(n: str, d: str) -> str:
+    """``n / d`` to two places, of two as near the even one."""
+    return f"(({n}) * 100 // ({d}) + CASE WHEN ({n}) * 100 % ({d}) * 2 > ({d}) OR (({n}) * 100 % ({d}) * 2 = ({d}) AND ({n}) * 100 // ({d}) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE"

@@ -37,7 +37,8 @@ def window_overlap_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
     ends = words.groupBy(KEY).agg((F.max("end_ms") / 1000).alias("seconds"))
     w = timeline.windows(ends, KEY, "seconds", 60.0, 5.0).select(KEY, "window_id", (F.col("w_start") * 1000).cast("long").alias("from_ms"), F.bround(F.col("w_end") * 1000).cast("long").alias("to_ms"))
-    heard = words.join(w, KEY).where((F.col("end_ms") > F.col("from_ms")) & (F.col("start_ms") < F.col("to_ms"))).drop("from_ms", "to_ms")
+    heard = timeline.interval_join(w.withColumnRenamed("window_id", "span_id"), words, KEY, 0).withColumnRenamed("span_id", "window_id")
+    heard = heard.join(w, [KEY, "window_id"]).where((F.col("end_ms") > F.col("from_ms")) & (F.col("start_ms") < F.col("to_ms"))).drop("from_ms", "to_ms")
     return timeline.stitched(heard, w, KEY).select(KEY, "window_id", POS, "word_pos", "start_ms", "end_ms")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..operators.folds import dealt
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -21,18 +23,17 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = kept.withColumn("dur", (300 + (F.length("text") * 37) % 7000).cast("long")).withColumn("gap", F.when(k == 0, -150).when(k == 1, 0).when(k == 2, 100).when(k == 3, 12000).otherwise(350).cast("long"))
     before = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(before), F.lit(0))
-    return timed.select("doc_id", "line_no", "text", start.cast("long").alias("start_ms"), (start + F.col("dur")).cast("long").alias("end_ms"))
+    # The window below, and what walks documents later, use this dealing.
+    return dealt(timed, "doc_id").select("doc_id", "line_no", "text", start.cast("long").alias("start_ms"), (start + F.col("dur")).cast("long").alias("end_ms"))
 
 
 def words(cue: DataFrame) -> DataFrame:
     """(doc_id, line_no, word_pos, word, start_ms, end_ms): a cue's span dealt to its words by characters."""
-    split = cue.select("doc_id", "line_no", "start_ms", "end_ms", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
-    sizes = F.transform("ws", lambda x: F.length(x))
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    running = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    rows = split.withColumns({"total": total, "at": running}).select("doc_id", "line_no", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("span"), "total", "at", F.posexplode("ws").alias("word_pos", "word"))
-    point = lambda k: F.col("start_ms") + F.expr(f"span * element_at(at, word_pos + {k}) div total")
-    return rows.select("doc_id", "line_no", F.col("word_pos").cast("long").alias("word_pos"), "word", point(1).alias("start_ms"), point(2).alias("end_ms"))
+    split = cue.select("doc_id", "line_no", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("span"), F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("word_pos", "word"))
+    line = W.partitionBy("doc_id", "line_no")
+    sized = split.withColumn("n", F.length("word")).withColumns({"total": F.sum("n").over(line), "upto": F.sum("n").over(line.orderBy("word_pos").rowsBetween(W.unboundedPreceding, 0))})
+    point = lambda k: F.col("start_ms") + F.expr(f"span * ({k}) div total")
+    return sized.select("doc_id", "line_no", F.col("word_pos").cast("long").alias("word_pos"), "word", point("upto - n").alias("start_ms"), point("upto").alias("end_ms"))
 
 
 def locked(cue: DataFrame) -> DataFrame:

@@ -45,6 +45,13 @@ from .staging import Staging, parts
 
 #: Text held at a time while prefixes of a block are brought together.
 _BLOCK_CHARS = 12_000_000
+#: Characters of input that one part of the dealt shingles stands for, so that a task's memory does not follow the input.
+_PART_CHARS = 32_000_000
+#: Texts are filtered by a Bloom filter of the ids that are wanted, of the fixed size that Spark gives it, before they move.
+_FILTER_FIRST = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
+}
 _U64 = np.uint64
 
 
@@ -262,8 +269,9 @@ def _pruned(sets: DataFrame, limit: Threshold, staging: Staging, n_parts: int, r
     for turn in range(rounds):
         marks = _mark_shared(_deal_sets(sets, n_parts), n_parts).groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("whole"), F.col("n"))).alias("n"))
         alive = marks.where("doc_id is not null").where(F.col("shared") >= F.ceil(F.col("n") * limit.percent / 100)).select(F.col("doc_id").alias("node"))
-        fewer = staging.write(sets.join(alive, "node", "left_semi"), f"pruned-{turn}", codec="none")
+        fewer = staging.write(sets.join(alive, "node", "left_semi"), f"pruned-{turn}")
         before, after = sets.count(), fewer.count()
+        staging.drop(f"pruned-{turn - 1}" if turn else "sets")
         sets = fewer
         if after > 0.9 * before:
             break
@@ -315,7 +323,9 @@ def _compared(asking: DataFrame, members: DataFrame, sets: DataFrame, limit: Thr
     right = members.join(sizes, "unit").join(tokens, "node").select("unit", every(F.col("asked")).alias("ask"), block(F.col("held")).alias("member"), "node", "c", "tokens")
     right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same tables
     keys = ("unit", "ask", "member")
-    return staging.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare_blocks(limit), "a long, b long"), name)
+    links = staging.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_compare_blocks(limit), "a long, b long"), name)
+    staging.drop(f"{name}-sizes")
+    return links
 
 
 def _across(placed: DataFrame, sets: DataFrame, limit: Threshold, staging: Staging, block_rows: int, few: int = 32) -> DataFrame:
@@ -375,7 +385,10 @@ def _class_links(sets: DataFrame, limit: Threshold, frequent_from: int, block_ro
     near = components(links, staging, "star")
 
     placed = entries.join(near, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("c"))
-    more = staging.write(_across(staging.write(placed, "placed"), sets, limit, staging, block_rows), "more-links")
+    placed = staging.write(placed, "placed")
+    staging.drop("entries")
+    more = staging.write(_across(placed, sets, limit, staging, block_rows), "more-links")
+    staging.drop("placed", "members", "meeting", "units", "pairwise", "clustered", "crowded")
     if more.isEmpty():
         return near
     return components(links.unionByName(more), staging, "all")
@@ -388,7 +401,9 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, frequent_from: int =
     frequent, and ``block_rows`` the sets compared at a time; they set the cost, not the result.
     """
     spark = docs.sparkSession
-    staging, limit, n_parts = Staging(spark, "ngrams"), Threshold(percent), parts(docs.sparkSession, 64)
+    staging, limit = Staging(spark, "ngrams"), Threshold(percent)
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n_parts = max(parts(spark, 64), -(-chars // _PART_CHARS))
     marks = staging.write(_mark_shared(_deal_prefixes(docs, limit, n_parts), n_parts), "marks")
     rows = marks.where("whole").select("doc_id", "n", "h1", "h2")
     shared = marks.where("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min(F.when(F.col("whole") & (F.col("n") > 0), F.col("n"))).alias("n"))
@@ -398,11 +413,11 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, frequent_from: int =
 
     classes = rows.where("n > 0").join(left, "doc_id", "left_semi").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     classes = staging.write(classes, "classes")
-    chosen = classes.select(F.col("node").alias("__node")).distinct()
+    chosen = classes.where("n > 0").select(F.col("node").alias("__node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__node"), "left_semi")
     # Equal rows of a class give equal sets; a class keeps one.
     sets = _sets(texts).join(classes, ["h1", "h2", "n"]).groupBy("node", "h1", "h2", "n").agg(F.first("tokens").alias("tokens"))
-    sets = staging.write(sets, "sets", codec="none")
+    sets = staging.write(sets, "sets", **_FILTER_FIRST)
     near = _class_links(_pruned(sets, limit, staging, n_parts), limit, frequent_from, block_rows, staging)
     found = classes.join(near, "node", "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "node").alias("component"))
     joined = rows.join(found, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")

@@ -353,13 +353,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
     rest = named.join(copies.select(F.col("doc_id").alias("__copy")).distinct(), F.col("doc_id") == F.col("__copy"), "left_anti")
     n_parts = parts(spark)
     table = staging.bucketed(blocks(rest), "blocks", "block", n_parts)
-    staging.release()
     total = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     n = max(n_parts, -(-total // BUCKET))
     samples = staging.write(repeated_samples(sample_keys(table, n, length), n), "samples")
-    staging.release()
     later = staging.write(later_strings(string_keys(_with_bits(table, samples), n, length), n), "strings")
-    staging.release()
     found = _results(_with_bits(table, samples, later), n, length, with_text)
     gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_text else []))
     found = found.unionByName(gone)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import cache
+
+from pyspark.sql import Column, SparkSession, functions as F
 
 from ..schema import BRACKETS
 
@@ -194,3 +196,11 @@ def bias_prompt(markdown: Column, loc: Column, budget: int = 145) -> Column:
 def in_script(text: Column, table: dict[str, str]) -> Column:
     """Text with single characters replaced, as from simplified to traditional script."""
     return F.translate(text, "".join(table), "".join(table.values()))
+
+
+@cache
+def script_table(spark: SparkSession, rule: str = "Simplified-Traditional") -> dict[str, str]:
+    """Single characters that ``rule``, a transliterator of the ICU library that Spark brings, replaces by one other."""
+    han = [chr(c) for c in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000))]
+    made = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance(rule).transliterate("\n".join(han)).split("\n")
+    return {a: b for a, b in zip(han, made, strict=True) if a != b and len(b) == 1}

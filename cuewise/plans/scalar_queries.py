@@ -137,20 +137,51 @@ def atomic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a cue and its last mark as a token of its own, joined for display."""
+    """Words of a cue, its last full stop as a token of its own, joined for display."""
     c = derived.cues(spark, sf_dir)
-    tokens = F.concat(F.split(F.regexp_replace("text", r"[.]$", ""), " "), F.array(F.lit(".")))
-    return c.where("text like '%.'").select(KEY, POS, T.join_words(tokens).alias("joined"))
+    tokens = F.concat(F.split(F.regexp_replace("text", r"[.]$", ""), " "), F.when(F.col("text").endswith("."), F.array(F.lit("."))).otherwise(F.array().cast("array<string>")))
+    return c.select(KEY, POS, T.join_words(tokens).alias("joined"))
 
 
 def prompt_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bias prompt from a glossary of each document's first words."""
-    first = derived.cues(spark, sf_dir).where("line_no = 0").select(KEY, F.slice(F.filter(F.split(F.translate("text", "(*", "  "), " "), lambda x: x != ""), 1, 40).alias("ws"))
-    glossary = F.array_join(F.transform("ws", lambda x: F.concat(F.lit("- **"), x, F.lit("**"))), "\n")
-    return first.where(F.size("ws") > 0).select(KEY, T.bias_prompt(glossary, F.lit("en")).alias("prompt"))
+    """A bias prompt from a glossary of all words of each document."""
+    words = F.filter(F.split(F.translate("text", "(*", "  "), " "), lambda x: x != "")
+    whole = derived.cues(spark, sf_dir).groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(POS, words.alias("ws")))), lambda x: F.array_join(F.transform(x["ws"], lambda w: F.concat(F.lit("- **"), w, F.lit("**"))), "\n")), "\n").alias("glossary"))
+    return whole.where("glossary like '%**%'").select(KEY, T.bias_prompt(F.col("glossary"), F.lit("en")).alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (fmt_srt_ts, parse_srt_ts, parse_offsets, display_width, lang_normalize, stt_codes, clean_latin, clean_turns, gdrive_parse, gcs_uri, mime_type, env_parse, content_hash, srt_render, srt_roundtrip, vtt_render, words_json_explode, atomic_units, join_display, prompt_terms)}
+#: Letters that stand for wide characters in the queries below.
+LETTERS, HAN, SIMPLIFIED = "abcdefghijklmnop", "字幕時間軸對齊我們的了中文測試行", "国语时间轴对齐们发书长门马鱼鸟云"
+
+
+def _wide(spark: SparkSession, sf_dir: str, signs: str = HAN) -> DataFrame:
+    """Cues in which most letters are wide characters, some closing marks full-width."""
+    return derived.cues(spark, sf_dir).withColumn("text", F.translate("text", LETTERS + ";!", signs + "，。"))
+
+
+def wide_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir).select(KEY, POS, *[T.display_width(F.col("text"), F.lit(loc)).alias(name) for loc, name in (("ja", "cjk"), ("ko", "korean"), ("en", "latin"))])
+
+
+def wide_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir).select(KEY, POS, T.clean(F.col("text"), F.lit("zh-TW")).alias("cleaned"))
+
+
+def wide_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.atoms(F.col("text"))
+    return _wide(spark, sf_dir).select(KEY, POS, F.size(found).cast("long").alias("atoms"), F.array_join(F.slice(found, 1, 5), "|").alias("first"))
+
+
+def wide_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir).select(KEY, POS, T.join_words(F.split("text", " ")).alias("joined"))
+
+
+def script_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simplified characters brought to traditional ones."""
+    return _wide(spark, sf_dir, SIMPLIFIED).select(KEY, POS, T.in_script(F.col("text"), T.script_table(spark)).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (fmt_srt_ts, parse_srt_ts, parse_offsets, display_width, lang_normalize, stt_codes, clean_latin, clean_turns, gdrive_parse, gcs_uri, mime_type, env_parse, content_hash, srt_render, srt_roundtrip, vtt_render, words_json_explode, atomic_units, join_display, prompt_terms, wide_width, wide_clean, wide_atoms, wide_join, script_map)}
 
 _CODE = lambda c: f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s+', '', 'g'), '[ \t]+', ' ', 'g'), '(^|[^-])-\s*$', '\1'), '^\s+|\s+$', '', 'g')"
@@ -179,10 +210,41 @@ SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'KEY_' || s_suppkey WHEN 2 THEN
     "vtt_render": _BLOCKS + " SELECT doc_id, 'WEBVTT' || chr(10) || chr(10) || array_to_string(list_transform(string_split(srt, chr(10)), lambda x: CASE WHEN contains(x, '-->') THEN replace(x, ',', '.') ELSE x END), chr(10)) AS vtt FROM srts",
     "words_json_explode": O.WORDS + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, word_pos) - 1 AS word_pos, word, start_ms + 100000 AS start_ms, greatest(start_ms + 20, end_ms) + 100000 AS end_ms FROM words",
     "atomic_units": O.CUES + r"SELECT doc_id, line_no, CAST(len(regexp_extract_all(text, '[$¥€£₩]?[A-Za-z0-9]+(?:[.,:/\-][A-Za-z0-9]+)*[%°℃+]?\s*|[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}][。，、？！；：」』）》]*|[^\s]')) AS BIGINT) AS atoms FROM cues",
-    "join_display": O.CUES + r""", t AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(text, '[.]$', ''), ' '), lambda x: x <> '') AS ws FROM cues WHERE text LIKE '%.'),
+    "join_display": O.CUES + r""", t AS (SELECT doc_id, line_no, text, list_filter(string_split(regexp_replace(text, '[.]$', ''), ' '), lambda x: x <> '') AS ws FROM cues),
 u AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM t)
-SELECT t.doc_id, t.line_no, coalesce(string_agg(CASE WHEN i > 1 AND NOT regexp_matches(w, '^[,.!?;:)\]}%]') THEN ' ' || w ELSE w END, '' ORDER BY i), '') || '.' AS joined
-FROM t LEFT JOIN u ON t.doc_id = u.doc_id AND t.line_no = u.line_no GROUP BY t.doc_id, t.line_no""",
-    "prompt_terms": None,
+SELECT t.doc_id, t.line_no, coalesce(string_agg(CASE WHEN i > 1 AND NOT regexp_matches(w, '^[,.!?;:)\]}%]') THEN ' ' || w ELSE w END, '' ORDER BY i), '') || CASE WHEN text LIKE '%.' THEN '.' ELSE '' END AS joined
+FROM t LEFT JOIN u ON t.doc_id = u.doc_id AND t.line_no = u.line_no GROUP BY t.doc_id, t.line_no, text""",
+    # The first of each term counts; terms are added until one does not fit.
+    "prompt_terms": O.CUES + r""", words AS (
+  SELECT doc_id, line_no, ws.w, ws.i FROM (SELECT doc_id, line_no, unnest(list_transform(list_filter(string_split(translate(text, '(*', '  '), ' '), lambda x: x <> ''), lambda x, k: {'w': x, 'i': k})) AS ws FROM cues)),
+terms AS (
+  SELECT doc_id, trim(regexp_extract(trim(w), '^([^（(]*)', 1)) AS term, min({'line': line_no, 'i': i}) AS place FROM words
+  WHERE NOT regexp_matches(trim(w), 'Person|Speaker|Names|Organizations|Products|Places|Brands|Domain Jargon|Tech Terms|Core Topic|全片專有名詞|Whisper|講者與人物|公司、品牌|行業專有名詞|核心主題|Glossary|Terminology') GROUP BY ALL),
+fitting AS (
+  SELECT *, sum(length(term) + 2) OVER (PARTITION BY doc_id ORDER BY place) - 2 + length('The following is a video transcription containing terms: ') AS upto FROM terms WHERE term <> '' AND length(term) <= 24),
+made AS (SELECT doc_id, string_agg(term, ', ' ORDER BY place) FILTER (WHERE upto <= 144) AS listed FROM fitting GROUP BY doc_id)
+SELECT d.doc_id, 'The following is a video transcription containing terms: ' || coalesce(listed, '') || '.' AS prompt FROM (SELECT DISTINCT doc_id FROM words) d JOIN made ON made.doc_id = d.doc_id""",
+}
+_WIDE = O.CUES + f", wide AS (SELECT doc_id, line_no, translate(text, '{LETTERS};!', '{HAN}，。') AS text FROM cues)"
+_SIGN = "[一-鿿㐀-䶿぀-ヿ가-힯豈-﫿]"
+ORACLES |= {
+    "wide_width": _WIDE + r""", sized AS (SELECT *, len(list_filter(string_split(text, ''), lambda c: unicode(c) > 127)) AS wide, length(replace(text, ' ', '')) AS dense FROM wide)
+SELECT doc_id, line_no, wide + (dense - wide) * 0.5::DOUBLE AS cjk, wide + (length(text) - wide) * 0.5::DOUBLE AS korean, CAST(length(text) AS DOUBLE) AS latin FROM sized""",
+    # Commas between digits are set aside, twice as matches may share a digit.
+    "wide_clean": _WIDE + r""", a AS (SELECT doc_id, line_no, regexp_replace(trim(text), '\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s+', '', 'g') AS t FROM wide),
+b AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(t, '(\d),(\d)', '\1' || chr(1) || '\2', 'g'), '(\d),(\d)', '\1' || chr(1) || '\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, line_no, replace(regexp_replace(t, '[,，]+', ' ', 'g'), chr(1), ',') AS t FROM b),
+d AS (SELECT doc_id, line_no, regexp_replace(t, '([一-鿿㐀-䶿぀-ヿ가-힯])([A-Za-z0-9]|[$¥€£₩]\d)', '\1 \2', 'g') AS t FROM c),
+e AS (SELECT doc_id, line_no, regexp_replace(t, '([A-Za-z0-9]|\d[%°℃+])([一-鿿㐀-䶿぀-ヿ가-힯])', '\1 \2', 'g') AS t FROM d)
+SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\s。，、；:;,.—-]+$', '')) AS cleaned FROM e""",
+    "wide_atoms": _WIDE + r""", found AS (SELECT doc_id, line_no, regexp_extract_all(text, '[$¥€£₩]?[A-Za-z0-9]+(?:[.,:/\-][A-Za-z0-9]+)*[%°℃+]?\s*|[一-鿿㐀-䶿぀-ヿ가-힯][。，、？！；：」』）》]*|[^\s]') AS xs FROM wide)
+SELECT doc_id, line_no, CAST(len(xs) AS BIGINT) AS atoms, array_to_string(xs[1:5], '|') AS first FROM found""",
+    "wide_join": _WIDE + f""", t AS (SELECT doc_id, line_no, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM wide),
+u AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM t),
+p AS (SELECT *, right(lag(w) OVER (PARTITION BY doc_id, line_no ORDER BY i), 1) AS z, left(w, 1) AS a FROM u),
+q AS (SELECT *, regexp_matches(z, '{_SIGN}') AS zw, regexp_matches(a, '{_SIGN}') AS aw FROM p)
+SELECT t.doc_id, t.line_no, coalesce(string_agg(CASE WHEN z IS NULL OR (zw AND aw) OR (zw AND regexp_matches(a, '[，。！？；：、）」』】》]')) OR (aw AND regexp_matches(z, '[，。！？；：、（）「」『』【】《》]'))
+  OR (NOT zw AND regexp_matches(a, '[,.!?;:)\\]}}%]')) THEN w ELSE ' ' || w END, '' ORDER BY i), '') AS joined
+FROM t LEFT JOIN q ON q.doc_id = t.doc_id AND q.line_no = t.line_no GROUP BY t.doc_id, t.line_no""",
+    "script_map": O.CUES + f"SELECT doc_id, line_no, translate(text, '{LETTERS};!', '國語時間軸對齊們發書長門馬魚鳥雲，。') AS text FROM cues",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

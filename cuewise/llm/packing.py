@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,45 +34,74 @@ from .staging import Staging
 
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 400_000
-#: White space that is more than one blank or line feed between two words; there the tokenizer decides on the whole stretch.
-_BROAD = re.compile(r"^\s|\s$|[^\S \n]|\s\s")
+#: Words whose ids a worker remembers, from one task to the next, before it starts afresh.
+MEMO_WORDS = 600_000
+#: White space besides blanks and line feeds.
+_OTHER = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank between two words: the tokenizer's own split starts a unit there.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-class WordMemo(dict):
+def is_broad(text: str) -> bool:
+    """Whether white space in a text is anywhere more than one blank or line feed between two words; there the tokenizer decides on the whole stretch."""
+    return text[:1] in " \n" or text[-1:] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER.search(text) is not None
+
+
+class WordMemo:
     """Ids of texts by ``tokenizer`` as little-endian unsigned 32-bit bytes, a word's ids being looked up once.
 
     The tokenizer splits a text before it merges anything: behind a word a lone blank starts
     a unit with what follows, and a lone line feed is one of its own.  So a text's ids are those of its
-    blank-led words in a row.  Keys are such words with their blank, or without for a first word.
+    first word and of its blank-led words in a row.  ``led`` has blank-led words, without their blank.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
+        self.led: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def encoded(self, words: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(found.ids, "<u4").tobytes()
+
+    def learn(self, led: set[str], bare: set[str]) -> None:
+        """Look up what is new of blank-led words and of words without a blank."""
+        led = led.difference(self.led)
+        lines = {w: w.split("\n") for w in led if "\n" in w and not is_broad(w)}
+        led.update(first for first, *_ in lines.values() if first not in self.led)
+        bare.update(line for _, *rest in lines.values() for line in rest)
+        bare.add("\n")
+        new = [w for w in bare if w not in self.bare]
+        self.bare.update(zip(new, self.encoded(new), strict=True))
+        new = [w for w in led if w not in lines]
+        self.led.update(zip(new, self.encoded([" " + w for w in new]), strict=True))
+        feed = self.bare["\n"]
+        for w, (first, *rest) in lines.items():
+            self.led[w] = self.led[first] + b"".join([feed + self.bare[line] for line in rest])
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.led) > MEMO_WORDS:
+            self.led.clear()
+            self.bare.clear()
+        split = [_BETWEEN.split(t) if is_broad(t) else t.split(" ") for t in texts]
+        first = [words.pop(0) for words in split]
+        self.learn(set(chain.from_iterable(split)), set(first))
+        return [self.bare[f] + b"".join(map(self.led.__getitem__, words)) for f, words in zip(first, split, strict=True)]
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def text(self, text: str) -> bytes:
+        return self.texts([text])[0]
 
-    def __missing__(self, word: str) -> bytes:
-        if "\n" in word and _BROAD.search(word[1:]) is None:
-            first, *rest = word.split("\n")
-            ids = b"".join([self[first], *(part for line in rest for part in (self["\n"], self[line]))]) if len(word) > 1 else self.encoded(word)
-        else:
-            ids = self.encoded(word)
-        self[word] = ids
-        return ids
 
-    def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        first, *words = _BETWEEN.split(text) if _BROAD.search(text) else text.split(" ")
-        return self[first] + b"".join([self[" " + w] for w in words])
+_MEMOS: dict[str, WordMemo] = {}
+
+
+def memo_of(tokenizer_file: str) -> WordMemo:
+    """The worker's memo of a tokenizer."""
+    if tokenizer_file not in _MEMOS:
+        from tokenizers import Tokenizer
+
+        _MEMOS[tokenizer_file] = WordMemo(Tokenizer.from_file(tokenizer_file))
+    return _MEMOS[tokenizer_file]
 
 
 def cut(n_ids: int, limit: int) -> list[tuple[int, int]]:
@@ -82,18 +112,28 @@ def cut(n_ids: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n_ids, limit)]
 
 
+def _encoded(memo: WordMemo, column: pa.Array, at_once: int = 4_000_000) -> Iterator[bytes]:
+    """Ids of a column's texts, some of them at a time."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= at_once:
+            yield from memo.texts(held)
+            held, size = [], 0
+    yield from memo.texts(held)
+
+
 def tokenized_pieces(docs: DataFrame, *, tokenizer_file: str, limit: int, end_id: int, place: Column | None = None) -> DataFrame:
     """One row a piece: document, piece number, start, length and checksum of its ids, and its document's ``place``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        memo = WordMemo(Tokenizer.from_file(tokenizer_file))
+        memo = memo_of(tokenizer_file)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for n, (row, doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                ids = memo.text(text.as_py() or "") + end
+            for n, (row, doc, ids) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _encoded(memo, batch.column(2)), strict=True)):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
                     for column, value in zip(out, (row, doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n), strict=True):
                         column.append(value)

@@ -34,13 +34,16 @@ _BLOCK = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|aside
 #: The rest of a tag.  It ends at the next angle bracket, so a page of tags that are never closed is read once.
 _REST = r"[^<>]*+>"
 #: What no reader sees: comments, and elements with all that is in them, to the end of the page if they are not closed.
-UNSEEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(HIDDEN)})\b{_REST}.*?(?:</\1\s*+>|\z)"
+UNSEEN = rf"(?is)<(?:!--.*?(?:-->|\z)|({'|'.join(HIDDEN)})\b{_REST}.*?(?:</\1\s*+>|\z))"
 BLOCK_TAG = rf"(?i)</?(?:{_BLOCK})\b{_REST}"
 ANY_TAG = rf"<[/!?A-Za-z]{_REST}"
+PLAIN_TITLE = rf"(?i)<title\b{_REST}([^<]*+)</title"
 LANGUAGE = r"""(?i)<html\b[^<>]*?\blang\s*+=\s*+["']?([A-Za-z0-9-]+)"""
-_LINK = r"""(?i)<a\b[^<>]*?\bhref\s*+=\s*+["']?([^"'\s<>]+)"""
 #: Links, and first what holds none, which leaves the group empty.
-SHOWN_LINK = rf"(?is:<!--.*?(?:-->|\z)|<script\b{_REST}.*?(?:</script\s*+>|\z)|<style\b{_REST}.*?(?:</style\s*+>|\z))|{_LINK}"
+SHOWN_LINK = (
+    rf"(?i)<(?:!--(?s:.*?)(?:-->|\z)|(?:script\b{_REST}(?s:.*?)(?:</script\s*+>|\z))|(?:style\b{_REST}(?s:.*?)(?:</style\s*+>|\z))"
+    r"""|a\b[^<>]*?\bhref\s*+=\s*+["']?([^"'\s<>]+))"""
+)
 
 
 def _slot(first: int, length: int) -> int:
@@ -63,26 +66,37 @@ def decoded(text: Column, *, attribute: bool = False) -> Column:
     """
     table = F.from_json(F.lit(_SLOTS), "array<map<string,string>>")
     pieces = F.split(text, "&")
+    after = lambda piece, length: F.substring(piece, length, F.length(piece))
 
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
-        hexed, digits = F.regexp_extract(name, "^#[xX](.+)", 1), F.regexp_extract(name, "^#([0-9]+)$", 1)
-        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("long")).when(digits != "", digits.cast("long"))
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    # What a step uses several times is a field of the row that the step before made.
+    def with_name(piece: Column) -> Column:
+        return F.struct(piece.alias("piece"), F.regexp_extract(piece, "^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1).alias("name"))
+
+    def with_char(x: Column) -> Column:
+        name = x["name"]
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
         named = F.element_at(F.element_at(table, ((F.ascii(name) + 31 * F.length(name)) % SLOTS + 1).cast("int")), name)
+        return F.struct(x["piece"].alias("piece"), F.length(name).alias("length"), F.when(name.startswith("#"), code).alias("code"), F.when((name != "") & ~name.startswith("#"), named).alias("char"))
+
+    def one(x: Column) -> Column:
+        piece, code = x["piece"], x["code"]
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         old = F.regexp_extract(piece, _OLD + ("(?![=A-Za-z0-9])" if attribute else ""), 1)
         bare = F.element_at(F.from_json(F.lit(_OLD_JSON), "map<string,string>"), old)
-        after = lambda found, more: F.substring(piece, F.length(found) + more, F.length(piece))
         return (
-            F.when(name.startswith("#"), F.coalesce(F.concat(char, after(name, 2)), F.concat(F.lit("&"), piece)))
-            .when((name != "") & named.isNotNull(), F.concat(named, after(name, 2)))
-            .when(old != "", F.concat(bare, after(old, 1)))
+            F.when(x["char"].isNotNull(), F.concat(x["char"], after(piece, x["length"] + 2)))
+            .when(valid, F.concat(numeric, after(piece, x["length"] + 2)))
+            .when(code.isNull() & (old != ""), F.concat(bare, after(piece, F.length(old) + 1)))
             .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
-    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+    def joined(ps: Column) -> Column:
+        rest = F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0)))
+        return F.concat(ps[0], F.array_join(F.transform(F.transform(F.transform(rest, with_name), with_char), one), ""))
+
+    # A list of one, so that the text is split once.
+    return F.when(F.contains(text, F.lit("&")), F.transform(F.array(pieces), joined)[0]).otherwise(text)
 
 
 _SLOTS = _slots()
@@ -92,11 +106,16 @@ _OLD = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len
 
 def plain(text: Column) -> Column:
     """References decoded, blanks collapsed, blank lines dropped."""
-    text = decoded(text)
-    # A single space stays and is not replaced by itself.
-    text = F.regexp_replace(text, r" [ \t\r\f\x{B}\x{A0}]+|[\t\r\f\x{B}\x{A0}][ \t\r\f\x{B}\x{A0}]*", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
+
+    def lines(whole: Column) -> Column:
+        """Lines without blanks at their ends; the collapsing pattern runs where there is something to collapse."""
+        broad = whole.contains("  ")
+        for sign in "\t\r\f\v\xa0":
+            broad = broad | whole.contains(sign)
+        single = F.when(broad, F.regexp_replace(whole, r" [ \t\r\f\x{B}\x{A0}]+|[\t\r\f\x{B}\x{A0}][ \t\r\f\x{B}\x{A0}]*", " ")).otherwise(whole)
+        return F.array_join(F.filter(F.transform(F.split(single, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+    return F.transform(F.array(decoded(text)), lines)[0]
 
 
 def without_tags(html: Column) -> Column:
@@ -104,11 +123,15 @@ def without_tags(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), BLOCK_TAG, "\n"), ANY_TAG, "")
 
 
-def coded_title(html: Column) -> Column:
-    """What the first title element holds; empty without one that is closed.  Each cut reads the page once."""
+def coded_title(html: Column, plain_title: Column) -> Column:
+    """What the first title element holds; empty without one that is closed.
+
+    ``plain_title``: the first that holds no tag, which settles nearly all pages.  In the others
+    each cut reads the page once.
+    """
     begun = F.split(html, r"(?i)<title\b", 2)
     inside = F.split(F.regexp_replace(F.get(begun, F.lit(1)), r"^[^>]*+>", ""), "(?i)</title", 2)
-    return F.when(F.size(inside) == 2, inside[0]).otherwise("")
+    return F.when(plain_title != "", plain_title).when(F.size(inside) == 2, inside[0]).otherwise("")
 
 
 def one_line(text: Column) -> Column:
@@ -152,7 +175,8 @@ def derivatives(found: DataFrame) -> DataFrame:
     http_headers, block and payload digest."""
     html = F.col("payload")
     # Columns of their own first: what ``plain`` uses several times is then evaluated once a row.
-    coded = found.withColumns({"coded": without_tags(html), "coded_title": coded_title(html)})
+    coded = found.withColumns({"coded": without_tags(html), "plain_title": F.regexp_extract(html, PLAIN_TITLE, 1)})
+    coded = coded.withColumn("coded_title", coded_title(html, F.col("plain_title")))
     text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), lambda x: header_uri(decoded(x, attribute=True)))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(

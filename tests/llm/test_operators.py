@@ -223,7 +223,7 @@ def vectors(spark):
 def test_exact_top_k(spark):
     table, good = vectors(spark)
     good = good | {401: np.zeros(8)}
-    got = topk.top_k(table, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=3).collect()
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=3, run_rows=130, slice_rows=4).collect()
     ints = {i: np.floor(v * 256).astype(int) for i, v in good.items()}
     want = []
     for q in (i for i in good if i % 50 == 0):
@@ -232,6 +232,24 @@ def test_exact_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_bounds_hold_at_every_depth_and_cross_blocks():
+    rng = np.random.default_rng(6)
+    vectors, queries = np.floor(rng.normal(size=(500, 12)) * 256).astype(int), np.floor(rng.normal(size=(40, 12)) * 256).astype(int)
+    vectors[100:140], queries[3] = vectors[0], 0
+    lists = topk.SortedLists(np.arange(500), vectors)
+    exact = (lists.vectors @ queries.T).astype(float)
+    reader = topk._Reader(lists, queries.astype(float))
+    for depth in (1, 50, 200, 300, 500):
+        reader.read(depth)
+        assert (reader.lower <= exact + 1e-6).all() and (reader.upper() >= exact - 1e-6).all()
+    assert np.array_equal(reader.lower, exact)
+    ids = np.arange(1000, 1040)
+    got = topk.best_of_run(np.arange(500), vectors, ids, queries, 5, 128, 7)
+    for c, (_, found, scores) in enumerate(got):
+        best = np.lexsort((np.arange(500), -exact[:, c]))[:5]
+        assert found.tolist() == best.tolist() and scores.tolist() == exact[best, c].astype(int).tolist()
+
+
 def test_neighbours_recall_and_ties(spark):
     table, good = vectors(spark)
     got: dict = {}

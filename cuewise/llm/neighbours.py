@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Method: centroids are fitted on a bounded sample with a penalty on large clusters.
+Method: centroids are fitted on a bounded sample, level by level, with a penalty on large clusters.
 A vector goes into the list of its nearest centroid and, at a boundary, into those of
 other centroids nearly as near, unless a list already chosen lies between.
 For queries the centroids are searched through a neighbour graph held in memory, and a
@@ -9,11 +9,12 @@ query reads at least follows from the table: some queries (``tried``) are compar
 all vectors, and as many lists are read as find ``aim`` of those neighbours.  Inner products
 become distances by one more component that brings all vectors to one length.
 
-Scale: the sample (``sample_rows``) and the number of centroids (``max_lists``)
-are bounded, so the graph that tasks hold is too.  Lists are cut into chunks of
-bounded length by a hash, so a list into which a third of all vectors fall is read by many
-tasks.  Each chunk returns one row of its best few for each query that reads it;
-a query's rows are bounded by the lists it reads.
+Scale: lists follow the number of vectors up to ``max_lists``, which bounds the graph that tasks hold, as
+``sample_rows`` bounds what it is fitted on.  Lists that the fit put side by side form a
+group, and a query goes once to each group with lists that it reads.  A group's vectors and the
+queries that read it are both cut into chunks of bounded length by a hash, so neither a list into which a third of
+all vectors fall nor one that all queries read is one task's work.  A group's chunk returns one row
+of its best few for each query; a query's rows are bounded by the lists it reads.
 
 Edge cases: vectors that are null, zero, empty or hold a null or non-finite
 component take no part, nor do lengths other than the common one; rows of equal id count
@@ -95,6 +96,16 @@ def balanced_centroids(points: np.ndarray, k: int, *, rounds: int = 12, seed: in
     return centroids
 
 
+def centroid_tree(points: np.ndarray, k: int, *, wide: int = 64) -> np.ndarray:
+    """Some ``k`` centroids, those near each other side by side: beyond ``wide`` of them clusters of clusters."""
+    if k <= wide:
+        return balanced_centroids(points, max(1, k))
+    top = balanced_centroids(points, min(wide, round(k**0.5)))
+    owner = np.concatenate([np.argmin((top**2).sum(axis=1) - 2 * points[a : a + 2048] @ top.T, axis=1) for a in range(0, len(points), 2048)])
+    own = [points[owner == c] for c in range(len(top))]
+    return np.concatenate([centroid_tree(part, max(1, round(k * len(part) / len(points))), wide=wide) for part in own if len(part)])
+
+
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with the component that brings them all to the longest one's length."""
     rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
@@ -103,19 +114,23 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 def closures(centroids: np.ndarray, points: np.ndarray, copies: int, ratio: float) -> list[list[int]]:
     """The lists of each vector: the nearest, and others within ``ratio`` of its distance that no chosen one lies before."""
-    between = (centroids**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * centroids @ centroids.T
+    norms, some = (centroids**2).sum(axis=1), min(4 * copies, len(centroids))
     out: list[list[int]] = []
-    for at in range(0, len(points), 2048):
-        some = points[at : at + 2048]
-        d = np.maximum((some**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * some @ centroids.T, 0)
-        near = np.argsort(d, axis=1, kind="stable")[:, : 4 * copies]
-        d = np.take_along_axis(d, near, axis=1)
-        for cs, ds, count in zip(near.tolist(), d.tolist(), (d <= ratio**2 * d[:, :1] + 1e-12).sum(axis=1).tolist(), strict=True):
-            chosen = cs[:1]
-            for c, far in zip(cs[1:count], ds[1:count], strict=True):
-                if len(chosen) < copies and all(between[c, o] > 0.25 * far for o in chosen):
-                    chosen.append(c)
-            out.append(chosen)
+    for at in range(0, len(points), 1024):
+        part = points[at : at + 1024]
+        d = np.maximum((part**2).sum(axis=1)[:, None] + norms - 2 * part @ centroids.T, 0)
+        near = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(centroids) else np.tile(np.arange(some), (len(part), 1))
+        far = np.take_along_axis(d, near, axis=1)
+        order = np.argsort(far, axis=1, kind="stable")
+        near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
+        own = centroids[near]
+        between = norms[near][:, :, None] + norms[near][:, None, :] - 2 * own @ own.transpose(0, 2, 1)
+        chosen = np.zeros(near.shape, bool)
+        chosen[:, 0] = True
+        for c in range(1, some):
+            clear = (~chosen | (between[:, c] > 0.25 * far[:, c : c + 1])).all(axis=1)
+            chosen[:, c] = clear & (far[:, c] <= ratio**2 * far[:, 0] + 1e-12) & (chosen.sum(axis=1) < copies)
+        out += [n[c].tolist() for n, c in zip(near, chosen, strict=True)]
     return out
 
 
@@ -160,17 +175,19 @@ def search(
     is_query: Column,
     *,
     k: int = 20,
-    sample_rows: int = 20_000,
-    list_rows: int = 250,
-    max_lists: int = 4096,
+    sample_rows: int = 100_000,
+    list_rows: int = 128,
+    max_lists: int = 32_768,
     copies: int = 4,
     boundary_ratio: float = 1.15,
-    probes: int = 64,
-    least_probes: int = 16,
+    probes: int = 32,
+    least_probes: int = 4,
     prune_ratio: float = 1.6,
-    chunk_rows: int = 1000,
+    group_lists: int = 16,
+    chunk_rows: int = 8192,
+    ask_rows: int = 4096,
     tried: int = 100,
-    aim: float = 0.99,
+    aim: float = 0.96,
 ) -> DataFrame:
     """Each query's ``k`` nearest other rows found: query_id, rank, vec_id, score (the inner product).
 
@@ -188,8 +205,8 @@ def search(
     if len(sample) == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points = lifted(np.stack(list(sample)), longest)
-    lists = int(min(max_lists, max(1, n // list_rows), len(points)))
-    graph = Graph.build(balanced_centroids(points, lists))
+    lists = int(min(max_lists, max(1, n // list_rows), max(1, len(points) // 4)))
+    graph = Graph.build(centroid_tree(points, lists))
 
     def placed(vectors: np.ndarray) -> np.ndarray:
         # Of a query only the direction matters; at the lifted radius its own distances compare best.
@@ -215,39 +232,53 @@ def search(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for point in placed(matrix(batch.column(1))):
+            at, groups, wanted = [], [], []
+            for i, point in enumerate(placed(matrix(batch.column(1)))):
                 near, d = graph.nearest(point, probes)
-                found.append(near[(d <= prune_ratio**2 * d[0] + 1e-12) | (np.arange(len(d)) < least_probes)].tolist())
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "query_id", "query"])
-
-    posted = staging.write(rows.mapInArrow(post, "list int, vec_id long, vec array<double>"), "lists")
-    chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    queries = rows.where(is_query).mapInArrow(probe, "list int, query_id long, query array<double>")
-    asked = queries.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    dealt = posted.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
+                read = np.sort(near[(d <= prune_ratio**2 * d[0] + 1e-12) | (np.arange(len(d)) < least_probes)])
+                for part in np.split(read, np.flatnonzero(np.diff(read // group_lists)) + 1):
+                    at.append(i)
+                    groups.append(int(part[0]) // group_lists)
+                    wanted.append(part.tolist())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(wanted, pa.list_(pa.int32()))], names=["group", "query_id", "query", "lists"])
+
+    posted = staging.write(rows.mapInArrow(post, "list int, vec_id long, vec array<double>").withColumn("group", F.floor(F.col("list") / group_lists).cast("int")), "lists")
+    queries = staging.write(rows.where(is_query).mapInArrow(probe, "group int, query_id long, query array<double>, lists array<int>"), "asking")
+    cut = lambda found, most, name: found.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = cut(posted, chunk_rows, "chunks").join(cut(queries, ask_rows, "asks"), "group")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    number = lambda name, count: F.pmod(F.xxhash64(name), F.col(count)).cast("int")
+    dealt = posted.join(sizes, "group").select("group", number("vec_id", "chunks").alias("chunk"), every("asks").alias("ask"), "list", "vec_id", "vec")
+    asked = queries.join(sizes, "group").select("group", every("chunks").alias("chunk"), number("query_id", "asks").alias("ask"), "query_id", "query", "lists")
 
     def compare(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         names, out = ["query_id", "far", "ids"], []
         if vectors.num_rows and queries.num_rows:
-            ids, all_rows = vectors.column("vec_id").to_numpy(), matrix(vectors.column("vec").combine_chunks())
-            order = np.argsort(ids)
-            ids, all_rows = ids[order], all_rows[order]
-            points = matrix(queries.column("query").combine_chunks())
-            rough = points @ all_rows.T
-            least = np.partition(rough, max(0, len(ids) - k - 1), axis=1)[:, max(0, len(ids) - k - 1)] - 1e-9 * np.abs(rough).max(axis=1)
-            for q, point, row, low in zip(queries.column("query_id").to_pylist(), points, rough, least, strict=True):
-                # Summed a row at a time, so that a vector scores the same in each of its lists.
-                likely = np.flatnonzero((row >= low) & (ids != q))
-                far = -(all_rows[likely] * point).sum(axis=1)
-                top = np.argsort(far, kind="stable")[:k]
-                out.append((q, far[top], ids[likely[top]]))
+            ids, first, at = np.unique(vectors.column("vec_id").to_numpy(), return_index=True, return_inverse=True)
+            all_rows, points = matrix(vectors.column("vec").combine_chunks())[first], matrix(queries.column("query").combine_chunks())
+            held, wanted = np.zeros((group_lists, len(ids))), np.zeros((len(points), group_lists))
+            held[vectors.column("list").to_numpy() % group_lists, at] = 1
+            lists = queries.column("lists").combine_chunks()
+            wanted[np.repeat(np.arange(len(points)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy() % group_lists] = 1
+            low = max(0, len(ids) - k - 1)
+            for a in range(0, len(points), 256):
+                rough = points[a : a + 256] @ all_rows.T
+                edge = 1e-9 * np.abs(rough).max(axis=1)
+                rough[wanted[a : a + 256] @ held == 0] = -np.inf
+                least = np.partition(rough, low, axis=1)[:, low] - edge
+                for q, point, row, bound in zip(queries.column("query_id").to_numpy()[a : a + 256].tolist(), points[a : a + 256], rough, least, strict=True):
+                    # Summed a row at a time, so that a vector scores the same in each of its groups.
+                    likely = np.flatnonzero((row >= bound) & (row > -np.inf) & (ids != q))
+                    far = -(all_rows[likely] * point).sum(axis=1)
+                    top = np.argsort(far, kind="stable")[:k]
+                    out.append((q, far[top], ids[likely[top]]))
         columns = zip(*out, strict=True) if out else [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())), strict=True)], names=names)
 
-    found = dealt.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk")).applyInArrow(compare, "query_id long, far array<double>, ids array<long>")
-    # A query has at most ``probes`` lists' chunks of k each; a vector found in several of its lists counts once.
+    keys = ("group", "chunk", "ask")
+    found = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "query_id long, far array<double>, ids array<long>")
+    # A query has at most ``probes`` groups' chunks of k each; a vector found in several of them counts once.
     # It is in at most ``copies`` lists, so the first k different ones are among the first copies * k.
     every = F.flatten(F.collect_list(F.arrays_zip("far", "ids")))
     first = F.slice(F.array_sort(every), 1, copies * k)

@@ -253,7 +253,7 @@ def test_bounds_hold_at_every_depth_and_cross_blocks():
 def test_neighbours_recall_and_ties(spark):
     table, good = vectors(spark)
     got: dict = {}
-    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, list_rows=20, probes=10, least_probes=6, chunk_rows=15).collect():
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, list_rows=20, probes=10, least_probes=6, group_lists=3, chunk_rows=15, ask_rows=4).collect():
         got.setdefault(r.query_id, []).append(r)
     hits = total = 0
     for q in (i for i in good if i % 20 == 0):

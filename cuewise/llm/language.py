@@ -115,7 +115,8 @@ def training_sample(docs: DataFrame, eligible: Column, *, train_rows: int, train
     most = quota({x: r["n"] for x, r in counts.items()}, train_rows)
     # A few more than the quota are drawn, so that hardly a language falls short of it; the first by hash at least.
     shares = [(x, max(r["first"] + 1, int(space * min(1.0, (most + 5 * most**0.5) / r["n"])))) for x, r in counts.items()]
-    drawn = rows.join(docs.sparkSession.createDataFrame(shares, "of string, share long"), F.col("lang") == F.col("of"))
+    # One row a language, as in the model: what the driver holds can be sent to all tasks.
+    drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "of string, share long")), F.col("lang") == F.col("of"))
     drawn = drawn.where(F.pmod(hashed, F.lit(space)) < F.col("share"))
     begin = F.pmod(hashed, F.greatest(F.length("text") - train_chars + 1, F.lit(1))) + 1
     drawn = drawn.select(F.substring("text", begin.cast("int"), F.lit(train_chars)).alias("text"), "lang", hashed.alias("hash"))

@@ -20,9 +20,12 @@ an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -47,6 +50,30 @@ def is_broad(text: str) -> bool:
     return text[:1] in " \n" or text[-1:] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER.search(text) is not None
 
 
+#: Marks that may close a word; an apostrophe may begin a unit with letters and is none of them.
+CLOSING = ".,;:!?)"
+
+
+def is_plain(word: str) -> bool:
+    """Whether a word is of letters alone, of scripts about which all versions of Unicode agree."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0530")
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordMemo:
     """Ids of texts by ``tokenizer`` as little-endian unsigned 32-bit bytes, a word's ids being looked up once.
 
@@ -59,10 +86,15 @@ class WordMemo:
         self.tokenizer = tokenizer
         self.led: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    def merged(self, word: str) -> bytes:
+        """Ids of a word of letters led by a blank, which the tokenizer does not split: its merges alone decide."""
+        return packed([t.id for t in self.tokenizer.model.tokenize((b" " + word.encode()).decode("latin-1").translate(self.letters))])
 
     def encoded(self, words: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
+            yield packed(found.ids)
 
     def learn(self, led: set[str], bare: set[str]) -> None:
         """Look up what is new of blank-led words and of words without a blank."""
@@ -71,10 +103,23 @@ class WordMemo:
         led.update(first for first, *_ in lines.values() if first not in self.led)
         bare.update(line for _, *rest in lines.values() for line in rest)
         bare.add("\n")
+        whole, closed = [], []
+        for word in led.difference(lines):
+            stem = word.rstrip(CLOSING)
+            if not is_plain(stem):
+                whole.append(word)
+                continue
+            if stem not in self.led:
+                self.led[stem] = self.merged(stem)
+            if stem != word:
+                closed.append((word, stem))
+        bare.update({w[len(stem) :] for w, stem in closed})
         new = [w for w in bare if w not in self.bare]
         self.bare.update(zip(new, self.encoded(new), strict=True))
-        new = [w for w in led if w not in lines]
-        self.led.update(zip(new, self.encoded([" " + w for w in new]), strict=True))
+        self.led.update(zip(whole, self.encoded([" " + w for w in whole]), strict=True))
+        # Punctuation behind letters is a unit of its own.
+        for word, stem in closed:
+            self.led[word] = self.led[stem] + self.bare[word[len(stem) :]]
         feed = self.bare["\n"]
         for w, (first, *rest) in lines.items():
             self.led[w] = self.led[first] + b"".join([feed + self.bare[line] for line in rest])
@@ -98,6 +143,8 @@ _MEMOS: dict[str, WordMemo] = {}
 def memo_of(tokenizer_file: str) -> WordMemo:
     """The worker's memo of a tokenizer."""
     if tokenizer_file not in _MEMOS:
+        # Spark has a worker for each core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         _MEMOS[tokenizer_file] = WordMemo(Tokenizer.from_file(tokenizer_file))

@@ -75,7 +75,10 @@ class Staging:
         name = f"staged_{uuid.uuid4().hex}"
         with settings(self.spark, FREE_SHUFFLES):
             df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{table}").bucketBy(buckets, key).saveAsTable(name)
-        return self.spark.table(name)
+        written = self.spark.table(name)
+        # The files stay where they are; only the name goes, and what reads it has found the files by now.
+        self.spark.sql(f"DROP TABLE {name}")
+        return written
 
     def drop(self, *tables: str) -> None:
         """Delete tables that no later step reads."""

@@ -8,8 +8,9 @@ equal strings of 50 bytes therefore hold equal samples at the same place, and a
 suffix that reaches no sample whose class spans documents cannot be repeated:
 ties that long are decided by the cover's classes alone, and only the remaining
 suffixes are sorted, again a bucket at a time, by their 50 bytes.  The contract
-needs classes of equal strings and not their order, so buckets are ranges of a 64-bit hash
-rather than of the bytes; the string with the smallest document wins its class.
+needs classes of equal strings and not their order, so buckets are ranges of a hash
+rather than of the bytes: bytes of every suffix, or even of the cover's alone, are many times the input.
+Strings are equal if their bucket and 88 more bits of two hashes are; the one with the smallest document wins its class.
 
 Scale: texts that copy a smaller document as a whole go first, by digest.  The rest is
 read into a table of blocks (a few MB each), bucketed so that joining it with
@@ -42,8 +43,16 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text in a block, and bytes of input that one bucket stands for.
 BLOCK, BUCKET = 4_000_000, 3_200_000
 _U64 = np.uint64
-_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=_U64)
-_STEP = [_U64(int(x) | 1) for x in np.random.default_rng(8).integers(0, 2**64, 8, dtype=_U64)]
+
+
+def _tables(seed: int) -> tuple[np.ndarray, list]:
+    """Random values of bytes, and odd factors."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2**64, 256, dtype=_U64), [_U64(int(x) | 1) for x in rng.integers(0, 2**64, 8, dtype=_U64)]
+
+
+#: Two independent hashes.
+_HASHES = (_tables(7), _tables(8))
 _SPAN = 1 << 16
 _BLOCKS = "block long, ids binary, lens binary, data binary"
 
@@ -83,18 +92,19 @@ class Block:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
-    def hashes(self, width: int, at: np.ndarray) -> np.ndarray:
+    def hashes(self, width: int, at: np.ndarray, which: int = 0) -> np.ndarray:
         """64-bit hashes of the ``width`` bytes from each position ``at``, in rising order."""
+        of_byte, factors = _HASHES[which]
         out, cuts = np.empty(len(at), _U64), np.arange(0, len(self.data) + _SPAN, _SPAN)
         ends = np.searchsorted(at, cuts)
         for low, a, b in zip(cuts.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
             if a < b:  # a span at a time, so that the arrays stay in the processor's cache
-                h, have = _BYTE[self.data[low : low + _SPAN + width]], 1
+                h, have = of_byte[self.data[low : low + _SPAN + width]], 1
                 while have * 2 <= width:
-                    h = h[:-have] * _STEP[have.bit_length()] + h[have:]
+                    h = h[:-have] * factors[have.bit_length()] + h[have:]
                     have *= 2
                 own = at[a:b] - low
-                out[a:b] = mixed(h[own] * _STEP[0] + h[own + (width - have)])
+                out[a:b] = mixed(h[own] * factors[0] + h[own + (width - have)])
         return out
 
     def samples(self) -> np.ndarray:
@@ -124,16 +134,29 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Classes:
-    """Equal hashes of a block brought together, in hash order; ``of``: each place's class."""
+    """Equal hashes of a block brought together, in hash order; ``of``: each place's class.
 
-    def __init__(self, hashes: np.ndarray):
+    With a ``second`` hash strings are equal where both are.
+    """
+
+    def __init__(self, hashes: np.ndarray, second: np.ndarray | None = None):
         order = np.argsort(hashes)
-        ranked = hashes[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        new = self._new(hashes[order])
+        if second is not None:
+            both = new | self._new(second[order])
+            if (both != new).any():  # strings that differ share a first hash
+                order = np.lexsort((second, hashes))
+                both = self._new(hashes[order]) | self._new(second[order])
+            new = both
+            self.second = second[order][new]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.begin = np.flatnonzero(new)
-        self.order, self.hashes = order, ranked[new]
+        self.order, self.hashes = order, hashes[order][new]
+
+    @staticmethod
+    def _new(ranked: np.ndarray) -> np.ndarray:
+        return np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
 
     def lowest(self, values: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(values[self.order], self.begin) if len(self.begin) else values[:0]
@@ -230,21 +253,22 @@ def _strings(block: Block, sample_bits: dict[int, bytes], n: int) -> tuple[np.nd
     """Starts of the strings that may be repeated, and their classes."""
     at = block.samples()
     if not len(at) or not sample_bits:
-        return np.zeros(0, np.int64), Classes(np.zeros(0, _U64))
+        return np.zeros(0, np.int64), Classes(np.zeros(0, _U64), np.zeros(0, _U64))
     classes = Classes(block.hashes(block.length - PERIOD + 1, at))
     starts = block.candidates(at[_unpacked(classes, sample_bits, n)[classes.of]])
-    return starts, Classes(block.hashes(block.length, starts)) if len(starts) else Classes(np.zeros(0, _U64))
+    return starts, Classes(block.hashes(block.length, starts), block.hashes(block.length, starts, 1))
 
 
 def string_keys(table: DataFrame, n: int, length: int) -> DataFrame:
-    """The classes of each block's remaining strings, by bucket: 56 bits of hash and the block's smallest document."""
+    """The classes of each block's remaining strings, by bucket: 56 and 32 bits of their hashes and the block's smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, (bits,) in _each_block(batches, length):
             starts, classes = _strings(block, bits, n)
             owner = classes.lowest(block.ids[block.doc_of(starts)])
             order, cuts = _by_owner(classes, owner, n), _cuts(classes.hashes, n)
-            owner, keys = owner[order], classes.hashes[order].view(np.uint8).reshape(-1, 8)[:, :7]
+            owner = owner[order]
+            keys = np.concatenate([classes.hashes[order].view(np.uint8).reshape(-1, 8)[:, :7], classes.second[order].view(np.uint8).reshape(-1, 8)[:, :4]], axis=1)
             new = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
             rows = []
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -271,11 +295,12 @@ def later_strings(keys: DataFrame, n: int) -> DataFrame:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if not rows:
             return
-        sizes = [len(r[2]) // 7 for r in rows]
-        wide = np.zeros((sum(sizes), 8), np.uint8)
-        wide[:, :7] = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 7)
+        sizes = [len(r[2]) // 11 for r in rows]
+        packed = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 11)
+        first, second = np.zeros((2, sum(sizes), 8), np.uint8)
+        first[:, :7], second[:, :4] = packed[:, :7], packed[:, 7:]
         owner = np.concatenate([_owners(r[3]) for r in rows])
-        classes = Classes(wide.view(_U64).ravel())
+        classes = Classes(first.view(_U64).ravel(), second.view(_U64).ravel())
         later = owner > classes.lowest(owner)[classes.of]
         out, at = [], 0
         for (bucket, block, _, _), size in zip(rows, sizes, strict=True):

@@ -109,6 +109,32 @@ def test_lines(docs, spark):
     assert thinner[9] == prose(3, 40) and thinner[3] is None and thinner[12] == ""
 
 
+def test_columns_whose_names_clash(spark):
+    text = "the same long line in each and every document of this table"
+    docs = spark.createDataFrame([(k, text, k, "x", "y", 1) for k in range(9)], "doc_id long, text string, keep int, `__keep` string, text_hash string, n_dropped int")
+    thinner = lines.without_shared_lines(docs)
+    assert thinner.columns == docs.columns and sorted(r.text for r in thinner.collect()) == [""] * 8 + [text]
+    assert {(r.keep, r["__keep"], r.text_hash, r.n_dropped) for r in thinner.collect()} == {(k, "x", "y", 1) for k in range(9)}
+
+
+def test_strings_whose_first_hashes_are_equal_are_told_apart():
+    first, second = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 2, 9, 1, 2], np.uint64)
+    classes = suffix_dedup.Classes(first, second)
+    assert classes.of[0] == classes.of[3] != classes.of[2] and classes.of[1] == classes.of[4] and len(classes.hashes) == 3
+    assert classes.lowest(np.array([4, 7, 0, 2, 6])).tolist() == [6, 2, 0]
+
+
+def test_no_table_is_left_behind(spark, docs):
+    suffix_dedup.remove_repeats(docs).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+
+
+def test_rows_without_an_id_do_not_share_a_range(spark):
+    rows = spark.createDataFrame([(None, prose(k, 20), "a") for k in range(300)] + [(7, prose(900 + k, 20), "a") for k in range(300)], "doc_id long, text string, source string")
+    assert mixing.sized(rows).select("range").distinct().count() > 300
+    assert sum(r.taken for r in mixing.mix(rows).collect()) == 18_000
+
+
 def test_a_line_that_spans_ranges(spark):
     text = "the same long line in each and every document of this table"
     crowd = spark.createDataFrame([(k, text) for k in range(500)], "doc_id long, text string").repartition(6)

@@ -33,6 +33,8 @@ from .staging import Staging, parts
 
 BLANK = " \t\n\v\f\r"
 _DROP, _EDGE, _COUNT = 0, 1, 2
+#: Partitions up to which the table of their first and last hashes, two rows of 40 bytes each, is broadcast.
+BROADCAST_PARTS = 100_000
 _STREAMED = "kind int, hi long, lo long, doc_id long, text_hash long, pos int, n_docs long, first boolean"
 
 
@@ -115,9 +117,10 @@ def dropped_lines(lines: DataFrame, *, min_docs: int, staging: Staging) -> DataF
 
     ranged = lines.repartitionByRange(parts(lines.sparkSession), "hi", "lo", F.desc("doc_id"))
     streamed = staging.write(ranged.sortWithinPartitions("hi", "lo", F.desc("doc_id"), "pos").mapInArrow(run, _STREAMED), "streamed")
-    # One or two rows a partition: bounded by the number of partitions.
+    # At most two rows a partition.
+    bounded = parts(lines.sparkSession) <= BROADCAST_PARTS
     shared = streamed.where(F.col("kind") == _COUNT).groupBy("hi", "lo").agg(F.sum("n_docs").alias("docs"), F.max("doc_id").alias("top")).where(F.col("docs") >= min_docs)
-    edges = streamed.where(F.col("kind") == _EDGE).join(F.broadcast(shared), ["hi", "lo"]).where(F.col("doc_id") != F.col("top"))
+    edges = streamed.where(F.col("kind") == _EDGE).join(F.broadcast(shared) if bounded else shared, ["hi", "lo"]).where(F.col("doc_id") != F.col("top"))
     columns = ("doc_id", "text_hash", "pos")
     return streamed.where(F.col("kind") == _DROP).select(*columns).unionByName(edges.select(*columns))
 
@@ -159,11 +162,11 @@ def apply_keep(text: str, keep: bytes | None) -> str:
 
 
 def with_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with ``keep`` (null: all lines stay) and ``n_dropped``."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    found = bitmaps.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    joined = hashed.join(found, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    return joined.select(*[docs[c] for c in docs.columns], "__keep", F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("__n_dropped"))
+    """The columns of ``docs`` as c0, c1, ..., then ``keep`` (null: all lines stay) and ``n_dropped``."""
+    text, doc = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    hashed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumn("own_hash", F.xxhash64(text))
+    joined = hashed.join(bitmaps, (F.col(doc).cast("long") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    return joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long")).drop("own_hash", "doc_id", "text_hash")
 
 
 def line_report(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
@@ -179,7 +182,7 @@ def line_report(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), batch.column(3), pa.array(digests)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     joined = with_keep(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs=min_docs, min_chars=min_chars))
-    return joined.select(F.col("doc_id").cast("long"), "text", "__keep", "__n_dropped").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.select(F.col("c0").cast("long"), "c1", "keep", "n_dropped").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_shared_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
@@ -190,5 +193,6 @@ def without_shared_lines(docs: DataFrame, *, min_docs: int = 5, min_chars: int =
         return text.combine(keep, lambda t, k: None if t is None else apply_keep(t, k))
 
     joined = with_keep(docs, keep_bitmaps(docs, min_docs=min_docs, min_chars=min_chars))
-    columns = [F.when(F.col("__keep").isNull(), F.col("text")).otherwise(kept("text", "__keep")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    text = f"c{docs.columns.index('text')}"
+    thinner = joined.withColumn(text, F.when(F.col("keep").isNull(), F.col(text)).otherwise(kept(text, "keep")))
+    return thinner.drop("keep", "n_dropped").toDF(*docs.columns)

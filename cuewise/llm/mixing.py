@@ -65,8 +65,8 @@ def by_turn(values: Sequence[Column], turn: Column) -> Column:
 
 
 def sized(docs: DataFrame, *keys: str) -> DataFrame:
-    """Id, source, size in words and the hash that fixes the order within a source; with ``keys``, rows without an id are ordered by their text."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), *[F.md5("text") for _ in keys[:1]], F.lit("")))
+    """Id, source, size in words and the hash of id and text that fixes the order within a source, so that rows that share an id, or have none, do not share a range."""
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.md5(F.coalesce("text", F.lit("")))))
     return docs.select(
         *keys, F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order")
     ).withColumn("range", F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("int") / F.lit(65536 // RANGES)).cast("int"))

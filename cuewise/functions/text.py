@@ -64,10 +64,8 @@ def recogniser_codes(language: Column, prompt: Column) -> Column:
 def detected_locale(code: Column) -> Column:
     """Caption locale of a recogniser's detected language."""
     c = F.lower(code)
-    return (
-        F.when(c.startswith("cmn-hant") | c.startswith("zh-tw"), "zh-TW").when(c.startswith("cmn-hans") | c.startswith("zh-cn"), "zh-CN")
-        .when(c.startswith("ja"), "ja").when(c.startswith("ko"), "ko").when(c.startswith("en"), "en")
-    )
+    starts = lambda *heads: c.rlike("^(" + "|".join(heads) + ")")
+    return F.when(starts("cmn-hans", "zh-cn"), "zh-CN").when(starts("cmn", "zh", "yue"), "zh-TW").when(starts("ja"), "ja").when(starts("ko"), "ko").when(starts("en"), "en")
 
 
 def display_width(text: Column, loc: Column) -> Column:

@@ -29,7 +29,7 @@ from .staging import Staging, parts
 from .vectors import matrix, of_one_length, usable
 
 #: Shares of the lists after which bounds are compared.
-DEPTHS = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 1)
+DEPTHS = (1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1)
 
 
 class SortedLists:
@@ -64,7 +64,7 @@ class SortedLists:
             kth = np.partition(lower, n - k, axis=0)[n - k] if n >= k else np.full(len(active), -np.inf)
             lower[at, here] = lower_own
             qualify = (upper >= np.maximum(kth, reached[active])) & (upper > -np.inf)
-            done = (qualify.sum(axis=0) <= max(4 * k, n // 50)) | (depth == n)
+            done = (qualify.sum(axis=0) <= max(4 * k, n // 16)) | (depth == n)
             for c in np.flatnonzero(done):
                 found, i = np.flatnonzero(qualify[:, c]), active[c]
                 scores = (self.vectors[found] @ q[i]).astype(np.int64)

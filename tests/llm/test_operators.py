@@ -292,6 +292,19 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / total >= 0.9
 
 
+def test_vector_operators_ignore_clashing_columns_and_repeated_rows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k % 90, [float(x) for x in v], k, "x", 0.5, k) for k, v in enumerate(rng.normal(size=(90, 4)).round(2).repeat(2, axis=0)[:90])]
+    table = spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>, list int, vec string, score double, rank int").repartition(4)
+    points = {r[0]: np.array(r[1]) for r in rows}
+    near = neighbours.search(table, F.col("vec_id") % 20 == 0, k=3).collect()
+    exact = topk.top_k(table, F.col("vec_id") % 20 == 0, k=3).collect()
+    for got, score in ((near, lambda a, b: float(a @ b)), (exact, lambda a, b: int(np.floor(a * 256) @ np.floor(b * 256)))):
+        for q in range(0, 90, 20):
+            best = sorted((-score(points[q], v), i) for i, v in points.items() if i != q)[:3]
+            assert [(i, pytest.approx(-s)) for s, i in best] == [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+
+
 def test_languages_are_told_apart_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

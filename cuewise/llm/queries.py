@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, lines, mixing, neighbours, ngram_join, packing, quality, suffix_dedup, topk, warc
+from . import codes, fim, language, lines, mixing, neighbours, ngram_join, packing, quality, simhash, suffix_dedup, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,6 +188,80 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _sql_assigned(books: str) -> str:
+    """Parts with the nearest entry of ``books``: ties to the lower entry."""
+    return f"""
+  SELECT id, part, min_by(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.id, p.part, b.entry, list_sum(list_transform(range(1, len(p.vec) + 1), lambda k: (p.vec[k] - b.vec[k]) * (p.vec[k] - b.vec[k])))::HUGEINT AS d
+    FROM points p JOIN {books} b ON p.part = b.part)
+  GROUP BY id, part"""
+
+
+def _sql_round(turn: int) -> str:
+    """``books_{turn}`` from the books before: componentwise means, rounded down; unused entries stay."""
+    return f"""
+assigned_{turn} AS MATERIALIZED ({_sql_assigned(f"books_{turn - 1}")}),
+sums_{turn} AS (
+  SELECT a.part, a.entry, k, sum(p.vec[k])::BIGINT AS s, count(*) AS c
+  FROM assigned_{turn} a JOIN points p ON a.id = p.id AND a.part = p.part, LATERAL (SELECT unnest(range(1, len(p.vec) + 1)) AS k) u
+  GROUP BY a.part, a.entry, k),
+means_{turn} AS (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY k) AS vec FROM sums_{turn} GROUP BY part, entry),
+books_{turn} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.vec, b.vec) AS vec FROM books_{turn - 1} b LEFT JOIN means_{turn} m ON b.part = m.part AND b.entry = m.entry),"""
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS vec
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS MATERIALIZED (
+  SELECT id, part, vec[part * len(vec) // 4 + 1 : (part + 1) * len(vec) // 4] AS vec FROM kept, LATERAL (SELECT unnest(range(4)) AS part) u),
+books_0 AS MATERIALIZED (SELECT part, id - 1 AS entry, vec FROM points WHERE id <= 256),{"".join(_sql_round(t) for t in (1, 2, 3, 4))}
+assigned AS MATERIALIZED ({_sql_assigned("books_4")}),
+coded AS MATERIALIZED (
+  SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM assigned GROUP BY id),
+labelled AS (SELECT k.label, sum(c.error)::BIGINT AS label_error FROM kept k JOIN coded c ON k.id = c.id GROUP BY k.label),
+digest AS (SELECT sha256(string_agg(array_to_string(vec, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books_4)
+SELECT k.vec_id, c.code, c.error, l.label_error, codebooks_sha256
+FROM kept k JOIN coded c ON k.id = c.id JOIN labelled l ON k.label IS NOT DISTINCT FROM l.label, digest
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13_SQL = r"""
+WITH lined AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM lined),
+cut AS (
+  SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1 : least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1 : greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1 :], '') AS suffix
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(coalesce(prefix, '')) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(coalesce(middle, '')) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || coalesce(prefix, '') || '<S>' || coalesce(suffix, '') || '<M>' || coalesce(middle, '')
+         ELSE '<S>' || coalesce(suffix, '') || '<P>' || coalesce(prefix, '') || '<M>' || coalesce(middle, '') END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -199,6 +273,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_code_compression": op12_code_compression,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
@@ -207,4 +284,6 @@ ORACLES: dict[str, str] = {
     "op3_curriculum_mixing": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op12_code_compression": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }

@@ -121,11 +121,6 @@ def unbalanced(text: Column) -> Column:
     return F.filter(F.array(*[F.when(times(a) != times(b), a + b) for a, b in BRACKETS]), lambda x: x.isNotNull())
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """How often a term occurs, without overlap; an empty term does not."""
-    return F.when(F.length(term) > 0, (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).otherwise(0).cast("long")
-
-
 def questions(text: Column) -> Column:
     """Text cut behind question marks."""
     return F.split(text, r"(?<=[？?])\s+")

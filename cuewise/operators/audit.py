@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as T
 from ..functions.timecode import srt_timestamp
 from ..schema import CPS_LIMIT, END_OVERRUN, LINE_LIMIT, LOCK_RATE, SILENCE
+from .terms import term_counts
 from .timeline import order, with_gaps
 
 TRAILING = r"[。，、；:;,.—-]+$"
@@ -122,17 +123,6 @@ def ranked(found: DataFrame, key: str, pos: str, top: int | None = None) -> Data
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def term_counts(cues: DataFrame, terms: DataFrame, key: str, pos: str) -> DataFrame:
-    """How often each term of an episode occurs in its captions; terms that do not are left out.
-
-    The join is on the episode and counts within cues joined by a space.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(pos, "text")))
-    whole = cues.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("captions"))
-    found = terms.join(whole, key).withColumn("times", T.occurrences(F.col("captions"), F.col("term")))
-    return found.where(F.col("times") > 0).select(key, "term", "times")
-
-
 def span_code(start_ms: Column, end_ms: Column) -> Column:
     return F.concat(srt_timestamp(start_ms / 1000), F.lit(" --> "), srt_timestamp(end_ms / 1000))
 

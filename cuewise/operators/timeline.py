@@ -6,6 +6,8 @@ an episode at a time; joins pair the key, and times are binned where a range alo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import MICRO_GAP, TAIL, TAIL_CEILING
@@ -171,3 +173,93 @@ def media_capped(cues: DataFrame, media_ms: Column) -> DataFrame:
     limit = media_ms + int(TAIL * 1000)
     late = media_ms.isNotNull() & (F.col("end_ms") > limit)
     return cues.withColumn("end_ms", F.when(late, F.greatest(F.col("start_ms") + 200, limit)).otherwise(F.col("end_ms")))
+
+
+def numbered_chars(words: DataFrame, key: str, pos: str) -> DataFrame:
+    """``char_timeline`` in seconds with each character's ``place`` among all of its episode, from 0; ``words`` has start and end in seconds."""
+    before = order(key, pos).rowsBetween(W.unboundedPreceding, -1)
+    placed = words.select(key, pos, "word", "start", "end", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).alias("__offset"))
+    split = placed.select(key, pos, "start", ((F.col("end") - F.col("start")) / F.length("word")).alias("__share"), "__offset", F.posexplode(F.split("word", "")).alias("__k", "char")).where("char <> ''")
+    at = lambda k: F.col("start") + k * F.col("__share")
+    return split.select(key, pos, (F.col("__offset") + F.col("__k")).cast("long").alias("place"), "char", at(F.col("__k")).alias("c_start"), at(F.col("__k") + 1).alias("c_end"))
+
+
+def interpolated(cues: DataFrame, chars: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """Cues with times of unlocked runs taken from the heard characters, or else the time, between their locked neighbours.
+
+    ``cues``: keys, pos, start, end (seconds), locked, size (characters, 1 or more), first and last (places of
+    a locked cue's heard characters); ``chars``: keys, place (from 0, without gaps), c_start, c_end.  A run of unlocked cues
+    is an island; what its cues' characters stand for is in proportion to their running lengths, places rounded half to even.
+    Where fewer characters are free than cues wait, their span is dealt by length; where none is, the time between the
+    neighbours, if there is any.  A run that has a neighbour on one side only takes characters if they are not too
+    many.  Everything else keeps its times.  Adds ``interpolated``; a group without characters or locked cues does not change.
+    """
+    w = W.partitionBy(*keys).orderBy(pos)
+    behind, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    of_locked = lambda c: F.when(F.col("locked"), F.col(c))
+    heard = chars.groupBy(*keys).agg((F.max("place") + 1).alias("__heard"))
+    rows = cues.join(heard, list(keys), "left").withColumns({
+        "__run": F.sum(F.col("locked").cast("int")).over(w),
+        "__after": F.last(of_locked("last"), ignorenulls=True).over(behind), "__since": F.last(of_locked("end"), ignorenulls=True).over(behind),
+        "__before": F.first(of_locked("first"), ignorenulls=True).over(ahead), "__until": F.first(of_locked("start"), ignorenulls=True).over(ahead),
+    })
+    island = W.partitionBy(*keys, "__run", "locked")
+    both = F.col("__after").isNotNull() & F.col("__before").isNotNull()
+    neighboured = ~F.col("locked") & (F.col("__after").isNotNull() | F.col("__before").isNotNull())
+    rows = rows.withColumns({
+        "__n": F.count("*").over(island), "__total": F.sum("size").over(island), "__done": F.coalesce(F.sum("size").over(island.orderBy(pos).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "__low": F.coalesce(F.col("__after") + 1, F.lit(0)),
+    }).withColumn("__free", F.coalesce(F.col("__before") - 1, F.col("__heard") - 1) - F.col("__low") + 1)
+    spoken = neighboured & (F.col("__free") > 0) & (both | (F.col("__free") <= 3 * F.col("__total") + 15))
+    quiet = both & (F.col("__until") > F.col("__since") + 0.05)
+    rows = rows.withColumn("__kind", F.when(spoken & (F.col("__free") >= F.col("__n")), "places").when(spoken, "span").when(neighboured & ~F.coalesce(spoken, F.lit(False)) & quiet, "time"))
+
+    place = lambda c: F.bround(c / F.col("__total") * F.col("__free")).cast("long")
+    within = lambda c, least: F.greatest(least, F.least(c, F.col("__free") - 1))
+    a = within(place(F.col("__done")), F.lit(0))
+    by_place = F.col("__kind") == "places"
+    rows = rows.withColumn("__a", F.when(by_place, a).otherwise(0)).withColumn("__b", F.when(by_place, within(place(F.col("__done") + F.col("size")) - 1, F.col("__a"))).otherwise(F.col("__free") - 1))
+    # Each cue asks for two characters: where it, or its run, begins and ends.
+    asked = rows.where(F.col("__kind").isin("places", "span")).select(*keys, pos, F.posexplode(F.array(F.col("__low") + F.col("__a"), F.col("__low") + F.col("__b"))).alias("__which", "place"))
+    met = asked.join(chars.select(*keys, "place", "c_start", "c_end"), [*keys, "place"])
+    found = met.groupBy(*keys, pos).agg(F.max(F.when(F.col("__which") == 0, F.col("c_start"))).alias("__begin"), F.max(F.when(F.col("__which") == 1, F.col("c_end"))).alias("__end"))
+    rows = rows.join(found, [*keys, pos], "left")
+
+    by_time = F.col("__kind") == "time"
+    begin = F.when(by_time, F.col("__since")).otherwise(F.col("__begin"))
+    end = F.when(by_time, F.col("__until")).otherwise(F.greatest(F.col("__begin") + 0.2 * F.col("__n"), F.col("__end")))
+    dealt = lambda upto: begin + (end - begin) * upto / F.col("__total")
+    start_at = F.when(F.col("__kind").isNull(), F.col("start")).when(by_place, F.col("__begin")).otherwise(dealt(F.col("__done")))
+    end_at = F.when(F.col("__kind").isNull(), F.col("end")).when(by_place, F.col("__end")).otherwise(dealt(F.col("__done") + F.col("size")))
+    kept = [c for c in cues.columns if c not in ("start", "end")]
+    return rows.select(*kept, start_at.alias("start"), end_at.alias("end"), F.col("__kind").isNotNull().alias("interpolated"))
+
+
+def piecewise(positions: DataFrame, blocks: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Positions (key, at, ...) with ``place``, where they stand in another text by the matching blocks of the two.
+
+    ``blocks``: key, text_at, heard_at, size: matches that rise in both texts and do not overlap; ``sizes``: key,
+    heard_size.  An as-of join by one window over both tables: inside a block, its end included, a position moves with it;
+    between two it is interpolated and rounded down; before the first and behind the last it keeps its distance
+    within the heard text; without any block it is null.
+    """
+    block = F.struct("text_at", "heard_at", "size")
+    own = positions.columns
+    both = positions.withColumn("__block", F.lit(None).cast("struct<text_at:bigint,heard_at:bigint,size:bigint>")).unionByName(
+        blocks.select(key, F.col("text_at").alias("at"), block.cast("struct<text_at:bigint,heard_at:bigint,size:bigint>").alias("__block")), allowMissingColumns=True)
+    # Positions come before blocks that begin there, so that the block before ends, and the next one begins, at a position or later.
+    w = W.partitionBy(key).orderBy("at", F.col("__block").isNotNull())
+    rows = both.withColumns({
+        "__p": F.last("__block", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
+        "__q": F.first("__block", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+    }).where("__block is null").join(sizes.select(key, "heard_size"), key, "left")
+    at, p, q = F.col("at"), F.col("__p"), F.col("__q")
+    text_end, heard_end = p["text_at"] + p["size"], p["heard_at"] + p["size"]
+    share = (at - text_end) / F.greatest(F.lit(1), q["text_at"] - text_end)
+    between = (heard_end + share * F.greatest(F.lit(0), q["heard_at"] - heard_end)).cast("long")
+    place = (
+        F.when(p.isNotNull() & (at <= text_end), p["heard_at"] + at - p["text_at"]).when(q.isNotNull() & (at == q["text_at"]), q["heard_at"])
+        .when(p.isNotNull() & q.isNotNull(), between).when(q.isNotNull(), F.greatest(F.lit(0), q["heard_at"] - (q["text_at"] - at)))
+        .when(p.isNotNull(), F.least(F.col("heard_size") - 1, heard_end + at - text_end))
+    )
+    return rows.withColumn("place", place).select(*own, "place")

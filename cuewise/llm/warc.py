@@ -11,7 +11,8 @@ Scale: a map over responses in DataFrame expressions, with no shuffle and no Pyt
 a long page costs what its own bytes cost.  Serialised records are WARC/1.1
 bytes, so files of any size can be put together from partitions.
 
-Edge cases: tags that are never closed stay text, and cost what their bytes cost; line ends in
+Edge cases: tags that are never closed stay text, and cost what their bytes cost; a quoted value may hold angle brackets and blanks; the
+first attribute of a name counts; line ends in
 an address are percent-encoded, so they cannot end a header; a null payload is empty; a null URI or date leaves its header out; a null id is
 made from URI and payload; equal rows make equal records; a page without title,
 language or links leaves those lines out; an empty table gives an empty result;
@@ -31,19 +32,38 @@ NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "
 SLOTS = 251
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 _BLOCK = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|section|article|aside|main|header|footer|nav|title|head|body|html|blockquote|pre|hr|form|figure|figcaption"
-#: The rest of a tag.  It ends at the next angle bracket, so a page of tags that are never closed is read once.
-_REST = r"[^<>]*+>"
+#: The rest of a tag.  What is quoted behind an equals sign may hold angle brackets; without its closing quote, the quote is
+#: a sign like others.  The tag ends at the next angle bracket, so a page of tags that are never closed is read once.
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+_REST = rf"""(?:[^<>=]++|=\s*+{_QUOTED}?+)*+>"""
+#: Elements that end a drawing which is not closed, as a browser shows what is in them.
+_SHOWN = f"{_BLOCK}|a|b|i|u|em|strong|small|span|center|img|code|sub|sup"
 #: What no reader sees: comments, and elements with all that is in them, to the end of the page if they are not closed.
-UNSEEN = rf"(?is)<(?:!--.*?(?:-->|\z)|({'|'.join(HIDDEN)})\b{_REST}.*?(?:</\1\s*+>|\z))"
+#: A drawing may close itself, or be ended by what cannot be in it.
+UNSEEN = (
+    rf"(?is)<(?:!--.*?(?:-->|\z)|svg\b{_REST}(?:(?<=/>)|.*?(?:</svg\s*+>|(?=<(?:{_SHOWN})\b)|\z))"
+    rf"|({'|'.join(h for h in HIDDEN if h != 'svg')})\b{_REST}.*?(?:</\1\s*+>|\z))"
+)
 BLOCK_TAG = rf"(?i)</?(?:{_BLOCK})\b{_REST}"
 ANY_TAG = rf"<[/!?A-Za-z]{_REST}"
 PLAIN_TITLE = rf"(?i)<title\b{_REST}([^<]*+)</title"
-LANGUAGE = r"""(?i)<html\b[^<>]*?\blang\s*+=\s*+["']?([A-Za-z0-9-]+)"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    """Pattern of a start tag up to its first attribute of exactly this name, whose value, quotes included, is the first group."""
+    value = rf"(?:{_QUOTED}|[^\s>\"'<][^\s><]*+)"
+    others = rf"(?:[\s/]*+(?!{name}\s*+=)[^\s/>=<]++(?:\s*+=\s*+{value})?+)*+"
+    return rf"{tag}(?=[\s/]){others}[\s/]*+{name}\s*+=\s*+({value})"
+
+
+LANGUAGE = rf"(?i)<{_attribute('html', 'lang')}"
 #: Links, and first what holds none, which leaves the group empty.
-SHOWN_LINK = (
-    rf"(?i)<(?:!--(?s:.*?)(?:-->|\z)|(?:script\b{_REST}(?s:.*?)(?:</script\s*+>|\z))|(?:style\b{_REST}(?s:.*?)(?:</style\s*+>|\z))"
-    r"""|a\b[^<>]*?\bhref\s*+=\s*+["']?([^"'\s<>]+))"""
-)
+SHOWN_LINK = rf"(?i)<(?:!--(?s:.*?)(?:-->|\z)|(?:script\b{_REST}(?s:.*?)(?:</script\s*+>|\z))|(?:style\b{_REST}(?s:.*?)(?:</style\s*+>|\z))|{_attribute('a', 'href')})"
+
+
+def unquoted(value: Column) -> Column:
+    """An attribute's value without its quotes and the blanks around it."""
+    return F.trim(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def _slot(first: int, length: int) -> int:
@@ -154,6 +174,12 @@ def digest(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
+def shown_links(html: Column) -> Column:
+    """Addresses of all links that are not in comments, scripts or styles, in order."""
+    found = F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), unquoted)
+    return F.transform(F.array_remove(found, ""), lambda x: header_uri(decoded(x, attribute=True)))
+
+
 def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of a table of pages (page_id, url, html)."""
     payload = F.coalesce("html", F.lit(""))
@@ -177,7 +203,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     # Columns of their own first: what ``plain`` uses several times is then evaluated once a row.
     coded = found.withColumns({"coded": without_tags(html), "plain_title": F.regexp_extract(html, PLAIN_TITLE, 1)})
     coded = coded.withColumn("coded_title", coded_title(html, F.col("plain_title")))
-    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(html, LANGUAGE, 1), "links": F.transform(F.array_remove(F.regexp_extract_all(html, F.lit(SHOWN_LINK), F.lit(1)), ""), lambda x: header_uri(decoded(x, attribute=True)))})
+    text = coded.withColumns({"text": plain(F.col("coded")), "title": plain(F.col("coded_title")), "language": F.regexp_extract(F.regexp_extract(html, LANGUAGE, 1), "[A-Za-z0-9-]+", 0), "links": shown_links(html)})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
         F.when(F.col("title") != "", line("title", one_line(F.col("title")))).otherwise(""),

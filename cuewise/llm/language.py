@@ -7,13 +7,14 @@ Part of the training rows is held back for calibration: a temperature that makes
 the scores honest, and the score below which an answer counts as rejected.
 
 Scale: training uses a bounded sample (``train_rows``, of a longer text a chunk of
-``train_chars``) with a quota for each language, chosen and ordered by a hash of id and text, so its cost does not follow the input.
+``train_chars``) with a quota for each of the ``most_languages`` most frequent languages, chosen and ordered by a hash of id and text, so its cost does not follow the input.
 Embeddings and softmax fold into one table with a row a bucket and a column a
 language; prediction is a map over whole texts with gathers from that table, no shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
-without a language or id are not learnt from; without any training row all is
-``und``; an empty table gives an empty result; further columns are ignored.
+without a language or id are not learnt from; repeated rows are learnt from and answered as often as they come, rows of
+equal id each by its own text; without any training row all is
+``und``; an empty table gives an empty result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -95,27 +96,28 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     return model
 
 
-def quota(counts: dict[str, int], train_rows: int, least: int = 50) -> int:
-    """The most rows of one language with which all languages together give ``train_rows``; ``least`` at least."""
+def quota(counts: dict[str, int], train_rows: int) -> int:
+    """The most rows of one language with which all languages together give ``train_rows`` and no more; one at least."""
     left, rest = train_rows, sorted(counts.values())
     for k, n in enumerate(rest):
         if n * (len(rest) - k) >= left:
-            return max(least, left // (len(rest) - k))
+            return max(1, left // (len(rest) - k))
         left -= n
-    return max([least, *rest])
+    return max([1, *rest])
 
 
-def training_sample(docs: DataFrame, eligible: Column, *, train_rows: int, train_chars: int) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, eligible: Column, *, train_rows: int, train_chars: int, most_languages: int = 500) -> tuple[list[str], list[str]]:
     """Up to a common quota of eligible rows of each language by a hash of id and text; of a longer text a chunk of ``train_chars``."""
     rows = docs.where(eligible & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     space, hashed = 1 << 30, F.xxhash64("doc_id", "text")
-    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod(hashed, F.lit(space))).alias("first")).collect()}
+    per_language = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod(hashed, F.lit(space))).alias("first"))
+    counts = {r["lang"]: r for r in per_language.orderBy(F.desc("n"), "lang").limit(min(train_rows, most_languages)).collect()}
     if not counts:
         return [], []
     most = quota({x: r["n"] for x, r in counts.items()}, train_rows)
     # A few more than the quota are drawn, so that hardly a language falls short of it; the first by hash at least.
     shares = [(x, max(r["first"] + 1, int(space * min(1.0, (most + 5 * most**0.5) / r["n"])))) for x, r in counts.items()]
-    # One row a language, as in the model: what the driver holds can be sent to all tasks.
+    # One row a language, ``most_languages`` at most: what the driver holds can be sent to all tasks.
     drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "of string, share long")), F.col("lang") == F.col("of"))
     drawn = drawn.where(F.pmod(hashed, F.lit(space)) < F.col("share"))
     begin = F.pmod(hashed, F.greatest(F.length("text") - train_chars + 1, F.lit(1))) + 1
@@ -145,12 +147,14 @@ def predict(docs: DataFrame, model: Model | None, *columns: Column) -> DataFrame
     return kept.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, *, train_rows: int = 4000, train_chars: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, *, train_rows: int = 4000, train_chars: int = 20_000, most_languages: int = 500) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row.
 
+    Learnt are the ``most_languages`` languages with the most rows, from ``train_rows`` rows in all.
+
     Rows whose id, as text, has a CRC-32 of remainder 2 modulo 4 are held out from
     all training; ``rejected`` marks answers below the calibrated score.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = train(*training_sample(docs, ~held_out, train_rows=train_rows, train_chars=train_chars))
+    model = train(*training_sample(docs, ~held_out, train_rows=train_rows, train_chars=train_chars, most_languages=most_languages))
     return predict(docs, model, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))

@@ -17,10 +17,20 @@ RECOGNISER = {
     "zh-cn": "cmn-Hans-CN", "zh-hans": "cmn-Hans-CN", "cmn-hans-cn": "cmn-Hans-CN",
     "ja": "ja-JP", "ja-jp": "ja-JP", "ko": "ko-KR", "ko-kr": "ko-KR", "en": "en-US", "en-us": "en-US", "en-gb": "en-GB",
 }
-HAN, KANA, HANGUL = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}", r"\x{3040}-\x{30FF}", r"\x{AC00}-\x{D7AF}"
+# Ranges of wide scripts, and what more counts as wide where words are joined for display.
+HAN, KANA, HANGUL = "一-鿿㐀-䶿", "\u3040-ヿ", "가-\ud7af"
 CJK = HAN + KANA + HANGUL
-#: What counts as a wide character where words are joined for display.
-WIDE = CJK + r"\x{F900}-\x{FAFF}"
+WIDE = CJK + "\uf900-\ufaff"
+# Patterns of cleaning, for Spark's expressions and Python's alike: marks of markdown, commas that are not in numbers,
+# wide before Latin, Latin before wide, closing marks, a closing hyphen.
+MARKDOWN_MARKS = r"\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s+"
+COMMAS = r"(?:(?<!\d),|,(?!\d)|，)+"
+WIDE_LATIN, LATIN_WIDE = rf"([{CJK}])([A-Za-z0-9]|[$¥€£₩]\d)", rf"([A-Za-z0-9]|\d[%°℃+])([{CJK}])"
+CLOSING_MARKS, CLOSING_HYPHEN = r"[\s。，、；:;,.—-]+$", r"(?<!-)-\s*$"
+# Fixed value: units that a line break must not cut: words and numbers, wide characters with closing marks, others.
+ATOM = rf"[$¥€£₩]?[A-Za-z0-9]+(?:[.,:/\-][A-Za-z0-9]+)*[%°℃+]?\s*|[{CJK}][。，、？！；：」』）》]*|[^\s]"
+# Marks that no blank stands before: behind a wide character, ahead of one, behind Latin.
+AFTER_WIDE, AHEAD_OF_WIDE, AFTER_LATIN = "[，。！？；：、）」』】》]", "[，。！？；：、（）「」『』【】《》]", r"[,.!?;:)\]}%]"
 
 
 def tag(language: Column) -> Column:
@@ -78,12 +88,11 @@ def display_width(text: Column, loc: Column) -> Column:
 
 def _clean_line(line: Column, wide: Column) -> Column:
     line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-    line = F.regexp_replace(line, r"\*{1,3}|_{2,}|`{1,3}|^\s*#{1,6}\s+", "")
-    cjk = F.regexp_replace(line, r"(?:(?<!\d),|,(?!\d)|，)+", " ")
-    cjk = F.regexp_replace(cjk, rf"([{CJK}])([A-Za-z0-9]|[$¥€£₩]\d)", "$1 $2")
-    cjk = F.regexp_replace(cjk, rf"([A-Za-z0-9]|\d[%°℃+])([{CJK}])", "$1 $2")
-    cjk = F.regexp_replace(F.regexp_replace(cjk, r"[ \t]+", " "), r"(?U)[\s。，、；:;,.—-]+$|^\s+", "")
-    latin = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), r"(?U)(?<!-)-\s*$", "")
+    line = F.regexp_replace(line, MARKDOWN_MARKS, "")
+    cjk = F.regexp_replace(line, COMMAS, " ")
+    cjk = F.regexp_replace(F.regexp_replace(cjk, WIDE_LATIN, "$1 $2"), LATIN_WIDE, "$1 $2")
+    cjk = F.regexp_replace(F.regexp_replace(cjk, r"[ \t]+", " "), rf"(?U){CLOSING_MARKS}|^\s+", "")
+    latin = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), f"(?U){CLOSING_HYPHEN}", "")
     return F.when(wide, cjk).otherwise(F.regexp_replace(latin, r"(?U)^\s+|\s+$", ""))
 
 
@@ -95,9 +104,8 @@ def clean(text: Column, loc: Column) -> Column:
 
 
 def atoms(text: Column) -> Column:
-    """Units that a line break must not cut: words and numbers, wide characters with closing marks, others."""
-    pattern = rf"[$¥€£₩]?[A-Za-z0-9]+(?:[.,:/\-][A-Za-z0-9]+)*[%°℃+]?\s*|[{CJK}][。，、？！；：」』）》]*|[^\s]"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Units that a line break must not cut."""
+    return F.regexp_extract_all(text, F.lit(ATOM), F.lit(0))
 
 
 def join_words(words: Column) -> Column:
@@ -107,8 +115,8 @@ def join_words(words: Column) -> Column:
         last, first = F.right(line, F.lit(1)), F.left(word, F.lit(1))
         wide_last, wide_first = last.rlike(f"[{WIDE}]"), first.rlike(f"[{WIDE}]")
         close = (
-            (wide_last & wide_first) | (wide_last & first.rlike("[，。！？；：、）」』】》]")) | (last.rlike("[，。！？；：、（）「」『』【】《》]") & wide_first)
-            | (~wide_last & first.rlike(r"[,.!?;:)\]}%]"))
+            (wide_last & wide_first) | (wide_last & first.rlike(AFTER_WIDE)) | (last.rlike(AHEAD_OF_WIDE) & wide_first)
+            | (~wide_last & first.rlike(AFTER_LATIN))
         )
         return F.when(line == "", word).when(close, F.concat(line, word)).otherwise(F.concat(line, F.lit(" "), word))
 

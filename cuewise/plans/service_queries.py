@@ -109,9 +109,9 @@ def spoken_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int"))
     low = F.floor(n / 10) % 10
     english = F.concat(F.when(n >= 100, F.concat(named(units, F.floor(n / 100) + 1), F.lit(" hundred "))).otherwise(F.lit("")), F.when(low >= 2, F.concat(named(tens, F.greatest(low - 1, F.lit(1))), F.lit("-"), named(units, n % 10 + 1))).otherwise(F.lit("")))
-    rows = _table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 1000 > 0))
+    rows = _table(spark, sf_dir, "orders")
     usable = (low >= 2) & (n % 10 > 0)
-    return rows.select("o_orderkey", normalise_alignment(han("零一二三四五六七八九", ("百", "十", ""))).alias("chinese"), normalise_alignment(F.when(n >= 10, han("영일이삼사오육칠팔구", ("백", "십", "")))).alias("korean"), normalise_alignment(F.when(usable, english)).alias("english"))
+    return rows.select("o_orderkey", normalise_alignment(F.when(n == 0, "零").otherwise(han("零一二三四五六七八九", ("百", "十", "")))).alias("chinese"), normalise_alignment(F.when(n >= 10, han("영일이삼사오육칠팔구", ("백", "십", "")))).alias("korean"), normalise_alignment(F.when(usable, english)).alias("english"))
 
 
 QUERIES = {f.__name__: f for f in (word_cache_roundtrip, upload_skip, audio_slices, prompt_templates, answer_fence, glossary_terms, detected_locales, output_folders, header_names, mojibake_names, first_settings, spoken_numbers)}
@@ -138,5 +138,5 @@ SELECT d.doc_id, coalesce(terms, 0) AS terms, coalesce(digest, md5('')) AS diges
     "mojibake_names": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'été-Straße-' || p_partkey || '.mp4' WHEN 1 THEN '影été-Straße-' || p_partkey || '.mp4' ELSE 'plain-' || p_partkey END AS name FROM part""",
     "first_settings": """SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'cli-' || s_suppkey WHEN s_suppkey % 5 = 0 THEN 'env-' || s_suppkey WHEN s_suppkey % 3 = 0 THEN 'file-' || s_suppkey ELSE 'default' END AS value FROM supplier""",
     "spoken_numbers": """SELECT o_orderkey, CAST(o_orderkey % 1000 AS VARCHAR) AS chinese, CASE WHEN o_orderkey % 1000 >= 10 THEN CAST(o_orderkey % 1000 AS VARCHAR) ELSE '' END AS korean,
-  CASE WHEN o_orderkey // 10 % 10 >= 2 AND o_orderkey % 10 > 0 THEN CAST(o_orderkey % 1000 AS VARCHAR) ELSE '' END AS english FROM orders WHERE o_orderkey % 1000 > 0""",
+  CASE WHEN o_orderkey // 10 % 10 >= 2 AND o_orderkey % 10 > 0 THEN CAST(o_orderkey % 1000 AS VARCHAR) ELSE '' END AS english FROM orders""",
 }

@@ -4,13 +4,14 @@ Method: centroids are fitted on a bounded sample, level by level, with a penalty
 A vector goes into the list of its nearest centroid and, at a boundary, into those of
 other centroids nearly as near, unless a list already chosen lies between.
 For queries the centroids are searched through a neighbour graph held in memory, and a
-distance ratio to the best one prunes the lists that a query reads.  How many lists a
-query reads at least follows from the table: some queries (``tried``) are compared with
-all vectors, and as many lists are read as find ``aim`` of those neighbours.  Inner products
+distance ratio to the best one selects the lists that a query reads.  The ratio and the most lists
+follow from the table: some queries (``tried``) are compared with
+all vectors, and of the pairs of a ratio and a number that find ``aim`` of those neighbours that with the
+fewest lists on average is taken.  Inner products
 become distances by one more component that brings all vectors to one length.
 
-Scale: lists follow the number of vectors up to ``max_lists``, which bounds the graph that tasks hold, as
-``sample_rows`` bounds what it is fitted on.  Lists that the fit put side by side form a
+Scale: lists follow the number of vectors up to ``max_lists`` and a quarter of the sample, which bounds the graph that tasks hold, as
+``sample_rows`` bounds what it is fitted on.  Vectors are compared with all centroids some at a time, in bounded memory.  Lists that the fit put side by side form a
 group, and a query goes once to each group with lists that it reads.  A group's vectors and the
 queries that read it are both cut into chunks of bounded length by a hash, so neither a list into which a third of
 all vectors fall nor one that all queries read is one task's work.  A group's chunk returns one row
@@ -35,6 +36,12 @@ from .staging import Staging
 from .vectors import matrix, of_one_length, usable
 
 
+#: Distances to centroids held at a time.
+_COMPARED = 4_000_000
+#: Added to squared distances, so that a ratio to none is defined.
+_TINY = 1e-12
+
+
 @dataclass
 class Graph:
     """Centroids, each linked to its nearest ones and some far ones."""
@@ -116,8 +123,9 @@ def closures(centroids: np.ndarray, points: np.ndarray, copies: int, ratio: floa
     """The lists of each vector: the nearest, and others within ``ratio`` of its distance that no chosen one lies before."""
     norms, some = (centroids**2).sum(axis=1), min(4 * copies, len(centroids))
     out: list[list[int]] = []
-    for at in range(0, len(points), 1024):
-        part = points[at : at + 1024]
+    together = max(16, min(1024, _COMPARED // len(centroids)))
+    for at in range(0, len(points), together):
+        part = points[at : at + together]
         d = np.maximum((part**2).sum(axis=1)[:, None] + norms - 2 * part @ centroids.T, 0)
         near = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(centroids) else np.tile(np.arange(some), (len(part), 1))
         far = np.take_along_axis(d, near, axis=1)
@@ -170,6 +178,34 @@ def lists_needed(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, l
     return want
 
 
+def pruning(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: float, needed: int) -> tuple[int, float, float]:
+    """(most, ratio, mean): of the nearest ``most`` lists a query reads those within ``ratio`` of the first one's distance, ``mean`` on average.
+
+    Of the pairs that find as many neighbours as the nearest ``needed`` lists have to, that with the fewest lists
+    read; with more lists to choose from, the ratio can be smaller.
+    """
+    best = (needed, np.inf, float(needed))
+    for most in sorted({min(len(graph.centroids), round(needed * wider)) for wider in (1, 1.25, 1.5, 2, 3)}):
+        ratios, found = [], []
+        for q, own in neighbours:
+            near, d = graph.nearest(points[q], most)
+            ratio = np.sqrt((d + _TINY) / (d[0] + _TINY))
+            ratios.append(ratio)
+            at = dict(zip(near.tolist(), ratio.tolist(), strict=True))
+            found.append(np.sort([min((at[x] for x in lists if x in at), default=np.inf) for lists in own]))
+        # Each query's neighbours weigh the same in all; the smallest ratio that finds enough is one at which some neighbour is found.
+        places = np.concatenate(found)
+        order = np.argsort(places, kind="stable")
+        weights = np.concatenate([np.full(len(f), 1 / len(f) / len(found)) for f in found])[order]
+        enough = np.searchsorted(np.cumsum(weights), aim - 1e-9)
+        if enough < len(order) and np.isfinite(places[order[enough]]):
+            ratio = float(places[order[enough]])
+            mean = float(np.mean([(r <= ratio * (1 + 1e-9)).sum() for r in ratios]))
+            if mean < best[2]:
+                best = most, ratio * (1 + 1e-9), mean
+    return best
+
+
 def search(
     table: DataFrame,
     is_query: Column,
@@ -177,7 +213,7 @@ def search(
     k: int = 20,
     sample_rows: int = 100_000,
     list_rows: int = 128,
-    max_lists: int = 32_768,
+    max_lists: int = 16_384,
     copies: int = 4,
     boundary_ratio: float = 1.15,
     probes: int = 32,
@@ -191,7 +227,8 @@ def search(
 ) -> DataFrame:
     """Each query's ``k`` nearest other rows found: query_id, rank, vec_id, score (the inner product).
 
-    ``probes`` and ``least_probes`` are what a query reads where fewer lists would do; they grow to what ``aim`` needs.
+    ``probes``, ``least_probes`` and ``prune_ratio`` hold where there is nothing to try; else what is read follows from ``aim``,
+    and is ``least_probes`` lists at least.
     """
     spark = table.sparkSession
     staging = Staging(spark, "neighbours")
@@ -222,7 +259,8 @@ def search(
             near = true_neighbours(rows, asked, trial["vec_id"].to_numpy(np.int64), k)
             homes = [(q, closures(graph.centroids, lifted(v, longest), copies, boundary_ratio)) for q, v in near]
             needed = lists_needed(graph, placed(asked), homes, aim) if homes else 1
-            least_probes, probes = max(least_probes, needed), max(probes, needed)
+            probes, prune_ratio, _ = pruning(graph, placed(asked), homes, aim, needed) if homes else (probes, prune_ratio, 0.0)
+            probes = max(probes, least_probes)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +273,7 @@ def search(
             at, groups, wanted = [], [], []
             for i, point in enumerate(placed(matrix(batch.column(1)))):
                 near, d = graph.nearest(point, probes)
-                read = np.sort(near[(d <= prune_ratio**2 * d[0] + 1e-12) | (np.arange(len(d)) < least_probes)])
+                read = np.sort(near[(d + _TINY <= prune_ratio**2 * (d[0] + _TINY)) | (np.arange(len(d)) < least_probes)])
                 for part in np.split(read, np.flatnonzero(np.diff(read // group_lists)) + 1):
                     at.append(i)
                     groups.append(int(part[0]) // group_lists)

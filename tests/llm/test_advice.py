@@ -81,3 +81,57 @@ def test_all_references_are_decoded_and_links_are_those_of_the_page(spark):
     rows = {r.warc_type: r.body for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()}
     assert rows["conversion"].endswith("üñ &eacute; &lt; &nosuch; © 1 a&b\ngo")
     assert rows["metadata"] == "title: café ’≂̸\r\noutlink: /yes\r\noutlink: /a?x=1&y=2&copy=3\r\n"
+
+
+def clustered(n: int, width: int, clusters: int, seed: int = 2) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    points = centres[rng.integers(0, clusters, n)] + 0.4 * rng.normal(size=(n, width)) * rng.choice([0.3, 1, 2], n)[:, None]
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+def test_the_distance_ratio_selects_lists():
+    """Where vectors have clusters, a query reads few of the lists that the hardest ones need, and still finds its neighbours."""
+    points = clustered(12_000, 32, 80)
+    lifted = neighbours.lifted(points, 1.0)
+    graph = neighbours.Graph.build(neighbours.centroid_tree(lifted, 240))
+    home = neighbours.closures(graph.centroids, lifted, 4, 1.15)
+    asked = np.concatenate([points, np.zeros((len(points), 1))], axis=1)
+
+    def true(queries):
+        scores = points[queries] @ points.T
+        scores[np.arange(len(queries)), queries] = -np.inf
+        return [(i, [home[v] for v in row]) for i, row in enumerate(np.argsort(-scores, axis=1)[:, :20])]
+
+    tried, others = np.arange(0, 12_000, 120), np.arange(7, 12_000, 120)
+    needed = neighbours.lists_needed(graph, asked[tried], true(tried), 0.96)
+    most, ratio, mean = neighbours.pruning(graph, asked[tried], true(tried), 0.96, needed)
+    assert mean < 0.7 * needed and most >= needed
+    found = []
+    for i, own in true(others):
+        near, d = graph.nearest(asked[others[i]], most)
+        read = set(near[d <= ratio**2 * d[0]].tolist())
+        found.append(np.mean([not read.isdisjoint(lists) for lists in own]))
+    assert np.mean(found) >= 0.92
+
+
+def test_pruning_reads_no_more_than_is_needed():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(3000, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    lifted = neighbours.lifted(points, 1.0)
+    graph = neighbours.Graph.build(neighbours.centroid_tree(lifted, 60))
+    home = neighbours.closures(graph.centroids, lifted, 4, 1.15)
+    own = [(i, [home[v] for v in np.argsort(-(points[i] @ points.T))[1:21]]) for i in range(50)]
+    needed = neighbours.lists_needed(graph, lifted[:50], own, 0.96)
+    most, ratio, mean = neighbours.pruning(graph, lifted[:50], own, 0.96, needed)
+    assert mean <= needed <= most
+
+
+def test_vectors_are_placed_alike_however_many_are_compared_at_a_time(monkeypatch):
+    points = clustered(700, 8, 10)
+    lifted = neighbours.lifted(points, 1.0)
+    centroids = neighbours.centroid_tree(lifted, 50)
+    whole = neighbours.closures(centroids, lifted, 4, 1.15)
+    monkeypatch.setattr(neighbours, "_COMPARED", 1000)
+    assert neighbours.closures(centroids, lifted, 4, 1.15) == whole

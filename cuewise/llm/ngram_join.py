@@ -12,7 +12,9 @@ Scale: four steps, each on what the one before left.
 
 1. Prefixes of all documents are dealt by hash, once per block of documents for
    a shingle that many of its documents hold.  A document too few of whose
-   prefix shingles occur elsewhere has no partner, and most end here.
+   prefix shingles occur elsewhere has no partner, and most end here.  A block sends a row to each
+   part; where parts are many, they form groups, a block sends a row to each group, and what came for a group
+   is dealt to its parts in larger rows, so that rows grow with the input and not with its square.
 2. Equal sets become one class, whose smallest id stands for it.  Classes of which
    too few of all shingles occur in another class end here, in some rounds.
 3. Each index entry links its sets to one leader, that with the most common
@@ -33,10 +35,12 @@ nothing; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -53,6 +57,10 @@ _FILTER_FIRST = {
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
 }
 _U64 = np.uint64
+#: Parts to which a block sends a row each; beyond them, parts are dealt in two steps.
+_FANOUT = 1024
+#: Parts whose shingles one task deals in the second step, and shingles that it deals at a time.
+_PARTS_A_TASK, _TOGETHER = 8, 1_000_000
 
 
 class Threshold:
@@ -112,8 +120,18 @@ _DEALT = "part int, doc_id long, n long, h1 long, h2 long, shared long, tokens b
 _MARKS = "whole boolean, doc_id long, n long, h1 long, h2 long, shared long"
 
 
+def _groups(n_parts: int) -> int:
+    """Groups of parts; as many as there are parts if these are few."""
+    return n_parts if n_parts <= _FANOUT else math.isqrt(n_parts - 1) + 1
+
+
+def _part(tokens: np.ndarray, n_parts: int) -> np.ndarray:
+    return (tokens >> _U64(32)) % _U64(n_parts)
+
+
 def _dealt(ids: list, about: list[tuple[int, int, int]], held: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """A row for each set (``about``: n, h1, h2), and for each part the block's distinct shingles in ``held``."""
+    """A row for each set (``about``: n, h1, h2), and for each group of parts the block's distinct shingles in ``held``."""
+    n_groups = _groups(n_parts)
     tokens = np.concatenate([np.zeros(0, _U64), *held])
     owner = np.repeat(np.arange(len(ids)), [len(h) for h in held])
     order = np.argsort(tokens, kind="stable")
@@ -121,21 +139,67 @@ def _dealt(ids: list, about: list[tuple[int, int, int]], held: list[np.ndarray],
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(tokens)))
     shared = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(ids))
-    rows: list[tuple] = [(k % n_parts, doc, *a, int(s), None, None, None) for k, (doc, a, s) in enumerate(zip(ids, about, shared, strict=True))]
+    rows: list[tuple] = [(k % n_groups, doc, *a, int(s), None, None, None) for k, (doc, a, s) in enumerate(zip(ids, about, shared, strict=True))]
     tokens, owner, single = tokens[first], np.array([-1 if d is None else d for d in ids], np.int64)[owner[first]], count == 1
-    part = (tokens >> _U64(32)) % _U64(n_parts)
-    by_part = np.argsort(part, kind="stable")
-    tokens, owner, single = tokens[by_part], owner[by_part], single[by_part]
-    ends = np.searchsorted(part[by_part], np.arange(n_parts + 1, dtype=_U64))
+    rows += _shares(_part(tokens, n_parts) % _U64(n_groups), n_groups, tokens[single], owner[single], tokens[~single], single)
+    yield from _dealt_batches(rows)
+
+
+def _shares(part: np.ndarray, n_parts: int, single: np.ndarray, owner: np.ndarray, several: np.ndarray, is_single: np.ndarray) -> Iterator[tuple]:
+    """A row for each part: its shingles that one document of a block has, with those documents, and those that several have."""
+    cut = lambda own: (order := np.argsort(own, kind="stable"), np.searchsorted(own[order], np.arange(n_parts + 1, dtype=_U64)))
+    (one, ends), (many, many_ends) = cut(part[is_single]), cut(part[~is_single])
     for p in range(n_parts):
-        if (a := ends[p]) < (b := ends[p + 1]):
-            t, s = tokens[a:b], single[a:b]
-            rows.append((p, None, 0, 0, 0, 0, t[s].tobytes(), owner[a:b][s].tobytes(), t[~s].tobytes()))
+        a, b, c, d = ends[p], ends[p + 1], many_ends[p], many_ends[p + 1]
+        if a < b or c < d:
+            yield p, None, 0, 0, 0, 0, single[one[a:b]].tobytes(), owner[one[a:b]].tobytes(), several[many[c:d]].tobytes()
+
+
+def _dealt_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 3)
     for at in range(0, len(rows), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), kinds, strict=True)], names=["part", "doc_id", "n", "h1", "h2", "shared", "tokens", "docs", "many"])
 
 
+def _dealt_on(dealt: DataFrame, n_parts: int) -> DataFrame:
+    """Rows of groups dealt to the groups' parts."""
+    n_groups = _groups(n_parts)
+    if n_groups == n_parts:
+        return dealt
+    per_group = -(-n_parts // n_groups)
+    tasks = max(1, per_group // _PARTS_A_TASK)
+
+    def parts_of(group: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        # The parts of a group are ``n_groups`` apart.
+        single, owner, several = (np.frombuffer(b"".join(h), t) for h, t in zip(held, (_U64, np.int64, _U64), strict=True))
+        both = np.concatenate([single, several])
+        rows = _shares(_part(both, n_parts) // _U64(n_groups), per_group, single, owner, several, np.arange(len(both)) < len(single))
+        yield from _dealt_batches([(group + p * n_groups, *rest) for p, *rest in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, size = -1, [[], [], []], 0
+        for batch in batches:
+            own = batch.column("tokens").is_null()
+            if (rows := batch.filter(own)).num_rows:
+                # A set's row goes on by its own numbers, so that a task that runs again sends it where it went before.
+                mark = rows.column("doc_id").fill_null(0).to_numpy().view(_U64) * _U64(0x9E3779B97F4A7C15) + rows.column("h1").to_numpy().view(_U64)
+                yield rows.set_column(0, "part", pa.array((mixed(mark) % _U64(n_parts)).astype(np.int32)))
+            rows = batch.filter(pc.invert(own))
+            for part, *values in zip(*(rows.column(c).to_pylist() for c in ("part", "tokens", "docs", "many")), strict=True):
+                if held[0] and (part != group or size >= 8 * _TOGETHER):
+                    yield from parts_of(group, held)
+                    held, size = [[], [], []], 0
+                group = part
+                for kept, value in zip(held, values, strict=True):
+                    kept.append(value)
+                size += len(values[0]) + len(values[2])
+        if held[0]:
+            yield from parts_of(group, held)
+
+    salt = F.pmod(F.xxhash64("doc_id", "h1", "tokens", "many"), F.lit(tasks)).cast("int")
+    return dealt.repartitionById(n_groups * tasks, F.col("part") * tasks + salt).mapInArrow(run, _DEALT)
+
+
 def _deal_prefixes(docs: DataFrame, limit: Threshold, n_parts: int) -> DataFrame:
     """Filter prefixes of all documents, dealt."""
 
@@ -171,7 +235,7 @@ def _mark_shared(dealt: DataFrame, n_parts: int) -> DataFrame:
             own = batch.column("tokens").is_null()
             rows = batch.filter(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(rows.num_rows, bool)), *(rows.column(c) for c in names[1:])], names=names)
-            rows = batch.filter(pa.compute.invert(own))
+            rows = batch.filter(pc.invert(own))
             tokens += rows.column("tokens").to_pylist()
             docs += rows.column("docs").to_pylist()
             many += rows.column("many").to_pylist()
@@ -185,9 +249,7 @@ def _mark_shared(dealt: DataFrame, n_parts: int) -> DataFrame:
         zero = np.zeros(len(found), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), bool)), pa.array(found), *[pa.array(zero)] * 3, pa.array(counts)], names=names)
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
-
-    return dealt.repartitionById(n_parts, F.col("part")).mapInArrow(run, _MARKS)
+    return _dealt_on(dealt, n_parts).repartitionById(n_parts, F.col("part")).mapInArrow(run, _MARKS)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -286,7 +348,7 @@ def _compare_blocks(limit: Threshold):
         out: list[tuple[int, int]] = []
         if asking.num_rows and members.num_rows:
             lists = members.column("tokens").combine_chunks()
-            sizes = pa.compute.list_value_length(lists).to_numpy()
+            sizes = pc.list_value_length(lists).to_numpy()
             node, component = members.column("node").to_numpy(), members.column("c").to_numpy()
             tokens = lists.flatten().to_numpy()
             order = np.argsort(tokens, kind="stable")
@@ -303,8 +365,6 @@ def _compare_blocks(limit: Threshold):
         columns = list(zip(*out, strict=True)) if out else [(), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
-
     return compare
 
 

@@ -92,3 +92,28 @@ def language_bucket(piece: bytes, n: int) -> int:
         h = (h + b * step) % 2**32
         h = ((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32
     return h >> (32 - language.BITS)
+
+
+@pytest.mark.parametrize("fanout", [1, 3, 9])
+def test_parts_dealt_in_two_steps_give_the_same_components(docs, monkeypatch, fanout):  # noqa: F811
+    """Many parts: blocks of a few texts send rows to groups of parts, and groups deal them on, a few shingles at a time."""
+    from cuewise.llm import ngram_join
+
+    from . import brute
+    from .test_operators import pairs
+
+    want = brute.jaccard_components(pairs(docs))
+    monkeypatch.setattr(ngram_join, "_BLOCK_CHARS", 2000)
+    monkeypatch.setattr(ngram_join, "_FANOUT", fanout)
+    monkeypatch.setattr(ngram_join, "_TOGETHER", 40)
+    monkeypatch.setattr(ngram_join, "_PARTS_A_TASK", 3)
+    assert ngram_join._groups(64) == 8 and ngram_join._groups(65) == 9
+    assert sorted(map(tuple, ngram_join.ngram_components(docs, frequent_from=3, block_rows=4).collect())) == want
+
+
+def test_groups_of_parts_stay_few():
+    from cuewise.llm import ngram_join
+
+    for n in (1, 64, 1024, 1025, 3_000_000):
+        groups = ngram_join._groups(n)
+        assert groups == n if n <= 1024 else groups * groups >= n > (groups - 1) ** 2

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import groupby
+from itertools import accumulate, groupby, islice
 from operator import itemgetter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +35,8 @@ CONNECTIVES = ("但是", "而且", "所以", "不過", "然而", "如果")
 APART, CUT_TO, KEEPS, WORTH = 0.02, 0.2, 1.0, 0.04
 
 _BATCH = 20_000
+#: Rows read at a time where a recurrence looks ahead.
+_AHEAD = 512
 Row = tuple
 
 
@@ -159,67 +161,93 @@ def spoken(word: str) -> str:
     return "".join(c.lower() for c in word if unicodedata.category(c)[0] not in "PS").strip()
 
 
-def repeats_from(tokens: np.ndarray, size: int) -> np.ndarray:
-    """How often the ``size`` tokens from each place follow one another there: from runs of tokens that equal the one ``size`` places on."""
-    n = len(tokens)
-    same = np.zeros(n + 1, bool)
-    same[: max(0, n - size)] = tokens[size:] == tokens[: n - size] if n > size else False
-    # The run of equal shifts from a place ends at the next place without one.
-    end = np.where(same, n, np.arange(n + 1))
-    run = np.minimum.accumulate(end[::-1])[::-1][:n] - np.arange(n)
-    return run // size + 1
+def loop_at(tokens: Sequence[str], *, repeats: int, longest: int) -> int:
+    """The size of the longest pattern that repeats from the first token on often enough to be a loop; 0 if none does."""
+    first, n = tokens[0], len(tokens)
+    for size in range(min(longest, n // 2), 0, -1):
+        if tokens[size] != first:
+            continue
+        times = 3 if size >= 3 else repeats + 1
+        if n >= times * size and all(tokens[k] == tokens[k - size] for k in range(size, times * size)) and any(tokens[:size]):
+            return size
+    return 0
 
 
-def without_loops(tokens: list[str], *, repeats: int = 3, longest: int = 8) -> list[int]:
-    """Places that stay when runs of one pattern shrink to a single copy.
+def loop_free(rows: Iterable[Row], token_of: Callable[[Row], str], *, repeats: int = 3, longest: int = 8) -> Iterator[Row]:
+    """Rows that stay when runs of one pattern of tokens shrink to a single copy.
 
     From left to right, the longest pattern that repeats at a place wins: three times for patterns of
-    three tokens or more, else once more than ``repeats``; patterns of blanks do not count.
+    three tokens or more, else once more than ``repeats``; patterns of blanks do not count.  Held are as many rows as
+    decide whether a loop begins; its further copies go as they come.
     """
-    n = len(tokens)
-    number = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
-    coded = np.fromiter((number[t] for t in tokens), np.int64, n)
-    said = np.concatenate([[0], np.cumsum(np.fromiter((t != "" for t in tokens), np.int64, n))])
-    unit, copies = np.zeros(n, np.int64), np.ones(n, np.int64)
-    for size in range(1, longest + 1):
-        times = repeats_from(coded, size)
-        loops = (times >= (3 if size >= 3 else repeats + 1)) & (said[np.minimum(np.arange(n) + size, n)] > said[:n])
-        unit[loops], copies[loops] = size, times[loops]
-    gone, free = np.zeros(n, bool), 0
-    for at in np.flatnonzero(unit).tolist():
-        if at >= free:
-            free = at + int(unit[at] * copies[at])
-            gone[at + unit[at] : free] = True
-    return np.flatnonzero(~gone).tolist()
+    ahead, source = max(3 * longest, 2 * (repeats + 1)), iter(rows)
+    held: list[Row] = []
+    tokens: list[str] = []
+    at, ended = 0, False
+
+    def filled(wanted: int) -> int:
+        """Rows held from ``at`` on, ``wanted`` of them if there are so many."""
+        nonlocal at, ended
+        if len(held) - at < wanted and not ended:
+            del held[:at], tokens[:at]
+            at = 0
+            new = list(islice(source, max(wanted, _AHEAD) - len(held)))
+            ended = len(held) + len(new) < max(wanted, _AHEAD)
+            held.extend(new)
+            tokens.extend(map(token_of, new))
+        return len(held) - at
+
+    while n := filled(ahead):
+        again = tokens[at] in tokens[at + 1 : at + 1 + longest]
+        size = loop_at(tokens[at : at + min(n, ahead)], repeats=repeats, longest=longest) if again else 0
+        if not size:
+            yield held[at]
+            at += 1
+            continue
+        yield from held[at : at + size]
+        pattern = tokens[at : at + size]
+        at += size
+        while filled(size) >= size and tokens[at : at + size] == pattern:
+            at += size
+
+
+def without_loops(tokens: list[str], *, repeats: int = 3, longest: int = 8) -> list[int]:
+    """The places of ``loop_free`` tokens."""
+    return [k for k, _ in loop_free(enumerate(tokens), itemgetter(1), repeats=repeats, longest=longest)]
 
 
 def suppress_loops(words: DataFrame, key: str, pos: str) -> DataFrame:
     word = words.columns.index("word")
+    return fold(words, key, pos, lambda rows: loop_free(rows, lambda r: spoken(r[word])), words.schema)
 
-    def walk(rows: Iterator[Row]) -> Iterator[Row]:
-        own = list(rows)
-        yield from (own[k] for k in without_loops([spoken(r[word]) for r in own]))
 
-    return fold(words, key, pos, walk, words.schema)
+def chunk_ends(cues: Iterable[tuple[float, float, str]], target: int) -> Iterator[bool]:
+    """For each cue (start, end, text) whether a chunk ends behind it: at pauses and closed thoughts near the target size.
+
+    What is left goes into one chunk if it is no more than a chunk may hold; so no more than that and one cue are held.
+    """
+    least, most = max(20, int(target * 0.7)), int(target * 1.3)
+    source, held = iter(cues), []
+
+    def worth(i: int) -> float:
+        (_, end, text), (start, _, following) = held[i], held[i + 1]
+        value = 15.0 * min(start - end, 2.0) - 0.4 * abs(i - target)
+        value += 6.0 * text.endswith(CLOSING) + 3.0 * text.endswith(CLOSING_WORDS)
+        return value - 4.0 * following.startswith(CONNECTIVES)
+
+    while True:
+        held += islice(source, most + 1 - len(held))
+        if len(held) <= most:
+            break
+        cut = max(range(least, most), key=worth) + 1 if least < most else target
+        yield from (k == cut - 1 for k in range(cut))
+        del held[:cut]
+    yield from (k == len(held) - 1 for k in range(len(held)))
 
 
 def chunk_numbers(starts: list[float], ends: list[float], texts: list[str], target: int) -> list[int]:
-    """The chunk of each cue: cuts at pauses and closed thoughts near the target size."""
-    least, most, n = max(20, int(target * 0.7)), int(target * 1.3), len(texts)
-    out, at, number = [0] * n, 0, 0
-    while n - at > most:
-
-        def worth(i: int, at: int = at) -> float:
-            value = 15.0 * min(starts[i + 1] - ends[i], 2.0) - 0.4 * abs(i - at - target)
-            value += 6.0 * texts[i].endswith(CLOSING) + 3.0 * texts[i].endswith(CLOSING_WORDS)
-            return value - 4.0 * texts[i + 1].startswith(CONNECTIVES)
-
-        places = range(at + least, min(n - 1, at + most))
-        cut = max(places, key=worth) + 1 if places else min(n, at + target)
-        out[at:cut] = [number] * (cut - at)
-        at, number = cut, number + 1
-    out[at:] = [number] * (n - at)
-    return out
+    """The chunk of each cue."""
+    return list(accumulate(chunk_ends(zip(starts, ends, texts, strict=True), target), initial=0))[: len(texts)]
 
 
 def semantic_chunks(cues: DataFrame, key: str, pos: str, target: int = 80) -> DataFrame:
@@ -227,9 +255,17 @@ def semantic_chunks(cues: DataFrame, key: str, pos: str, target: int = 80) -> Da
     start, end, text = map(cues.columns.index, ("start", "end", "text"))
 
     def walk(rows: Iterator[Row]) -> Iterator[Row]:
-        own = list(rows)
-        chunks = chunk_numbers([r[start] for r in own], [r[end] for r in own], [r[text] for r in own], target)
-        yield from ((*row, chunk) for row, chunk in zip(own, chunks, strict=True))
+        waiting: deque[Row] = deque()
+
+        def read() -> Iterator[tuple[float, float, str]]:
+            for row in rows:
+                waiting.append(row)
+                yield row[start], row[end], row[text]
+
+        chunk = 0
+        for ends in chunk_ends(read(), target):
+            yield (*waiting.popleft(), chunk)
+            chunk += ends
 
     return fold(cues, key, pos, walk, StructType([*cues.schema, StructField("chunk", LongType())]))
 
@@ -265,7 +301,7 @@ def _timed_fold(cues: DataFrame, key: str, pos: str, walk: Callable[[Iterator[Ro
     at, start, end = [cues.columns.index(c) for c in read], cues.columns.index("start"), cues.columns.index("end")
 
     def each(rows: Iterator[Row]) -> Iterator[Row]:
-        waiting: list[Row] = []
+        waiting: deque[Row] = deque()
 
         def columns() -> Iterator[Row]:
             for row in rows:
@@ -273,7 +309,7 @@ def _timed_fold(cues: DataFrame, key: str, pos: str, walk: Callable[[Iterator[Ro
                 yield tuple(row[k] for k in at)
 
         for s, e in walk(columns()):
-            row = list(waiting.pop(0))  # a walk is a row or two behind what it has read
+            row = list(waiting.popleft())  # a walk is a row or two behind what it has read
             row[start], row[end] = s, e
             yield tuple(row)
 

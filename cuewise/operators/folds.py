@@ -211,6 +211,22 @@ def loop_free(rows: Iterable[Row], token_of: Callable[[Row], str], *, repeats: i
             at += size
 
 
+def best_by_margin(rows: DataFrame, key: str, pos: str, score: str, margin: float) -> DataFrame:
+    """The row of each key that wins in order of ``pos``: a later one must beat the best so far by more than ``margin``, so the first of
+    nearly equal ones stays.  Only the best row is held; rows without a score do not take part."""
+    at = rows.columns.index(score)
+
+    def walk(own: Iterator[Row]) -> Iterator[Row]:
+        best: Row | None = None
+        for row in own:
+            if best is None or row[at] > best[at] + margin:
+                best = row
+        if best is not None:
+            yield best
+
+    return fold(rows.where(F.col(score).isNotNull()), key, pos, walk, rows.schema)
+
+
 def without_loops(tokens: list[str], *, repeats: int = 3, longest: int = 8) -> list[int]:
     """The places of ``loop_free`` tokens."""
     return [k for k, _ in loop_free(enumerate(tokens), itemgetter(1), repeats=repeats, longest=longest)]

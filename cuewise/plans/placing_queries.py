@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import timeline
+from ..functions import text
+from ..functions.spoken import normalise_alignment
+from ..operators import align, folds, timeline
 from ..sources import derived
 from . import oracle as O
 
@@ -56,7 +58,26 @@ def piecewise_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.piecewise(offsets.select(KEY, POS, F.col("text_offset").alias("at")), blocks, KEY, sizes).select(KEY, POS, "place")
 
 
-QUERIES = {f.__name__: f for f in (interpolate_unlocked, piecewise_places)}
+def margin_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the cue with the most characters a second, where later ones must beat the best by more than two."""
+    cues = derived.cues(spark, sf_dir)
+    rated = cues.select(KEY, POS, (F.length("text") * 1000 / (F.col("end_ms") - F.col("start_ms"))).alias("score"))
+    return folds.best_by_margin(rated, KEY, POS, "score", 2.0)
+
+
+def question_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues, every stop a question, cut behind questions."""
+    return derived.cues(spark, sf_dir).select(KEY, POS, F.posexplode(text.questions(F.translate("text", ".", "?"))).alias("part", "text"))
+
+
+def neighbour_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each cue's written form fits that of the cue before, in ten thousandths."""
+    written = derived.cues(spark, sf_dir).select(KEY, POS, normalise_alignment("text").alias("written"))
+    both = written.withColumn("before", F.lag("written").over(timeline.order(KEY, POS)))
+    return both.select(KEY, POS, F.bround(align.likeness_of("before", "written") * 10_000).cast("long").alias("likeness"))
+
+
+QUERIES = {f.__name__: f for f in (interpolate_unlocked, piecewise_places, margin_best, question_split, neighbour_likeness)}
 
 _HEARD = O.WORDS + """,
 heard AS (
@@ -69,6 +90,13 @@ sizes AS (SELECT doc_id, max(last) + 1 AS heard FROM spans GROUP BY doc_id)
 """
 
 ORACLES = {
+    "margin_best": O.CUES + """, rated AS (SELECT doc_id, line_no, length(text) * 1000 / (end_ms - start_ms) AS score FROM cues),
+listed AS (SELECT doc_id, list({'line_no': line_no, 'score': score} ORDER BY line_no) AS rows FROM rated GROUP BY doc_id),
+best AS (SELECT doc_id, list_reduce(rows, lambda a, x: CASE WHEN x.score > a.score + 2.0::DOUBLE THEN x ELSE a END) AS b FROM listed)
+SELECT doc_id, b.line_no AS line_no, b.score AS score FROM best""",
+    # The blanks behind a question become one sign that texts do not hold, and are cut there.
+    "question_split": O.CUES + r""", cut AS (SELECT doc_id, line_no, string_split(regexp_replace(translate(text, '.', '?'), '([？?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM cues)
+SELECT doc_id, line_no, CAST(u.part - 1 AS INTEGER) AS part, parts[u.part] AS text FROM cut, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS part) u""",
     # Characters are not listed: one's time follows from the word it is in.
     "interpolate_unlocked": _HEARD + """,
 flagged AS (

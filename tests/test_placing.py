@@ -79,3 +79,39 @@ def test_places_equal_those_of_realigning(spark):
 def test_places_without_blocks(spark, at):
     p, s = spark.createDataFrame([(1, at)], "k int, at long"), spark.createDataFrame([(1, 4)], "k int, heard_size long")
     assert timeline.piecewise(p, spark.createDataFrame([], "k int, text_at long, heard_at long, size long"), "k", s).collect()[0].place is None
+
+
+def test_likeness_of_neighbours(spark):
+    """Every cue of the table against the formula, matched characters from the standard library's matcher."""
+    from difflib import SequenceMatcher
+
+    from cuewise.plans.registry import QUERIES
+    from cuewise.sources import derived
+
+    from . import plain
+    from .against import SF
+
+    got = {(r.doc_id, r.line_no): r.likeness for r in QUERIES["neighbour_likeness"](spark, SF).collect()}
+    before = None
+    for r in derived.cues(spark, SF).orderBy("doc_id", "line_no").collect():
+        wanted, heard = plain.spoken(r.text), before[1] if before and before[0] == r.doc_id else None
+        before = r.doc_id, wanted
+        if not heard or not wanted:
+            assert got[r.doc_id, r.line_no] is None
+            continue
+        common = sum(b.size for b in SequenceMatcher(None, heard, wanted).get_matching_blocks())
+        second = len(heard) > 1 and len(wanted) > 1
+        ends = (0.15 if heard[0] == wanted[0] else 0.08 if second and heard[1] == wanted[1] else 0.0) + (0.10 if heard[-1] == wanted[-1] else 0.05 if second and heard[-2] == wanted[-2] else 0.0)
+        want = 0.50 * common / len(wanted) + 0.25 * common / len(heard) + ends if common else 0.0
+        assert got[r.doc_id, r.line_no] == pytest.approx(10_000 * want, abs=0.51)
+    assert len(got) > 1000
+
+
+def test_the_first_of_nearly_equal_rows_wins(spark):
+    from cuewise.operators import folds
+
+    scores = {"a": [1.0, 1.5, 1.2, 2.1, 2.2], "b": [None, -3.0, None], "c": [None], "d": [5.0, 4.0]}
+    rows = [(k, n, s, "x") for k, own in scores.items() for n, s in enumerate(own)]
+    table = spark.createDataFrame(rows, "k string, pos int, score double, more string").repartition(3)
+    got = sorted((r.k, r.pos, r.score) for r in folds.best_by_margin(table, "k", "pos", "score", 1.0).collect())
+    assert got == [("a", 3, 2.1), ("b", 1, -3.0), ("d", 0, 5.0)]

@@ -3,15 +3,17 @@
 Method: overlapping heuristic labellers vote good, bad or nothing on each document.
 Expectation-maximisation over the votes estimates how often each is right for
 good and for bad documents, and how common those are, without any true label.  The
-posteriors label a training sample for a linear scorer on hashed features: byte
-n-grams, and the faults that labellers found, which n-grams alone cannot see.  The
-scorer then decides on every document from its whole text, whether anybody voted or not.
+posteriors label a training sample for a linear scorer on hashed byte n-grams and
+two measured shares that n-grams cannot hold: words that repeat the word before, and lines that
+repeat an earlier line.  Labellers only teach: no vote is a feature of the scorer, which
+decides on every document from its whole text, whether anybody voted or not.
 
 Scale: votes depend on a text alone, so their patterns are counted in one pass;
 three outcomes a labeller bound the number of patterns (3^9), and only those
 counts reach the driver.  The scorer is fitted on a bounded sample (``train_rows``,
 of a longer text a chunk of ``train_chars``; its votes are those of the whole text), chosen and
-ordered by a hash of id and text.  Scoring is a map without a shuffle; the model's size is fixed.
+ordered by a hash of id and text.  Scoring is a map without a shuffle and without votes, unless
+their posterior is asked for; the model's size is fixed.
 
 Edge cases: a null, empty or blank text has no votes, quality null, and is kept
 only by ``keep_empty``; ties in the score go to keep; rows with equal or null ids
@@ -35,8 +37,8 @@ from .hashed import averages, counted
 
 GRAMS, BITS = (2, 3), 16
 GOOD, BAD, NONE = 1, 0, 2
-#: What a fault counts as a feature, beside n-grams' shares.
-FAULT = 0.1
+#: What a share of repeats counts as a feature, beside n-grams' shares.
+REPEATS = 0.3
 #: A one-sided labeller's rate on good documents starts from this share of its rate on bad ones.
 FALSE_ALARM = 0.005
 #: Very common words of four languages.
@@ -149,30 +151,31 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 60, pr
     return model
 
 
-def fault_slots(cast: tuple[int, ...]) -> np.ndarray:
-    """The scorer's features of the faults that labellers found."""
-    found = np.flatnonzero(np.array(cast) == BAD).astype(np.uint64)
-    return ((found + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+def repeats(text: str) -> tuple[float, float]:
+    """The shares of words that equal the word before, and of lines that an earlier line equals."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    return sum(map(eq, words, words[1:])) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0
 
 
 @dataclass
 class Scorer:
+    """Weights of the n-grams' buckets, then of the two shares of repeats."""
+
     weight: np.ndarray
     bias: float
 
-    def score(self, texts: list[str], cast: list[tuple[int, ...]]) -> np.ndarray:
-        """Quality from 0 to 1 of texts with their votes."""
-        faults = np.array([self.weight[fault_slots(c)].sum() * FAULT for c in cast])
-        return 1 / (1 + np.exp(-np.clip(averages(texts, self.weight[:, None], GRAMS, BITS)[:, 0] + faults + self.bias, -500, 500)))
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Quality of each text from 0 to 1."""
+        shares = np.array([repeats(t) for t in texts]).reshape(-1, 2) @ self.weight[2**BITS :] * REPEATS
+        return 1 / (1 + np.exp(-np.clip(averages(texts, self.weight[: 2**BITS, None], GRAMS, BITS)[:, 0] + shares + self.bias, -500, 500)))
 
 
-def fit_scorer(texts: list[str], cast: list[tuple[int, ...]], target: np.ndarray, *, epochs: int = 6, rate: float = 60.0, seed: int = 3) -> Scorer:
-    """Logistic regression on n-gram shares and faults by stochastic gradient descent, both classes weighing the same."""
-    rows, rng = [], np.random.default_rng(seed)
-    for (index, part), c in zip(counted(texts, GRAMS, BITS), cast, strict=True):
-        faults = fault_slots(c)
-        rows.append((np.concatenate([index.astype(np.int64), faults]), np.concatenate([part, np.full(len(faults), FAULT)])))
-    weight, bias = np.zeros(2**BITS), 0.0
+def fit_scorer(texts: list[str], target: np.ndarray, *, epochs: int = 6, rate: float = 60.0, seed: int = 3) -> Scorer:
+    """Logistic regression on shares of n-grams and repeats by stochastic gradient descent, both classes weighing the same."""
+    rows, rng, slots = [], np.random.default_rng(seed), 2**BITS + np.arange(2)
+    for (index, part), text in zip(counted(texts, GRAMS, BITS), texts, strict=True):
+        rows.append((np.concatenate([index.astype(np.int64), slots]), np.concatenate([part, np.multiply(repeats(text), REPEATS)])))
+    weight, bias = np.zeros(2**BITS + 2), 0.0
     share = np.clip(target.mean(), 0.02, 0.98) if len(target) else 0.5
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -185,11 +188,6 @@ def fit_scorer(texts: list[str], cast: list[tuple[int, ...]], target: np.ndarray
     return Scorer(weight, bias)
 
 
-def digits(found: np.ndarray) -> list[tuple[int, ...]]:
-    """The votes that ``pattern`` made numbers of."""
-    return [tuple(row) for row in (found[:, None] // 3 ** np.arange(len(LABELLERS)) % 3).tolist()]
-
-
 def _with_votes(rows: DataFrame) -> DataFrame:
     """Rows (hash, text) as (hash, votes)."""
 
@@ -231,24 +229,24 @@ def fit(docs: DataFrame, *, train_rows: int = 6000, train_chars: int = 20_000) -
     # A few more are drawn than are wanted; one at least, however many rows repeat.
     share = int(space * min(1.0, (train_rows + 5 * train_rows**0.5) / counts["n"].sum()))
     texts, found = _sample(rows, max(share, int(counts["first"].min()) + 1), train_rows, train_chars)
-    return labels, fit_scorer(texts, digits(found), labels.posterior(found))
+    return labels, fit_scorer(texts, labels.posterior(found))
 
 
-def _scored(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFrame:
-    """The columns of ``docs`` as c0, c1, ..., then posterior (of the votes) and quality (of the scorer)."""
+def _scored(docs: DataFrame, model: tuple[LabelModel, Scorer] | None, *, voted: bool = False) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ..., then posterior (of the votes, if ``voted``) and quality (of the scorer)."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            cast = [votes(t) for t in texts]
-            some = np.array([c is not None for c in cast], bool)
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            some = np.array([bool(t) and not t.isspace() for t in texts], bool)
             posterior, quality = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             if model is not None and some.any():
-                voted = [c for c in cast if c is not None]
-                posterior[some] = model[0].posterior(np.array([pattern(c) for c in voted], np.int64))
-                quality[some] = model[1].score([t for t, s in zip(texts, some, strict=True) if s], voted)
+                worded = [t for t, s in zip(texts, some, strict=True) if s]
+                quality[some] = model[1].score(worded)
+                if voted:
+                    posterior[some] = model[0].posterior(np.array([pattern(votes(t)) for t in worded], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(posterior, from_pandas=True), pa.array(quality, from_pandas=True)], names=[*names, "posterior", "quality"])
 
     schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("posterior", DoubleType()), StructField("quality", DoubleType())])
@@ -257,7 +255,7 @@ def _scored(docs: DataFrame, model: tuple[LabelModel, Scorer] | None) -> DataFra
 
 def classify(docs: DataFrame, *, keep_from: float = 0.5, train_rows: int = 6000, train_chars: int = 20_000, keep_empty: bool = False) -> DataFrame:
     """doc_id, posterior, quality and keep for every row."""
-    scored = _scored(docs.select("doc_id", "text"), fit(docs, train_rows=train_rows, train_chars=train_chars))
+    scored = _scored(docs.select("doc_id", "text"), fit(docs, train_rows=train_rows, train_chars=train_chars), voted=True)
     return scored.select(F.col("c0").alias("doc_id"), "posterior", "quality", F.coalesce(F.col("quality") >= keep_from, F.lit(keep_empty)).alias("keep"))
 
 

@@ -340,19 +340,21 @@ def test_quality_of_odd_rows(spark):
 
 
 def test_quality_scores_are_those_of_a_plain_computation():
-    """The scorer by brute force: n-gram by n-gram, fault by fault."""
-    texts = ["the old town", "AB$$ CD!! EFGH$$ IJ## KLM?? NOP!!", "été à la plage | a | b | c"]
+    """The scorer by brute force: n-gram by n-gram, repeat by repeat."""
+    texts = ["the old town", "AB$$ CD!! EFGH$$ IJ## KLM?? NOP!!", "été à la plage | a | b | c", "the the old old old town\n\nthe town\n  \nthe town\nthe town"]
     rng = np.random.default_rng(4)
-    scorer = quality.Scorer(rng.normal(size=2**quality.BITS), 0.3)
+    scorer = quality.Scorer(rng.normal(size=2**quality.BITS + 2), 0.3)
     from cuewise.llm.hashed import buckets
 
-    for text, got in zip(texts, scorer.score(texts, [quality.votes(t) for t in texts]), strict=True):
+    for text, got in zip(texts, scorer.score(texts), strict=True):
         raw, held = b"\n" + text.encode() + b"\n", []
         for n in quality.GRAMS:
             grams = [raw[i : i + n] for i in range(len(raw) - n + 1)]
             held += [scorer.weight[buckets(np.frombuffer(g, np.uint8), n, quality.BITS)[0]] for g in grams if not any(c in b" \t\n\v\f\r" for c in g[1:-1])]
-        faults = sum(scorer.weight[quality.fault_slots(tuple(quality.BAD if j == k else quality.NONE for j in range(9)))[0]] * quality.FAULT for k, v in enumerate(quality.votes(text)) if v == quality.BAD)
-        assert got == pytest.approx(1 / (1 + np.exp(-(np.mean(held) + faults + 0.3))), rel=1e-9)
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        same = sum(words[i] == words[i - 1] for i in range(1, len(words))) / len(words)
+        seen = sum(lines[i] in lines[:i] for i in range(len(lines))) / len(lines)
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.mean(held) + quality.REPEATS * (same * scorer.weight[-2] + seen * scorer.weight[-1]) + 0.3))), rel=1e-9)
 
 
 def test_language_of_odd_texts(docs):
@@ -367,7 +369,17 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     kept = quality.kept_documents(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id")
     assert kept.join(good, "doc_id").count() >= 0.99 * good.count()
     bad = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").select("doc_id")
-    assert kept.join(bad, "doc_id").count() <= 0.1 * bad.count()
+    assert kept.join(bad, "doc_id").count() <= 0.05 * bad.count()
+
+
+def test_the_scorer_goes_beyond_the_votes(spark):
+    """Junk that nobody voted on goes, and a false alarm stays: labellers teach and do not decide."""
+    _, scorer = quality.fit(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
+    clean = "The old house by the river that the people of the town like to walk to in the evening "
+    junk = ["### %%% @@@ ***", "Th*** iner%%% #&&&", "&&&### ***@@@"]
+    alarms = [clean + "when when the the rain rain is over.", clean + "| open all day | free | for all |", clean + "over!! and they?? stay"]
+    assert all(set(quality.votes(t)) == {quality.NONE} for t in junk) and all(quality.BAD in quality.votes(t) for t in alarms)
+    assert (scorer.score(junk) < 0.1).all() and (scorer.score(alarms) > 0.8).all()
 
 
 def test_em_finds_the_accuracies():

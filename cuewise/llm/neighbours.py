@@ -5,9 +5,11 @@ A vector goes into the list of its nearest centroid and, at a boundary, into tho
 other centroids nearly as near, unless a list already chosen lies between.
 For queries the centroids are searched through a neighbour graph held in memory, and a
 distance ratio to the best one selects the lists that a query reads.  The ratio and the most lists
-follow from the table: some queries (``tried``) are compared with
-all vectors, and of the pairs of a ratio and a number that find ``aim`` of those neighbours that with the
-fewest lists on average is taken.  Inner products
+follow from the table: some queries of different vectors (``tried``) are compared with
+all vectors, and of the pairs of a ratio and a number that find ``aim`` of those neighbours, and ``hard_aim`` of those of
+the quarter of them that finds least, that with the
+fewest lists on average is taken; so many queries that are easy do not make up for a few that find little.
+A query reads on until its lists surely hold ``k`` other rows.  Inner products
 become distances by one more component that brings all vectors to one length.
 
 Scale: lists follow the number of vectors up to ``max_lists`` and a quarter of the sample, which bounds the graph that tasks hold, as
@@ -91,7 +93,9 @@ def balanced_centroids(points: np.ndarray, k: int, *, rounds: int = 12, seed: in
     distinct = np.unique(points, axis=0)
     k = min(k, len(distinct))
     centroids = distinct[rng.choice(len(distinct), k, replace=False)]
-    sizes, scale = np.full(k, len(points) / k), points.var(axis=0).sum() * k / len(points)
+    # By the median, as one far point would make the share outweigh all distances.
+    spread = np.median(((points - np.median(points, axis=0)) ** 2).sum(axis=1))
+    sizes, scale = np.full(k, len(points) / k), spread * k / len(points)
     for _ in range(rounds):
         load = 0.1 * scale * (sizes - len(points) / k)
         owner = np.concatenate([np.argmin((centroids**2).sum(axis=1) - 2 * points[a : a + 2048] @ centroids.T + load, axis=1) for a in range(0, len(points), 2048)])
@@ -109,14 +113,21 @@ def centroid_tree(points: np.ndarray, k: int, *, wide: int = 64) -> np.ndarray:
         return balanced_centroids(points, max(1, k))
     top = balanced_centroids(points, min(wide, round(k**0.5)))
     owner = np.concatenate([np.argmin((top**2).sum(axis=1) - 2 * points[a : a + 2048] @ top.T, axis=1) for a in range(0, len(points), 2048)])
-    own = [points[owner == c] for c in range(len(top))]
-    return np.concatenate([centroid_tree(part, max(1, round(k * len(part) / len(points))), wide=wide) for part in own if len(part)])
+    own = [part for part in (points[owner == c] for c in range(len(top))) if len(part)]
+    if len(own) < 2:  # equal points, or as good as
+        return balanced_centroids(points, wide)
+    return np.concatenate([centroid_tree(part, max(1, round(k * len(part) / len(points))), wide=wide) for part in own])
 
 
-def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors with the component that brings them all to the longest one's length."""
-    rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-    return np.concatenate([vectors, rest[:, None]], axis=1)
+def lifted(vectors: np.ndarray, longest: float, *, shifted: bool = False) -> np.ndarray:
+    """Vectors with the component that brings them all to the longest one's length; ``shifted``: less that length.
+
+    The shift changes no distance, and short vectors beside a very long one keep their digits.
+    """
+    norms = (vectors**2).sum(axis=1)
+    rest = np.sqrt(np.maximum(longest**2 - norms, 0))
+    last = -norms / np.maximum(longest + rest, _TINY) if shifted else rest
+    return np.concatenate([vectors, last[:, None]], axis=1)
 
 
 def closures(centroids: np.ndarray, points: np.ndarray, copies: int, ratio: float) -> list[list[int]]:
@@ -165,26 +176,44 @@ def true_neighbours(rows: DataFrame, points: np.ndarray, ids: np.ndarray, k: int
     return [(r.q, np.array([b.vec for b in r.best])) for r in found.groupBy("q").agg(first.alias("best")).collect()]
 
 
-def lists_needed(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: float) -> int:
-    """The fewest nearest lists (within an eighth) that hold ``aim`` of each query's neighbours on average, found through the graph."""
+@dataclass(frozen=True)
+class Aim:
+    """What share of their true neighbours the queries that are tried have to find: all of them, and the hardest quarter."""
+
+    mean: float
+    hard: float
+
+    @classmethod
+    def of(cls, aim: Aim | float) -> Aim:
+        return aim if isinstance(aim, Aim) else cls(aim, 0.0)
+
+    def met(self, recalls: np.ndarray) -> bool:
+        least = np.sort(recalls)[: -(-len(recalls) // 4)]
+        return bool(recalls.mean() >= self.mean - 1e-9 and least.mean() >= self.hard - 1e-9)
 
-    def recall(want: int) -> float:
+
+def lists_needed(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: Aim | float) -> int:
+    """The fewest nearest lists (within an eighth) with which the ``aim`` is met, found through the graph."""
+
+    aim = Aim.of(aim)
+
+    def recalls(want: int) -> np.ndarray:
         read = {q: set(graph.nearest(points[q], want)[0].tolist()) for q, _ in neighbours}
-        return float(np.mean([np.mean([not read[q].isdisjoint(lists) for lists in own]) for q, own in neighbours]))
+        return np.array([np.mean([not read[q].isdisjoint(lists) for lists in own]) for q, own in neighbours])
 
     want, most = 1, len(graph.centroids)
-    while want < most and recall(want) < aim:
+    while want < most and not aim.met(recalls(want)):
         want = min(most, want + max(1, want // 8))
     return want
 
 
-def pruning(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: float, needed: int) -> tuple[int, float, float]:
+def pruning(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[list[int]]]], aim: Aim | float, needed: int) -> tuple[int, float, float]:
     """(most, ratio, mean): of the nearest ``most`` lists a query reads those within ``ratio`` of the first one's distance, ``mean`` on average.
 
-    Of the pairs that find as many neighbours as the nearest ``needed`` lists have to, that with the fewest lists
+    Of the pairs that meet the ``aim``, as the nearest ``needed`` lists do, that with the fewest lists
     read; with more lists to choose from, the ratio can be smaller.
     """
-    best = (needed, np.inf, float(needed))
+    aim, best = Aim.of(aim), (needed, np.inf, float(needed))
     for most in sorted({min(len(graph.centroids), round(needed * wider)) for wider in (1, 1.25, 1.5, 2, 3)}):
         ratios, found = [], []
         for q, own in neighbours:
@@ -192,20 +221,34 @@ def pruning(graph: Graph, points: np.ndarray, neighbours: list[tuple[int, list[l
             ratio = np.sqrt((d + _TINY) / (d[0] + _TINY))
             ratios.append(ratio)
             at = dict(zip(near.tolist(), ratio.tolist(), strict=True))
-            found.append(np.sort([min((at[x] for x in lists if x in at), default=np.inf) for lists in own]))
-        # Each query's neighbours weigh the same in all; the smallest ratio that finds enough is one at which some neighbour is found.
-        places = np.concatenate(found)
-        order = np.argsort(places, kind="stable")
-        weights = np.concatenate([np.full(len(f), 1 / len(f) / len(found)) for f in found])[order]
-        enough = np.searchsorted(np.cumsum(weights), aim - 1e-9)
-        if enough < len(order) and np.isfinite(places[order[enough]]):
-            ratio = float(places[order[enough]])
+            found.append(np.array([min((at[x] for x in lists if x in at), default=np.inf) for lists in own]))
+        # The smallest ratio that finds enough is one at which some neighbour is found.
+        places = np.unique(np.concatenate(found))
+        places = places[np.isfinite(places)]
+        low, high = 0, len(places)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if aim.met(np.array([(f <= places[middle]).mean() for f in found])) else (middle + 1, high)
+        if low < len(places):
+            ratio = float(places[low])
             mean = float(np.mean([(r <= ratio * (1 + 1e-9)).sum() for r in ratios]))
             if mean < best[2]:
                 best = most, ratio * (1 + 1e-9), mean
     return best
 
 
+def read_lists(graph: Graph, sizes: np.ndarray, point: np.ndarray, probes: int, least_probes: int, ratio: float, enough: int) -> np.ndarray:
+    """The lists that a query reads, in order: those within ``ratio``, ``least_probes`` at least, and on until they hold ``enough`` rows."""
+    near, d = graph.nearest(point, probes)
+    if sizes[near].sum() < enough:
+        d = ((graph.centroids - point) ** 2).sum(axis=1)
+        near = np.argsort(d, kind="stable")
+        near = near[: max(probes, int(np.searchsorted(np.cumsum(sizes[near]), enough)) + 1)]
+        d = d[near]
+    held = np.cumsum(sizes[near]) - sizes[near]
+    return np.sort(near[((d + _TINY <= ratio**2 * (d[0] + _TINY)) & (np.arange(len(d)) < probes)) | (np.arange(len(d)) < least_probes) | (held < enough)])
+
+
 def search(
     table: DataFrame,
     is_query: Column,
@@ -224,6 +267,7 @@ def search(
     ask_rows: int = 4096,
     tried: int = 100,
     aim: float = 0.96,
+    hard_aim: float = 0.92,
 ) -> DataFrame:
     """Each query's ``k`` nearest other rows found: query_id, rank, vec_id, score (the inner product).
 
@@ -234,37 +278,40 @@ def search(
     staging = Staging(spark, "neighbours")
     rows = of_one_length(usable(table, zero=False)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     rows = staging.write(rows, "rows")
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    # Lists are made of vectors brought to components within 1, whose squares neither overflow nor vanish.
+    scale = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.lit(scale)) * (x / F.lit(scale)))
     n, longest = rows.agg(F.count("*"), F.sqrt(F.coalesce(F.max(norm), F.lit(0.0)))).first()
     space = 1 << 30
     share = int(space * min(1.0, sample_rows / max(1, n)))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(space)) < share).limit(2 * sample_rows).select("vec").toPandas()["vec"] if n else []
     if len(sample) == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = lifted(np.stack(list(sample)), longest)
+    points = lifted(np.stack(list(sample)) / scale, longest, shifted=True)
     lists = int(min(max_lists, max(1, n // list_rows), max(1, len(points) // 4)))
     graph = Graph.build(centroid_tree(points, lists))
 
     def placed(vectors: np.ndarray) -> np.ndarray:
         # Of a query only the direction matters; at the lifted radius its own distances compare best.
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return np.concatenate([vectors / np.where(lengths > 0, lengths, 1) * longest, np.zeros((len(vectors), 1))], axis=1)
+        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        return np.concatenate([vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * longest, np.full((len(vectors), 1), -longest)], axis=1)
 
     if lists > least_probes:
-        asking = rows.where(is_query)
+        asking = rows.where(is_query).groupBy("vec").agg(F.min("vec_id").alias("vec_id"))
         some = int(space * min(1.0, 2 * tried / max(1, asking.count())))
         trial = asking.where(F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(space)) < some).limit(tried).select("vec_id", "vec").toPandas()
         if len(trial):
             asked = np.stack(list(trial["vec"]))
             near = true_neighbours(rows, asked, trial["vec_id"].to_numpy(np.int64), k)
-            homes = [(q, closures(graph.centroids, lifted(v, longest), copies, boundary_ratio)) for q, v in near]
-            needed = lists_needed(graph, placed(asked), homes, aim) if homes else 1
-            probes, prune_ratio, _ = pruning(graph, placed(asked), homes, aim, needed) if homes else (probes, prune_ratio, 0.0)
+            homes = [(q, closures(graph.centroids, lifted(v / scale, longest, shifted=True), copies, boundary_ratio)) for q, v in near]
+            wanted = Aim(aim, hard_aim)
+            needed = lists_needed(graph, placed(asked), homes, wanted) if homes else 1
+            probes, prune_ratio, _ = pruning(graph, placed(asked), homes, wanted, needed) if homes else (probes, prune_ratio, 0.0)
             probes = max(probes, least_probes)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = closures(graph.centroids, lifted(matrix(batch.column(1)), longest), copies, boundary_ratio)
+            found = closures(graph.centroids, lifted(matrix(batch.column(1)) / scale, longest, shifted=True), copies, boundary_ratio)
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array([c for f in found for c in f], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "vec_id", "vec"])
 
@@ -272,8 +319,7 @@ def search(
         for batch in batches:
             at, groups, wanted = [], [], []
             for i, point in enumerate(placed(matrix(batch.column(1)))):
-                near, d = graph.nearest(point, probes)
-                read = np.sort(near[(d + _TINY <= prune_ratio**2 * (d[0] + _TINY)) | (np.arange(len(d)) < least_probes)])
+                read = read_lists(graph, list_sizes, point, probes, least_probes, prune_ratio, enough)
                 for part in np.split(read, np.flatnonzero(np.diff(read // group_lists)) + 1):
                     at.append(i)
                     groups.append(int(part[0]) // group_lists)
@@ -282,6 +328,11 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(wanted, pa.list_(pa.int32()))], names=["group", "query_id", "query", "lists"])
 
     posted = staging.write(rows.mapInArrow(post, "list int, vec_id long, vec array<double>").withColumn("group", F.floor(F.col("list") / group_lists).cast("int")), "lists")
+    list_sizes = np.zeros(len(graph.centroids), np.int64)
+    for row in posted.groupBy("list").count().collect():
+        list_sizes[row["list"]] = row["count"]
+    # A vector is in at most ``copies`` lists, so these many rows are of more than k different ones.
+    enough = copies * (k + 1)
     queries = staging.write(rows.where(is_query).mapInArrow(probe, "group int, query_id long, query array<double>, lists array<int>"), "asking")
     cut = lambda found, most, name: found.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     sizes = cut(posted, chunk_rows, "chunks").join(cut(queries, ask_rows, "asks"), "group")

@@ -135,3 +135,38 @@ def test_vectors_are_placed_alike_however_many_are_compared_at_a_time(monkeypatc
     whole = neighbours.closures(centroids, lifted, 4, 1.15)
     monkeypatch.setattr(neighbours, "_COMPARED", 1000)
     assert neighbours.closures(centroids, lifted, 4, 1.15) == whole
+
+
+def recall_of(spark, points):
+    """(mean recall, of the worse half of queries, rows found) against brute force."""
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    got: dict = {}
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, list_rows=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = []
+    for q in range(0, len(points), 20):
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        found.append(len(got.get(q, set()) & set(np.argsort(-scores, kind="stable")[:20].tolist())) / 20)
+    return np.mean(found), np.mean(np.sort(found)[: len(found) // 2]), sum(map(len, got.values()))
+
+
+def test_one_very_long_vector_does_not_blur_the_others(spark):
+    points = np.random.default_rng(8).normal(size=(1500, 24))
+    points[7] *= 1e9
+    mean, _, rows = recall_of(spark, points)
+    assert mean >= 0.93 and rows == 75 * 20
+
+
+def test_easy_queries_do_not_hide_those_that_find_little(spark):
+    """Two of three vectors are nearly the same; their queries find all in any case."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(3000, 24))
+    points[1000:] = points[0] + 1e-6 * rng.normal(size=(2000, 24))
+    points = points[rng.permutation(3000)]
+    mean, worse, _ = recall_of(spark, points)
+    assert mean >= 0.93 and worse >= 0.9
+
+
+def test_equal_points_end_the_tree():
+    assert len(neighbours.centroid_tree(np.ones((500, 8)), 100)) == 1

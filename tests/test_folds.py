@@ -86,3 +86,17 @@ def test_chunks_are_closed_as_cues_come():
             sizes.append(size)
             size = 0
     assert size == 0 and sum(sizes) == 5000 and all(56 < s <= 104 for s in sizes[:-1]) and sizes[-1] <= 104
+
+
+def shuffles(rows) -> int:
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_words_and_segments_stay_where_their_documents_are(spark):
+    """Lines are dealt once; neither words nor segments are shuffled or put in windows behind that."""
+    from cuewise.plans import fold_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("segment_words", "suppress_loops"):
+        assert shuffles(Q.QUERIES[name](spark, sf)) == 1
+    assert Q._words(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

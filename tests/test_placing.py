@@ -115,3 +115,43 @@ def test_the_first_of_nearly_equal_rows_wins(spark):
     table = spark.createDataFrame(rows, "k string, pos int, score double, more string").repartition(3)
     got = sorted((r.k, r.pos, r.score) for r in folds.best_by_margin(table, "k", "pos", "score", 1.0).collect())
     assert got == [("a", 3, 2.1), ("b", 1, -3.0), ("d", 0, 5.0)]
+
+
+def _matched(heard: str, wanted: str) -> int:
+    from difflib import SequenceMatcher
+
+    return sum(b.size for b in SequenceMatcher(None, heard, wanted).get_matching_blocks())
+
+
+def test_common_characters_are_those_of_difflib(monkeypatch):
+    """Over short and long texts, few and many different characters; lines of usual length never reach the matcher itself."""
+    r = random.Random(3)
+    some = lambda signs, n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü0123456789"[:signs]) for _ in range(n))
+    pairs = []
+    for _ in range(400):
+        signs = r.choice([1, 2, 4, 20, 39])
+        wanted = some(signs, r.choice([r.randrange(1, 330), r.randrange(195, 205)]))
+        heard = "".join(c if r.random() < 0.8 else r.choice(["", "z", some(signs, 3)]) for c in wanted)
+        pairs += [(heard, wanted), (some(signs, r.randrange(1, 400)), wanted)]
+    want = [_matched(*p) for p in pairs]
+    monkeypatch.setattr(align, "SequenceMatcher", None)
+    assert [align.Wanted(w).common(h) for h, w in pairs] == want
+
+
+def test_common_characters_of_very_long_texts():
+    r = random.Random(4)
+    wanted = "".join(r.choice("abcdefghijklmnop0123") for _ in range(3000))
+    heard = "".join(c for c in wanted if r.random() < 0.9)
+    assert align.Wanted(wanted).common(heard) == _matched(heard, wanted)
+
+
+@pytest.mark.parametrize("text", ["only words, no number.", ".프로 a.b", "tone and one-half, twenty\tone", "三百 hundred 2 hundredth", "3 hundred", "fünf. ½ ٣ Ⅳ", "İΣ　x\x1fy"])
+def test_normal_text_skips_no_rewrite(text):
+    import unicodedata
+
+    from cuewise.functions import spoken
+
+    want = "".join(unicodedata.normalize("NFKC", c).lower() for c in text)
+    for rule in spoken.REWRITES:
+        want = rule.pattern.sub(rule.new, want)
+    assert spoken.normal_text(text) == want

@@ -6,7 +6,7 @@ an episode at a time; joins pair the key, and times are binned where a range alo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -194,11 +194,41 @@ def interpolated(cues: DataFrame, chars: DataFrame, keys: Sequence[str], pos: st
     neighbours, if there is any.  A run that has a neighbour on one side only takes characters if they are not too
     many.  Everything else keeps its times.  Adds ``interpolated``; a group without characters or locked cues does not change.
     """
+    heard = chars.groupBy(*keys).agg((F.max("place") + 1).alias("__heard"))
+    rows = _asking(cues.join(heard, list(keys), "left"), keys, pos)
+    asked = rows.where(F.col("__first").isNotNull()).select(*keys, pos, F.posexplode(F.array("__first", "__last")).alias("__which", "place"))
+    met = asked.join(chars.select(*keys, "place", "c_start", "c_end"), [*keys, "place"])
+    found = met.groupBy(*keys, pos).agg(F.max(F.when(F.col("__which") == 0, F.col("c_start"))).alias("__begin"), F.max(F.when(F.col("__which") == 1, F.col("c_end"))).alias("__end"))
+    return _given(rows.join(found, [*keys, pos], "left"), cues.columns)
+
+
+def interpolated_along(cues: DataFrame, stretches: DataFrame, keys: Sequence[str], pos: str, at: Callable[[Column, Column], Column]) -> DataFrame:
+    """``interpolated`` where characters are not listed but lie in stretches, such as lines of words.
+
+    ``stretches``: keys, place (of its first character), stretch (a struct); they have no gaps.  ``at(stretch, k)``: a struct (c_start, c_end) of
+    a stretch's character k, from 0.  ``cues`` also has heard, the number of its group's characters (null without any).
+    The stretch that a place lies in is the last one that begins there or before: an as-of join by a window over both
+    tables, so nothing is shuffled where both are dealt by the keys already.
+    """
+    rows = _asking(cues.withColumnRenamed("heard", "__heard"), keys, pos)
+    kind = stretches.schema["stretch"].dataType
+    both = rows.withColumns({"__stretch": F.lit(None).cast(kind), "__place": F.lit(None).cast("long")}).unionByName(
+        stretches.select(*keys, F.col("stretch").alias("__stretch"), F.col("place").cast("long").alias("__place")), allowMissingColumns=True)
+    for asked in ("__first", "__last"):
+        # A stretch comes before places that are its own first character.
+        w = W.partitionBy(*keys).orderBy(F.coalesce(F.col("__place"), F.col(asked)), F.col("__place").isNull())
+        both = both.withColumn(f"{asked}_in", F.last(F.when(F.col("__place").isNotNull(), F.struct("__place", "__stretch")), ignorenulls=True).over(w))
+    times = lambda asked: F.when(F.col(asked).isNotNull(), at(F.col(f"{asked}_in.__stretch"), F.col(asked) - F.col(f"{asked}_in.__place")))
+    met = both.where(F.col("__place").isNull()).withColumns({"__begin": times("__first")["c_start"], "__end": times("__last")["c_end"]})
+    return _given(met, [c for c in cues.columns if c != "heard"])
+
+
+def _asking(cues: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """Cues with ``__kind``, how their times are found, and the places of the characters at which each, or its run, begins and ends."""
     w = W.partitionBy(*keys).orderBy(pos)
     behind, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
     of_locked = lambda c: F.when(F.col("locked"), F.col(c))
-    heard = chars.groupBy(*keys).agg((F.max("place") + 1).alias("__heard"))
-    rows = cues.join(heard, list(keys), "left").withColumns({
+    rows = cues.withColumns({
         "__run": F.sum(F.col("locked").cast("int")).over(w),
         "__after": F.last(of_locked("last"), ignorenulls=True).over(behind), "__since": F.last(of_locked("end"), ignorenulls=True).over(behind),
         "__before": F.first(of_locked("first"), ignorenulls=True).over(ahead), "__until": F.first(of_locked("start"), ignorenulls=True).over(ahead),
@@ -219,19 +249,19 @@ def interpolated(cues: DataFrame, chars: DataFrame, keys: Sequence[str], pos: st
     a = within(place(F.col("__done")), F.lit(0))
     by_place = F.col("__kind") == "places"
     rows = rows.withColumn("__a", F.when(by_place, a).otherwise(0)).withColumn("__b", F.when(by_place, within(place(F.col("__done") + F.col("size")) - 1, F.col("__a"))).otherwise(F.col("__free") - 1))
-    # Each cue asks for two characters: where it, or its run, begins and ends.
-    asked = rows.where(F.col("__kind").isin("places", "span")).select(*keys, pos, F.posexplode(F.array(F.col("__low") + F.col("__a"), F.col("__low") + F.col("__b"))).alias("__which", "place"))
-    met = asked.join(chars.select(*keys, "place", "c_start", "c_end"), [*keys, "place"])
-    found = met.groupBy(*keys, pos).agg(F.max(F.when(F.col("__which") == 0, F.col("c_start"))).alias("__begin"), F.max(F.when(F.col("__which") == 1, F.col("c_end"))).alias("__end"))
-    rows = rows.join(found, [*keys, pos], "left")
+    return rows.withColumns({c: F.when(F.col("__kind").isin("places", "span"), F.col("__low") + F.col(at)) for c, at in (("__first", "__a"), ("__last", "__b"))})
+
 
+def _given(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cues with the times that follow from the characters met, or from their neighbours."""
+    by_place = F.col("__kind") == "places"
     by_time = F.col("__kind") == "time"
     begin = F.when(by_time, F.col("__since")).otherwise(F.col("__begin"))
     end = F.when(by_time, F.col("__until")).otherwise(F.greatest(F.col("__begin") + 0.2 * F.col("__n"), F.col("__end")))
     dealt = lambda upto: begin + (end - begin) * upto / F.col("__total")
     start_at = F.when(F.col("__kind").isNull(), F.col("start")).when(by_place, F.col("__begin")).otherwise(dealt(F.col("__done")))
     end_at = F.when(F.col("__kind").isNull(), F.col("end")).when(by_place, F.col("__end")).otherwise(dealt(F.col("__done") + F.col("size")))
-    kept = [c for c in cues.columns if c not in ("start", "end")]
+    kept = [c for c in columns if c not in ("start", "end")]
     return rows.select(*kept, start_at.alias("start"), end_at.alias("end"), F.col("__kind").isNotNull().alias("interpolated"))
 
 

@@ -155,3 +155,37 @@ def test_normal_text_skips_no_rewrite(text):
     for rule in spoken.REWRITES:
         want = rule.pattern.sub(rule.new, want)
     assert spoken.normal_text(text) == want
+
+
+def test_interpolation_along_stretches_equals_that_of_characters(spark):
+    """Stretches of one to nine characters with single times, so that a place is found inside its stretch."""
+    from pyspark.sql import functions as F
+
+    cues, stretches, want = [], [], {}
+    for seed in range(120):
+        rows, heard = made(seed)
+        r, n, at = random.Random(seed), len(heard.chars), 0
+        cues += [(seed, *row, n or None) for row in rows]
+        while at < n:
+            size = min(r.randrange(1, 10), n - at)
+            stretches.append((seed, at, (heard.starts[at : at + size], heard.ends[at : at + size])))
+            at += size
+        plain = [dict(zip(("pos", "start", "end", "locked", "size", "first", "last"), row, strict=True)) | {"interpolated": False} for row in rows]
+        if heard.chars:
+            align._between(plain, heard)
+        want |= {(seed, row["pos"]): (row["start"], row["end"], row["interpolated"]) for row in plain}
+    c = spark.createDataFrame(cues, "k int, pos int, start double, end double, locked boolean, size long, first long, last long, heard long").repartition(4)
+    s = spark.createDataFrame(stretches, "k int, place long, stretch struct<starts:array<double>,ends:array<double>>").repartition(3)
+    at = lambda x, k: F.struct(F.get(x["starts"], k.cast("int")).alias("c_start"), F.get(x["ends"], k.cast("int")).alias("c_end"))
+    got = timeline.interpolated_along(c, s, ["k"], "pos", at)
+    assert {(r.k, r.pos): (r.start, r.end, r.interpolated) for r in got.collect()} == want
+
+
+def test_interpolating_a_query_shuffles_cues_only(spark):
+    """Neither words nor characters become rows, and nothing is shuffled but what the cues are dealt by."""
+    from cuewise.plans.registry import QUERIES
+
+    from .against import SF
+
+    plan = QUERIES["interpolate_unlocked"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("posexplode") <= 2

@@ -108,8 +108,17 @@ def atoms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ATOM), F.lit(0))
 
 
+# Fixed value: what stands between words while they are joined, and where it goes.
+_BETWEEN = "\x1f"
+_CLOSE = f"(?<=[{WIDE}]){_BETWEEN}(?=[{WIDE}]|{AFTER_WIDE})|(?<={AHEAD_OF_WIDE}){_BETWEEN}(?=[{WIDE}])|(?<![{WIDE}]){_BETWEEN}(?={AFTER_LATIN})"
+
+
 def join_words(words: Column) -> Column:
-    """Words in a row as text: no space between wide characters or before closing punctuation."""
+    """Words in a row as text: no space between wide characters or before closing punctuation.
+
+    Whether a space goes is told by the characters on both sides of it, so the words are joined once and the spaces looked at
+    where they are; only words that hold the sign between them themselves are joined one by one.
+    """
 
     def glue(line: Column, word: Column) -> Column:
         last, first = F.right(line, F.lit(1)), F.left(word, F.lit(1))
@@ -120,7 +129,10 @@ def join_words(words: Column) -> Column:
         )
         return F.when(line == "", word).when(close, F.concat(line, word)).otherwise(F.concat(line, F.lit(" "), word))
 
-    return F.aggregate(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != ""), F.lit(""), glue)
+    one_by_one = F.aggregate(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != ""), F.lit(""), glue)
+    # Words are trimmed and empty ones left out: blanks beside the sign go, of several signs one stays, none at the ends.
+    joined = F.regexp_replace(F.trim(F.array_join(words, _BETWEEN), F.lit(f" {_BETWEEN}")), f"(?<! ) *+{_BETWEEN}[ {_BETWEEN}]*+", _BETWEEN)
+    return F.when(words.isNull() | F.array_join(words, "").contains(_BETWEEN), one_by_one).otherwise(F.translate(F.regexp_replace(joined, _CLOSE, ""), _BETWEEN, " "))
 
 
 def unbalanced(text: Column) -> Column:

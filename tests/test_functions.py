@@ -127,3 +127,37 @@ def test_output_folder_and_settings(spark):
     assert one(spark, links.output_dir(F.lit("b.mp4"), F.lit("/x"))) == "/x"
     assert one(spark, links.first_set(none, F.lit(" "), F.lit("c"), F.lit("d"))) == "c"
     assert one(spark, T.in_script(F.lit("国语"), {"国": "國", "语": "語"})) == "國語"
+
+
+def test_joined_words_equal_those_joined_one_by_one(spark):
+    """Words with blanks, signs of all kinds, the sign that stands between words, empty ones and nulls."""
+    import random
+    import re
+
+    r, wide = random.Random(5), f"[{T.WIDE}]"
+    signs = ["a", "字", ",", ".", "）", "「", " ", "  ", "", "b c", " d ", "!", "。", "가", "x.", "字a", ")", "\t", "𝒳", "　", "\n", "$", "\\", "\x1f", None]
+    rows = [[r.choice(signs) for _ in range(r.randrange(0, 9))] for _ in range(3000)]
+
+    def joined(words):
+        line = ""
+        for word in filter(None, (w.strip(" ") for w in words if w is not None)):
+            last, first = line[-1:], word[0]
+            wl, wf = re.match(wide, last), re.match(wide, first)
+            close = (wl and wf) or (wl and re.match(T.AFTER_WIDE, first)) or (wf and re.match(T.AHEAD_OF_WIDE, last)) or (not wl and re.match(T.AFTER_LATIN, first))
+            line += word if not line or close else " " + word
+        return line
+
+    got = spark.createDataFrame(list(enumerate(rows)), "k int, w array<string>").select("k", T.join_words(F.col("w")).alias("j")).collect()
+    assert {x.k: x.j for x in got} == {k: joined(row) for k, row in enumerate(rows)}
+    assert one(spark, T.join_words(F.lit(None).cast("array<string>"))) is None
+
+
+def test_a_long_line_is_joined_in_one_pass(spark):
+    """A quarter of a million words; joined one by one, each word would copy the line before it."""
+    import time
+
+    words = F.transform(F.sequence(F.lit(1), F.col("id") + 250_000), lambda i: F.when(i % 5 == 0, ".").otherwise("word"))
+    rows = spark.range(1).select(T.join_words(words).alias("v"))
+    began = time.time()
+    assert len(rows.first()["v"]) == 250_000 // 5 * (4 * 4 + 1) + 250_000 // 5 * 4 - 1
+    assert time.time() - began < 30

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
+from functools import cache, reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -86,21 +88,45 @@ def display_width(text: Column, loc: Column) -> Column:
     return F.when(p == "latin", F.length(text).cast("double")).otherwise(wide + (F.length(bare) - wide) * 0.5)
 
 
-def _clean_line(line: Column, wide: Column) -> Column:
-    line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-    line = F.regexp_replace(line, MARKDOWN_MARKS, "")
-    cjk = F.regexp_replace(line, COMMAS, " ")
-    cjk = F.regexp_replace(F.regexp_replace(cjk, WIDE_LATIN, "$1 $2"), LATIN_WIDE, "$1 $2")
-    cjk = F.regexp_replace(F.regexp_replace(cjk, r"[ \t]+", " "), rf"(?U){CLOSING_MARKS}|^\s+", "")
-    latin = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), f"(?U){CLOSING_HYPHEN}", "")
-    return F.when(wide, cjk).otherwise(F.regexp_replace(latin, r"(?U)^\s+|\s+$", ""))
+def _holds(*signs: str) -> Callable[[Column], Column]:
+    return lambda x: reduce(or_, [x.contains(sign) for sign in signs])
+
+
+def _edges(first: str, last: str) -> Callable[[Column], Column]:
+    """Whether the first or the last character is of a class."""
+    return lambda x: F.left(x, F.lit(1)).rlike(f"(?U)[{first}]") | F.right(x, F.lit(1)).rlike(f"(?U)[{last}]")
+
+
+# Steps of cleaning a line: where each applies, what must be there for it to find anything, which is looked for first as it costs far less, and the rewrite.
+_TRIM = (_edges(r"\s", r"\s"), r"(?U)^\s+|\s+$", "")
+_BLANKS = (_holds("  ", "\t"), r"[ \t]+", " ")
+_ANY, _ONLY_WIDE, _ONLY_LATIN = None, True, False
+_STEPS = (
+    (_ANY, *_TRIM), (_ANY, _holds("*", "_", "`", "#"), MARKDOWN_MARKS, ""),
+    (_ONLY_WIDE, _holds(",", "，"), COMMAS, " "), (_ONLY_WIDE, None, WIDE_LATIN, "$1 $2"), (_ONLY_WIDE, None, LATIN_WIDE, "$1 $2"),
+    (_ANY, *_BLANKS), (_ONLY_WIDE, _edges(r"\s", r"\s。，、；:;,.—-"), rf"(?U){CLOSING_MARKS}|^\s+", ""),
+    (_ONLY_LATIN, _edges("-", r"\s-"), f"(?U){CLOSING_HYPHEN}", ""), (_ONLY_LATIN, *_TRIM),
+)
+
+
+def _step(when: Column | None, likely: Callable[[Column], Column] | None, pattern: str, new: str) -> Callable[[Column], Column]:
+    def rewritten(x: Column) -> Column:
+        told = [c for c in (when, likely and likely(x)) if c is not None]
+        out = F.regexp_replace(x, pattern, new)
+        return F.when(reduce(and_, told), out).otherwise(x) if told else out
+
+    return rewritten
 
 
 def clean(text: Column, loc: Column) -> Column:
     """Caption text by its locale's typography: markdown marks go, blanks collapse; wide scripts
     lose inline commas and closing punctuation and set Latin and numbers apart."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")
-    return F.array_join(F.transform(lines, lambda x: _clean_line(x, policy(loc) != "latin")), "\n")
+    wide = policy(loc) != "latin"
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
+    # Each step has its own lambda, as a column that is named twice would be computed twice there.
+    for where, likely, pattern, new in _STEPS:
+        lines = F.transform(lines, _step({_ANY: None, _ONLY_WIDE: wide, _ONLY_LATIN: ~wide}[where], likely, pattern, new))
+    return F.array_join(lines, "\n")
 
 
 def atoms(text: Column) -> Column:

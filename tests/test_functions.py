@@ -161,3 +161,29 @@ def test_a_long_line_is_joined_in_one_pass(spark):
     began = time.time()
     assert len(rows.first()["v"]) == 250_000 // 5 * (4 * 4 + 1) + 250_000 // 5 * 4 - 1
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("loc", ["zh-TW", "ko", "en"])
+def test_cleaning_steps_equal_rewrites_of_every_line(spark, loc):
+    """What is looked for before a rewrite loses none: lines of all signs that any step knows, against the rewrites alone."""
+    import random
+
+    r = random.Random(6)
+    signs = ["a", "字", ",", "，", ".", " ", "\t", "\n", "\r", "*", "_", "__", "`", "# ", "1", "-", "—", "$3", "5%", "。", "　", "\u0085", "\xa0", "；", ":", "가", "℃", "+", "\x1c", "\x0b"]
+    rows = [(k, "".join(r.choice(signs) for _ in range(r.randrange(0, 12)))) for k in range(3000)]
+
+    def line(x):
+        x = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), T.MARKDOWN_MARKS, "")
+        if loc == "en":
+            return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), f"(?U){T.CLOSING_HYPHEN}", ""), r"(?U)^\s+|\s+$", "")
+        x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, T.COMMAS, " "), T.WIDE_LATIN, "$1 $2"), T.LATIN_WIDE, "$1 $2")
+        return F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), rf"(?U){T.CLOSING_MARKS}|^\s+", "")
+
+    loc_is = F.lit(loc)
+    want = F.array_join(F.transform(F.filter(F.split("t", "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != ""), line), "\n")
+    got = spark.createDataFrame(rows, "k int, t string").select("k", T.clean(F.col("t"), loc_is).alias("got"), want.alias("want")).collect()
+    assert [x.got for x in got] == [x.want for x in got]
+
+
+def test_most_cleaning_steps_look_before_they_rewrite():
+    assert sum(likely is None for _, likely, *_ in T._STEPS) == 2

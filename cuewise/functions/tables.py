@@ -9,7 +9,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
-@udtf(returnType=StructType([StructField("clause", IntegerType()), StructField("text", StringType())]), useArrow=True)
+@udtf(returnType=StructType([StructField("clause", IntegerType()), StructField("text", StringType())]), useArrow=False)
 class SplitClauses:
     """The clauses of a text cut to a line limit, in order; a null text has none."""
 

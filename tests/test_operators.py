@@ -139,3 +139,16 @@ def test_wav_length(spark):
 def test_streamed_segments(spark):
     words = spark.createDataFrame(pd.DataFrame({"k": ["e"] * 3, "at": pd.to_datetime([0, 200, 1000], unit="ms"), "word": ["a", "b", "c"]}))
     assert sorted(r.words for r in paused_segments(words, "k").collect()) == [["a", "b"], ["c"]]
+
+
+def test_plain_lines_are_cleaned_without_rewrites(monkeypatch):
+    from cuewise.functions import tables
+    from cuewise.operators import align
+
+    assert [align.cleaned(x, "en") for x in ("a  b\t c - ", "# **t** -\n\n x", "a -- ", "_a_")] == ["a b c", "t\nx", "a --", "_a_"]
+    monkeypatch.setattr("re.sub", None)
+    assert align.cleaned("Plain words, no marks.", "en") == "Plain words, no marks."
+    # Rows of a table function go in batches; as Arrow each row would be a table of its own.
+    from pyspark.util import PythonEvalType
+
+    assert tables.SplitClauses.evalType == PythonEvalType.SQL_TABLE_UDF

@@ -49,45 +49,42 @@ def upper_median_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(cues: DataFrame) -> DataFrame:
     """Each document's distinct words of twelve characters or more."""
-    return cues.select(KEY, F.explode(F.filter(F.split("text", " "), lambda x: F.length(x) >= 12)).alias("term")).distinct()
+    return cues.select(KEY, F.explode(F.regexp_extract_all("text", F.lit("[^ ]{12,}"), F.lit(0))).alias("term")).distinct()
 
 
 def glossary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = derived.cues(spark, sf_dir)
+    cues = derived.cues(spark, sf_dir, whole=True)
     return audit.term_counts(cues, _terms(cues), KEY, POS)
 
 
 def _report(spark: SparkSession, sf_dir: str, cues: DataFrame) -> DataFrame:
     """The whole audit of every document; media end with the last even second before their last cue's end."""
     rows = audit.enriched(derived.locked(cues), KEY, POS, F.lit("en"))
-    ends = cues.groupBy(KEY).agg((F.floor(F.max_by("end_ms", POS) / 2000) * 2000).alias("media_ms"))
-    episodes = derived.documents(spark, sf_dir).select(KEY).join(ends, KEY, "left")
-    return audit.report(rows, KEY, POS, episodes, _terms(cues))
+    episodes = derived.documents(spark, sf_dir).select(KEY)
+    return audit.report(rows, KEY, POS, episodes, _terms(cues), media_ms=F.floor(F.col("last_out_ms") / 2000) * 2000)
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All figures, with arrays as text."""
-    found = _report(spark, sf_dir, derived.cues(spark, sf_dir))
+    found = _report(spark, sf_dir, derived.cues(spark, sf_dir, whole=True))
     quiet = F.array_join(F.transform("silences", lambda x: F.concat_ws("/", x["prev_index"].cast("string"), x["code"], x["next_index"].cast("string"))), ";")
     return found.withColumns({"violations": F.array_join("violations", ","), "silences": quiet})
 
 
 def empty_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts where captions are only the lines with a vertical bar: most documents have none."""
-    cues = derived.cues(spark, sf_dir).where(F.col("text").contains("|"))
+    cues = derived.cues(spark, sf_dir, whole=True).where(F.col("text").contains("|"))
     return _report(spark, sf_dir, cues).select(KEY, "passed", F.array_join("violations", ",").alias("violations"), "action", "locked_pct", "overrun", "cues")
 
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON and Markdown of every report: digest of the page, lines of its issues, and three figures read back from the JSON."""
-    cues = derived.cues(spark, sf_dir)
+    cues = derived.cues(spark, sf_dir, whole=True).where(F.col(KEY).isNotNull())
     found = _report(spark, sf_dir, cues)
     rows = audit.enriched(cues, KEY, POS, F.lit("en"))
-    pages = audit.report_markdown(found, audit.issues(rows, KEY, POS), KEY, POS)
-    back = F.from_json("json", "cues long, grade string, n_silences long")
-    read = audit.report_json(found, KEY).select(KEY, back.alias("r"))
+    pages = audit.report_pages(found, audit.issues(rows, KEY, POS), KEY, POS).withColumn("r", F.from_json("json", "cues long, grade string, n_silences long"))
     lines = F.size(F.filter(F.split("markdown", "\n"), lambda x: x.rlike(r"^\| \d+ \| \d+ \| [a-z_]+ \| "))).cast("long")
-    return pages.join(read, KEY).select(KEY, F.split("markdown", "\n")[2].alias("verdict"), lines.alias("issue_lines"), "r.cues", "r.grade", "r.n_silences")
+    return pages.select(KEY, F.split("markdown", "\n")[2].alias("verdict"), lines.alias("issue_lines"), "r.cues", "r.grade", "r.n_silences")
 
 
 def review_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,23 @@ def test_terms_meet_captions_that_share_their_shuffle(spark):
     rows = audit.enriched(cues, "doc_id", "line_no", F.lit("en"))
     found = audit.report(rows, "doc_id", "line_no", derived.documents(spark, SF).select("doc_id"), audit_queries._terms(cues), media_ms=F.col("last_out_ms"))
     assert found.where("terms_found < terms").count() == 0 < found.where("terms_found > 0").count()
+
+
+def test_every_figure_of_odd_documents_is_that_of_sql(spark, tmp_path):
+    """Documents without captions, final line breaks and vertical tabs, long words of characters beyond 16 bits among others."""
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "Ended.\r\nEnded,\x85\nEnded.\n"), (5, "\x0b# no heading\n \t# heading\n>\x0bno quote\n> quote"), (6, "plain and 𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳\nextraordinarily é深\nextraordinarily 👨‍👩‍👧👨‍👩‍👧👨‍👩‍👧 x\n" * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(audit_queries.ORACLES["audit_report"])
+    names = [d[0] for d in want.description]
+    got = audit_queries.audit_report(spark, str(tmp_path))
+    assert by_name(got.columns, [tuple(r) for r in got.collect()]) == by_name(names, want.fetchall())
+
+
+def test_long_episodes_of_wide_and_narrow_characters():
+    """Stretches begin anew, where an iterator that is given other texts freed what it did not own."""
+    texts = ["the deep sea", "𝒳 deep 𝒳", "é深", "", "deep"] * 9000
+    whole = " ".join(texts)
+    wanted = ["deep", "sea 𝒳", "deep the", "é深", "x" * 50, "p 𝒳 é", " "]
+    assert terms.occurrences(wanted, iter(texts)) == {t: whole.count(t) for t in wanted if t in whole}

@@ -122,12 +122,12 @@ def vtt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recogniser output with all words as offsets, moved by 100 s and read back."""
-    words = derived.words(derived.cues(spark, sf_dir)).withColumn("word_pos", F.col(POS) * 100_000 + F.col("word_pos"))
-    offset = lambda c: F.concat((F.col(c) / 1000).cast("string"), F.lit("s"))
-    item = F.struct(F.col("word"), offset("start_ms").alias("startOffset"), offset("end_ms").alias("endOffset"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("word_pos", item.alias("w")))), lambda x: x["w"])
+    lines = derived.line_words(derived.cues(spark, sf_dir))
+    offset = lambda c: F.concat((c / 1000).cast("string"), F.lit("s"))
+    item = lambda w: F.struct(w["word"].alias("word"), offset(w["start_ms"]).alias("startOffset"), offset(w["end_ms"]).alias("endOffset"))
+    ordered = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(POS, "words"))), lambda x: x["words"])), item)
     doc = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("").alias("transcript"), ordered.alias("words"))).alias("alternatives"))).alias("results")))
-    docs = words.groupBy(KEY).agg(doc.alias("doc"))
+    docs = lines.groupBy(KEY).agg(doc.alias("doc"))
     ms = lambda c: F.bround(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
     return captions.recognised_words(docs, KEY, F.col("doc"), F.lit(100.0)).select(KEY, F.col("word_pos").cast("long").alias("word_pos"), "word", ms("start"), ms("end"))
 

@@ -82,3 +82,21 @@ def test_words_of_any_script_are_timed_as_one_by_one(monkeypatch):
     calls = []
     monkeypatch.setattr(spoken, "normalised", lambda parts: calls.append(1))
     assert spoken.char_timeline(words).text == "日本語" * 30 and not calls and unicodedata.normalize("NFKC", "日") == "日"
+
+
+def test_words_of_lines_stay_in_place(spark):
+    """Nothing is moved behind the lines: not to be written as JSON, recognised in windows, stitched, numbered or brought to their written form."""
+    from cuewise.plans.registry import QUERIES
+
+    for name in ("words_json_explode", "window_transcript", "spoken_times"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [line for line in plan if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_words_of_a_line_are_those_of_rows(spark):
+    from cuewise.sources import derived
+
+    lines = [(1, 0, " a  bc def "), (1, 1, "x"), (1, 2, "  "), (2, 0, "ab " * 20_000), (2, 1, "é 世界 𝒳𝒳 " * 99), (3, 0, "")]
+    cues = spark.createDataFrame([(d, n, t, 1000 * n, 1000 * n + 40_000) for d, n, t in lines], "doc_id long, line_no long, text string, start_ms long, end_ms long")
+    listed = derived.line_words(cues).selectExpr("doc_id", "line_no", "posexplode(words) AS (word_pos, w)").selectExpr("doc_id", "line_no", "CAST(word_pos AS long) AS word_pos", "w.word", "w.start_ms", "w.end_ms")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, derived.words(cues).collect()))
